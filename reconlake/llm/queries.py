@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import url_filter
+from reconlake.llm import mixing, pii, url_filter
+from reconlake.plans.lineage import written
 from reconlake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,66 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = pages.select(url_filter.host_of(F.col("url")).alias("key")).distinct()
     listed = hosts.where(F.arrays_overlap(F.split("key", "[.]"), labels))
     return url_filter.judge(pages, RULES, listed)
+
+
+#: The key of a real run comes from the deployment; this one makes the query repeatable.
+PII_KEY = "demonstration key"
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+MIX_SHARES = {
+    "source": None,
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
+    "topic": {"prose": 0.7, "listing": 0.1, "notice": 0.1, "contact": 0.1},
+}
+MIX_BUDGET = 0.5
+
+MIX_SQL = """
+    with recursive d as (
+      select doc_id, source, lang,
+        case when contains(text, 'Licensed under') then 'notice' when contains(text, ' | ') then 'listing'
+             when contains(text, '@') then 'contact' else 'prose' end as topic,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as tokens
+      from documents),
+    cells as (select source, lang, topic, sum(tokens)::double as tokens from d group by all having sum(tokens) > 0),
+    ts as (select source, sqrt(sum(tokens)) as raw from cells group by 1),
+    named(dim, v, share) as (values ('l','en',0.4::double),('l','de',0.2),('l','fr',0.2),('l','es',0.2),
+                                    ('t','prose',0.7),('t','listing',0.1),('t','notice',0.1),('t','contact',0.1)),
+    tl as (select lang, coalesce(share, 0) as raw from (select distinct lang from cells) left join named on dim = 'l' and v = lang),
+    tt as (select topic, coalesce(share, 0) as raw from (select distinct topic from cells) left join named on dim = 't' and v = topic),
+    start as (
+      select c.*, ts.raw / (select sum(raw) from ts) as t_s, tl.raw / (select sum(raw) from tl) as t_l, tt.raw / (select sum(raw) from tt) as t_t
+      from cells c join ts on c.source is not distinct from ts.source join tl on c.lang is not distinct from tl.lang join tt using (topic)),
+    ipf as (
+      select *, tokens as share, 0 as step from start
+      union all
+      select source, lang, topic, tokens, t_s, t_l, t_t,
+        case step % 3
+          when 0 then share * t_s / sum(share) over (partition by source)
+          when 1 then share * t_l / sum(share) over (partition by lang)
+          else share * t_t / sum(share) over (partition by topic) end,
+        step + 1
+      from ipf where step < 36),
+    rates as (
+      select source, lang, topic, share / sum(share) over () * 0.5 * sum(tokens) over () / tokens as ratio from ipf where step = 36),
+    p as (
+      select d.*, least(coalesce(ratio, 0), 1) as p from d left join rates r
+        on d.source is not distinct from r.source and d.lang is not distinct from r.lang and d.topic = r.topic)
+    select doc_id, source, lang, topic, tokens, round(p * 1e9)::bigint as probability_ppb,
+      ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double < p as sampled
+    from p
+    """
+
+
+@query("op6_mixing", MIX_SQL)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    # Counted once and kept narrow: the raking and the draw then read no text.
+    narrow = written(docs.select("doc_id", "source", "lang", mixing.topic_of(text).alias("topic"), mixing.n_words(text).alias("tokens")), "mixing")
+    mixed = mixing.mix(narrow, MIX_SHARES, MIX_BUDGET)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("probability") * 1e9).cast("bigint").alias("probability_ppb"), "sampled")
