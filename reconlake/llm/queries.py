@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import mixing, pii, url_filter
+from reconlake.llm import decontaminate, mixing, pii, url_filter
 from reconlake.plans.lineage import written
 from reconlake.sources.tables import table
 
@@ -126,3 +126,40 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = written(docs.select("doc_id", "source", "lang", mixing.topic_of(text).alias("topic"), mixing.n_words(text).alias("tokens")), "mixing")
     mixed = mixing.mix(narrow, MIX_SHARES, MIX_BUDGET)
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round(F.col("probability") * 1e9).cast("bigint").alias("probability_ppb"), "sampled")
+
+
+@query(
+    "op3_decontaminate",
+    """
+    with words_of as (
+      select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+      from benchmark),
+    windows as (
+      select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g
+      from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from words_of where len(w) > 0)),
+    docs as (
+      select row_number() over () as r, doc_id,
+        coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w
+      from documents),
+    places as (select r, w, unnest(range(1, len(w) + 1)) as i from docs),
+    grams as (
+      select r, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+      from places cross join (select distinct n from windows) where i + n - 1 <= len(w)),
+    hits as (select r, i, grams.n, item_id from grams join windows on grams.n = windows.n and grams.g = windows.g),
+    hit_words as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + n)) as j from hits) group by r),
+    hit_items as (
+      select r, count(*) as n_items, string_agg(id, ',' order by id) as ids
+      from (select distinct r, item_id::varchar as id from hits where item_id is not null) group by r)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+      sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join hit_words using (r) left join hit_items using (r)
+    """,
+)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit(F.col("hit_spans"))
+    return found.select(
+        "doc_id", F.col("n_words").cast("bigint").alias("n_words"), hit.alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
