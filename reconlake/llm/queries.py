@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import decontaminate, mixing, pii, url_filter
+from reconlake.llm import decontaminate, mixing, pii, quality, url_filter
 from reconlake.plans.lineage import written
 from reconlake.sources.tables import table
 
@@ -163,3 +163,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("n_words").cast("bigint").alias("n_words"), hit.alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judge(docs).drop("text", "lang")
