@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import decontaminate, mixing, pii, quality, url_filter
+from reconlake.llm import decontaminate, html_text, mixing, pii, quality, url_filter
 from reconlake.plans.lineage import written
 from reconlake.sources.tables import table
 
@@ -169,3 +169,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.judge(docs).drop("text", "lang")
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).drop("html")
