@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import decontaminate, html_text, mixing, pii, quality, url_filter
+from reconlake.llm import decontaminate, html_text, mixing, pii, quality, url_filter, warc
 from reconlake.plans.lineage import written
 from reconlake.sources.tables import table
 
@@ -174,3 +174,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).drop("html")
+
+
+@query(
+    "op9_warc",
+    """
+    with p as (
+      select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha,
+        max(page_id) over (partition by sha1(coalesce(html, ''))) as largest
+      from pages)
+    select page_id, strlen(html)::bigint as payload_bytes,
+      array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          ((('0x' || substr(sha, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int + 1, 1)), '') as payload_digest,
+      case when page_id = largest or largest is null then 'response' else 'revisit' end as record_type,
+      case when page_id = largest or largest is null then null else largest end as refers_to
+    from p
+    """,
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
