@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import decontaminate, html_text, mixing, pii, quality, simhash, url_filter, warc
+from reconlake.llm import decontaminate, html_text, mixing, pii, quality, simhash, token_shards, url_filter, warc
 from reconlake.plans.lineage import written
 from reconlake.sources.tables import table
 
@@ -202,3 +202,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, shingle=3, bits=64, radius=2, ratio=0.0)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+ORDER_KEY = "first epoch"
+
+
+@query("op7_token_shards")
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shards(table(spark, sf_dir, "documents"), ORDER_KEY)
