@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import decontaminate, html_text, mixing, pii, quality, simhash, token_shards, url_filter, warc
+from reconlake.llm import decontaminate, html_text, mixing, pii, quality, simhash, token_shards, toxicity, url_filter, warc
 from reconlake.plans.lineage import written
 from reconlake.sources.tables import table
 
@@ -210,3 +210,14 @@ ORDER_KEY = "first epoch"
 @query("op7_token_shards")
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shards(table(spark, sf_dir, "documents"), ORDER_KEY)
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out(), toxicity.MAX_ROWS, toxicity.MAX_BYTES)
+    return toxicity.score(docs, toxicity.fit(known)).withColumn("held_out", held_out())

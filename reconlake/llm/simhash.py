@@ -245,6 +245,17 @@ def links(nodes: DataFrame, radius: int, bits: int, ratio: float = 0.0, tile: in
     return dealt.groupBy("i", "j").applyInPandas(_comparer(words, radius, ratio), "a binary, b binary")
 
 
+def _linked(prints: DataFrame, radius: int, bits: int, ratio: float, tile: int) -> DataFrame:
+    """fp, least (the least id of its rows), n (how many rows have that id) and root (of its component) of every fingerprint of `prints` (doc_id, fp, size)."""
+    ids = prints.groupBy("fp", "doc_id").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n"))  # null only if there is no other
+    nodes = written(ids.groupBy("fp").agg(F.min("size").alias("size"), first.alias("f")).select("fp", "size", "f.doc_id", "f.n"), "nodes")
+    roots = components(links(nodes.select("fp", "size"), radius, bits, ratio, tile))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", F.col("doc_id").alias("least"), "n", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 44, ratio: float = 0.8, text: str = "text", doc_id: str = "doc_id", tile: int = TILE
 ) -> DataFrame:
@@ -257,10 +268,24 @@ def near_duplicates(
     """
     found = docs.select(F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits).alias("p"))
     prints = written(found.select("doc_id", "p.fp", "p.size"), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("size").alias("size"), F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius, bits, ratio, tile))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # Only linked fingerprints have anything to learn from the others of their component.
-    of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined.select("fp", "root").join(of_root, "root").select("fp", "component_id")
+    linked = _linked(prints, radius, bits, ratio, tile)
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = linked.select("fp", "root").join(of_root, "root").select("fp", "component_id")
     return prints.drop("size").join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 44, ratio: float = 0.8, text: str = "text", doc_id: str = "doc_id", tile: int = TILE
+) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row with the least id stays, and of rows that repeat that id with its fingerprint one."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits).alias("p"))
+    # Written with the texts, since the fingerprints are needed twice and a second pass would compute them again.
+    kept_rows = written(rows.select("row", "doc_id", "p.fp", "p.size"), "prints")
+    linked = _linked(kept_rows.select("doc_id", "fp", "size"), radius, bits, ratio, tile)
+    best = F.min(F.struct(F.col("least").isNull(), "least", "fp", "n")).alias("best")
+    chosen = written(linked.groupBy("root").agg(best).select(F.col("best.fp").alias("k"), F.col("best.least").alias("id"), "best.n"), "chosen")
+    same = (F.col("fp") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    out = kept_rows.join(chosen, same, "left_semi")
+    if chosen.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["fp"])
+    return out.select("row.*")
