@@ -3,11 +3,16 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, tokens string, kept string, row string"
-WORDS = "the of and station harbour winter copper letter morning engine river signal garden paper window market".split()
+WORDS = (
+    "the of and station harbour winter copper letter morning engine river signal garden paper window market bridge valley number doctor silver "
+    "summer mountain question answer island village captain thunder yellow corner history music kitchen travel picture animal forest planet "
+    "weather reason minute country teacher family machine water glass table street northern careful heavy simple early second empty narrow"
+).split()
 
 
 def prose(rng: random.Random, n: int) -> str:
-    return " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ed", "ly", "ing"]) for _ in range(n))
+    starts, ends = ["", "", "", "over", "under", "out", "counter", "inter"], ["", "", "s", "ed", "ing"]
+    return " ".join(rng.choice(starts) + rng.choice(WORDS) + rng.choice(ends) for _ in range(n))
 
 
 @pytest.fixture(scope="session")

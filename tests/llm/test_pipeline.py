@@ -25,6 +25,7 @@ def test_stages(spark, folder):
     good = stages["quality rules"](spark, docs, folder)
     enc = Encoder(open(VOCABULARY, "rb").read())
     want = [r.doc_id for r in docs.collect() if quality.signals(r.text, r.lang, enc, quality.BANDS)[-1]]
+    assert len(want) > 20
     assert sorted(str(r.doc_id) for r in good.collect()) == sorted(map(str, want)) and good.columns == docs.columns
     unique = stages["SimHash near-dedup"](spark, docs, folder)
     kept = [r.doc_id for r in unique.collect()]
