@@ -1,8 +1,8 @@
 """The registered queries of the reconciliation engine and their SQL."""
 
-from reconlake.queries import packages, reconciliation
+from reconlake.queries import operating, packages, parameters, reconciliation
 from reconlake.queries.registry import ORACLES, QUERIES
 
 flagship = reconciliation.reconcile_flagship
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "packages"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "operating", "packages", "parameters"]
