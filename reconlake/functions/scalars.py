@@ -104,7 +104,7 @@ def overlaps(a0: Column, a1: Column, b0: Column, b1: Column, tolerance: float) -
 
 def parsed_number(text: Column) -> Column:
     """Number with thousands spaces and a decimal comma or point."""
-    joined = F.regexp_replace(F.translate(text, "  ", "  "), r"(?<=[0-9])\s+(?=[0-9]{3}([^0-9]|$))", "")
+    joined = F.regexp_replace(F.translate(text, "\u00a0\u202f", "  "), r"(?<=[0-9])\s+(?=[0-9]{3}([^0-9]|$))", "")
     return F.replace(joined, F.lit(","), F.lit(".")).try_cast("double")
 
 

@@ -200,7 +200,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = simhash.near_duplicates(docs, shingle=3, bits=64, radius=2, ratio=0.0)
+    found = simhash.near_duplicates(docs, shingle=3, bits=64, radius=2, ratio=0.0, repeats=True)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

@@ -75,9 +75,8 @@ def spread(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprint(words: list[bytes], k: int, bits: int) -> bytes:
-    """Big-endian fingerprint of a text's words."""
-    h = shingle_hashes(words, k)
+def fingerprint(h: np.ndarray, bits: int) -> bytes:
+    """Big-endian fingerprint of a text's shingle hashes."""
     counts = np.zeros(bits, np.int64)
     for i in range(0, len(h), CHUNK):
         x = spread(h[i : i + CHUNK], bits // 64).astype(">u8").view(np.uint8)
@@ -85,20 +84,21 @@ def fingerprint(words: list[bytes], k: int, bits: int) -> bytes:
     return np.packbits(2 * counts > len(h)).tobytes()
 
 
-def _prints(k: int, bits: int):
+def _prints(k: int, bits: int, repeats: bool):
     def prints(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            words = utf8(t).lower().split()
-            rows.append((fingerprint(words, k, bits), max(1, len(words) - k + 1)))
+            h = shingle_hashes(utf8(t).lower().split(), k)
+            h = h if repeats else np.unique(h)
+            rows.append((fingerprint(h, bits), max(1, len(h))))
         return pd.DataFrame(rows, columns=PRINT.names)
 
     return F.pandas_udf(prints, PRINT).asNondeterministic()  # so that no rewrite of the plan runs it twice
 
 
-def printed(text: Column, shingle: int, bits: int) -> Column:
-    """struct(fp binary, size int): fingerprint and number of shingles."""
-    return _prints(shingle, bits)(text)
+def printed(text: Column, shingle: int, bits: int, repeats: bool) -> Column:
+    """struct(fp binary, size int): fingerprint and number of shingles, each counted once unless `repeats`."""
+    return _prints(shingle, bits, repeats)(text)
 
 
 def _block_counts(fp: Column, bits: int) -> list[Column]:
@@ -257,17 +257,26 @@ def _linked(prints: DataFrame, radius: int, bits: int, ratio: float, tile: int)
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 48, ratio: float = 0.8, text: str = "text", doc_id: str = "doc_id", tile: int = TILE
+    docs: DataFrame,
+    shingle: int = 5,
+    bits: int = 256,
+    radius: int = 44,
+    ratio: float = 0.8,
+    repeats: bool = False,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    tile: int = TILE,
 ) -> DataFrame:
     """doc_id, fp (binary) and component_id, the least doc_id that links lead to, of every row.
 
     The defaults link texts whose five-word shingles are similar by about 0.8
     or more: a Jaccard similarity s is a cosine of 2s / (1 + s) at equal sizes,
-    an angle of 0.475 at 0.8, and so 39 of 256 bits on average; radius 48 is
-    one and a half standard deviations more. Unrelated texts differ in 128
-    bits, with a standard deviation of 8.
+    an angle of 0.475 at 0.8, and so 39 of 256 bits on average; radius 44 is
+    one standard deviation more. Unrelated texts differ in 128 bits, with a
+    standard deviation of 8. Each different shingle counts once, as in the
+    Jaccard similarity, unless `repeats` is set.
     """
-    found = docs.select(F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits).alias("p"))
+    found = docs.select(F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits, repeats).alias("p"))
     prints = written(found.select("doc_id", "p.fp", "p.size"), "prints")
     linked = _linked(prints, radius, bits, ratio, tile)
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -276,10 +285,18 @@ def near_duplicates(
 
 
 def one_of_each(
-    docs: DataFrame, shingle: int = 5, bits: int = 256, radius: int = 48, ratio: float = 0.8, text: str = "text", doc_id: str = "doc_id", tile: int = TILE
+    docs: DataFrame,
+    shingle: int = 5,
+    bits: int = 256,
+    radius: int = 44,
+    ratio: float = 0.8,
+    repeats: bool = False,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    tile: int = TILE,
 ) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the least id stays, and of rows that repeat that id with its fingerprint one."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits).alias("p"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits, repeats).alias("p"))
     # Written with the texts, since the fingerprints are needed twice and a second pass would compute them again.
     kept_rows = written(rows.select("row", "doc_id", "p.fp", "p.size"), "prints")
     linked = _linked(kept_rows.select("doc_id", "fp", "size"), radius, bits, ratio, tile)

@@ -15,7 +15,7 @@ DELIMITERS = (",", ";", "\t")
 
 def canonical(header: Column) -> Column:
     """Lower case, no-break spaces and runs of separators as one underscore."""
-    return F.regexp_replace(F.trim(F.translate(F.lower(header), " ﻿", " ")), r"[\s_-]+", "_")
+    return F.regexp_replace(F.trim(F.translate(F.lower(header), "\u00a0\ufeff", " ")), r"[\s_-]+", "_")
 
 
 def parsed_date(value: Column) -> Column:
@@ -31,7 +31,7 @@ def with_aliases(rows: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     """`rows` with known headers renamed; the first column of a name wins."""
     found: dict[str, str] = {}
     for c in rows.columns:
-        name = "_".join(c.replace(" ", " ").replace("﻿", "").strip().lower().replace("-", " ").replace("_", " ").split())
+        name = "_".join(c.replace("\u00a0", " ").replace("\ufeff", "").strip().lower().replace("-", " ").replace("_", " ").split())
         found.setdefault(aliases.get(name, name), c)
     return rows.select(*[F.col(f"`{c}`").alias(name) for name, c in found.items()])
 

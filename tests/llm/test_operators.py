@@ -115,7 +115,7 @@ def brute_groups(prints, radius):
 
 @pytest.mark.parametrize("tile", [4, 16384])
 def test_simhash_equals_brute_force(odd_docs, odd_rows, tile):
-    got = simhash.near_duplicates(odd_docs, shingle=3, bits=64, radius=12, ratio=0.0, tile=tile).collect()
+    got = simhash.near_duplicates(odd_docs, shingle=3, bits=64, radius=12, ratio=0.0, repeats=True, tile=tile).collect()
     prints = {i: brute_print(r[1], 3) for i, r in enumerate(odd_rows)}
     groups = brute_groups(prints, 12)
     least = {}
