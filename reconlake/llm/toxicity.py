@@ -1,11 +1,13 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled texts: one on ordinary text,
-one on toxic text. A text is cut into windows of WINDOW words; the window that
-compresses to fewer bytes with the toxic dictionary is closer to toxic text. The
-savings of all windows of a text (the mean, the largest, the three largest, how
-many are clear) become a score between 0 and 1 by a logistic curve calibrated
-on the same labelled texts, and 0.7 is the threshold of the prediction.
+one on toxic text. A text is cut into windows of each size of WINDOWS in words;
+a window that compresses to fewer bytes with the toxic dictionary is closer to
+toxic text. Wide windows show phrases, single words show words that a wide
+window hides behind a chance match. The savings of all windows of a text (their
+mean, the three largest, how many reach each of CLEAR bytes) become a score
+between 0 and 1 by a logistic curve calibrated on the same labelled texts, and
+0.7 is the threshold of the prediction.
 
 Both dictionaries share a body of common ordinary words and differ in the part
 behind it, so that an ordinary window costs the same with either. The toxic
@@ -45,12 +47,14 @@ from pyspark.sql import functions as F
 
 from reconlake.llm.text import utf8
 
-WINDOW = 8  # words
+WINDOWS = (8, 3, 1)  # words
+CLEAR = (1, 2, 3, 4)  # bytes saved
 MAX_ROWS, MAX_BYTES = 6000, 64 << 10
 THRESHOLD = 0.7
 LEAST_SHARE = 0.4  # of toxic texts among those with a gram of the toxic dictionary
-GRAMS = (4, 5, 6)  # bytes, of a word between two spaces
+GRAMS = (5, 6, 7, 8)  # bytes, of a word between two spaces
 BODY_BYTES, PART_BYTES = 60_000, 16_000
+HELD_WORDS, HELD_BYTES = 1 << 16, 48  # how many words, and of what length at most, a worker process remembers the savings of
 EDGES = b".,;:!?\"'()"
 MARKER = b"<=== every window starts with this line, so that it compresses ===>"
 
@@ -132,12 +136,17 @@ def dictionaries(rows: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
     for words, label in rows:
         (toxic if label else other).update({w.strip(EDGES) for w in words})
     in_toxic: Counter[bytes] = Counter()
-    in_other: Counter[bytes] = Counter()
-    for words, grams in ((toxic, in_toxic), (other, in_other)):
-        for w, n in words.items():
-            for g in _grams(b" " + w + b" "):
-                grams[g] += n
+    for w, n in toxic.items():
+        for g in _grams(b" " + w + b" "):
+            in_toxic[g] += n
     least = math.log(len(in_toxic) + 1) + 2  # so that hardly any of all grams passes by chance
+    # What is too rare to pass even if no other text has it needs no further counts.
+    in_toxic = Counter({g: n for g, n in in_toxic.items() if _evidence(n, 0, share) > least})
+    in_other: Counter[bytes] = Counter()
+    for w, n in other.items():
+        for g in _grams(b" " + w + b" "):
+            if g in in_toxic:
+                in_other[g] += n
     found = {g: e for g, n in in_toxic.items() if (e := _evidence(n, in_other[g], share)) > least}
     stretches = sorted(_stretches(toxic, found).items(), key=lambda x: (-x[1], x[0]))
     marked = _joined((x for x, _ in stretches), PART_BYTES)
@@ -153,6 +162,7 @@ def dictionaries(rows: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
 class Scorer:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = self._compress(ordinary), self._compress(toxic)
+        self.held: dict[bytes, int] = {}
 
     @staticmethod
     def _compress(content: bytes):
@@ -164,15 +174,34 @@ class Scorer:
         d.precompute_compress(compression_params=p)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
-    def features(self, words: list[bytes]) -> tuple[float, ...]:
-        """Mean, largest, sum of the three largest, sum over the root of the number, logarithms of the numbers of small and clear savings and of all windows."""
-        a, b = self.ordinary, self.toxic
-        windows = [MARKER + b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
-        saved = np.array([len(a(w)) - len(b(w)) for w in windows] or [0])
-        top = np.sort(saved)[-3:]
-        small, clear = int((saved >= 2).sum()), int((saved >= 3).sum())
-        scaled = float(saved.sum()) / math.sqrt(len(saved))
-        return float(saved.mean()), float(top[-1]), float(top.sum()), scaled, math.log1p(small), math.log1p(clear), math.log1p(len(windows))
+    def saved(self, windows: list[bytes]) -> list[int]:
+        """Bytes that the toxic dictionary saves over the ordinary one, of each window."""
+        a, b, lead = self.ordinary, self.toxic, MARKER + b" "
+        return [len(a(w)) - len(b(w)) for w in [lead + w + b" " for w in windows]]
+
+    def saved_by_word(self, words: list[bytes]) -> list[int]:
+        """As `saved`, of each single word; frequent words are compressed once."""
+        held = self.held
+        new = list({w for w in words if w not in held})
+        found = dict(zip(new, self.saved(new)))
+        out = [held[w] if w in held else found[w] for w in words]
+        for w in new:
+            if len(held) < HELD_WORDS and len(w) <= HELD_BYTES:
+                held[w] = found[w]
+        return out
+
+    def features(self, words: list[bytes]) -> list[float]:
+        """Logarithm of the number of words, and for each size of window the mean, the sum of the three largest, the sum, and how many reach each of CLEAR; the latter over the root of the number of windows."""
+        out = [math.log1p(len(words))]
+        for k in WINDOWS:
+            saved = self.saved_by_word(words) if k == 1 else self.saved([b" ".join(words[i : i + k]) for i in range(0, len(words), k)])
+            x = np.array(saved or [0])
+            root = math.sqrt(len(x))
+            out += [float(x.mean()), float(np.sort(x)[-3:].sum()), float(x.sum()) / root, *(float((x >= c).sum()) / root for c in CLEAR)]
+        return out
+
+
+N_FEATURES = 1 + len(WINDOWS) * (3 + len(CLEAR))
 
 
 def _curve(x: np.ndarray) -> np.ndarray:
@@ -200,9 +229,9 @@ def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
     labels = np.array([y for _, y in known], float)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
-        flat = np.zeros(8)
+        flat = np.zeros(1 + N_FEATURES)
         flat[0] = 30.0 if share else -30.0
-        return Model(uuid.uuid4().hex, MARKER, MARKER, np.zeros(7), np.ones(7), flat)
+        return Model(uuid.uuid4().hex, MARKER, MARKER, np.zeros(N_FEATURES), np.ones(N_FEATURES), flat)
     ordinary, toxic = dictionaries(known)
     scorer = Scorer(ordinary, toxic)
     return Model(uuid.uuid4().hex, ordinary, toxic, *calibrated(np.array([scorer.features(w) for w, _ in known]), labels))
