@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from reconlake.llm.text import utf8
 
-WINDOWS = (8, 3, 1)  # words
+WINDOWS = (8, 1)  # words
 CLEAR = (1, 2, 3, 4)  # bytes saved
 MAX_ROWS, MAX_BYTES = 6000, 64 << 10
 THRESHOLD = 0.7
