@@ -19,6 +19,14 @@ aren't skipped. The work is a pair of tiles at a time, so memory is bounded by
 two tiles; the number of comparisons grows with the square of the number of
 distinct fingerprints, times the small part that isn't skipped.
 
+Where a ratio is given, a text is a set of shingles and links are confirmed.
+The radius then only finds candidates: the shingles of the texts in a candidate
+component meet (a component of over BATCH shingles in parts of about BATCH,
+each pair of parts by itself), and of the pairs within the radius those that
+would join two trees are linked if their exact Jaccard similarity is at least
+the ratio. What is shuffled for one component grows with the square of its
+parts; small components share a batch.
+
 Nulls and odd rows: a null or wordless text has fingerprint zero and links like
 any other; a text of fewer words than a shingle is one shingle. Rows of equal
 text or equal id each get their row. A component's id is its least doc_id,
@@ -27,7 +35,7 @@ null if it has none. Other columns of the input are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -46,7 +54,10 @@ SEED = 42
 TILE = 16384
 BLOCKS = 4  # of bits, whose population counts bound the distance of two tiles
 ROWS = 128  # compared at a time with a window of the other tile
+FIRST = 3  # words of a fingerprint that are compared for all pairs; 192 bits of unrelated texts differ in 96, with a deviation of 7
 CHUNK = 1 << 14  # hashes whose bits are counted at a time
+RADIUS = 72  # of 256 bits, for candidates of a similarity of 0.8
+BATCH = 1 << 21  # shingles of 8 bytes that are confirmed together
 
 PRINT = StructType([StructField("fp", BinaryType()), StructField("size", IntegerType())])
 
@@ -101,6 +112,23 @@ def printed(text: Column, shingle: int, bits: int, repeats: bool) -> Column:
     return _prints(shingle, bits, repeats)(text)
 
 
+def _sets(k: int):
+    """UDF: the different hashes of a text's shingles in ascending order, 8 bytes each."""
+
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(utf8(t).lower().split(), k)).tobytes() for t in texts])
+
+    return F.pandas_udf(sets, BinaryType()).asNondeterministic()
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two ascending arrays without repeats; 1 if both are empty."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common) if len(both) else 1.0
+
+
 def _block_counts(fp: Column, bits: int) -> list[Column]:
     """Population counts of the blocks of a fingerprint."""
     part = bits // 8 // BLOCKS
@@ -159,8 +187,10 @@ def _partners(sent, radius: int, ratio: float):
     return F.pandas_udf(partners, "array<bigint>")
 
 
-def forest(fps: np.ndarray, sizes: np.ndarray, n_first: int, radius: int, ratio: float) -> list[tuple[int, int]]:
-    """Indices of the links of a spanning forest of all links between the first n_first rows and the rest, or among all rows if there is no rest."""
+def forest(
+    fps: np.ndarray, sizes: np.ndarray, n_first: int, radius: int, ratio: float, confirmed: Callable[[int, int], bool] | None = None
+) -> list[tuple[int, int]]:
+    """Indices of the links of a spanning forest of all links between the first n_first rows and the rest, or among all rows if there is no rest; only of those that are `confirmed`, if that is given."""
     alone = n_first == len(fps)
     key = sizes.astype(np.float64) if ratio else np.bitwise_count(fps).sum(1).astype(np.float64)
     first, second = np.argsort(key[:n_first], kind="stable"), n_first + np.argsort(key[n_first:], kind="stable")
@@ -185,21 +215,23 @@ def forest(fps: np.ndarray, sizes: np.ndarray, n_first: int, radius: int, ratio:
         if a >= z:
             continue
         distance = np.bitwise_count(fps[rows, 0][:, None] ^ columns[0][None, a:z])
-        if len(columns) > 1:
-            distance = distance + np.bitwise_count(fps[rows, 1][:, None] ^ columns[1][None, a:z])
+        for c in range(1, min(FIRST, len(columns))):
+            distance = distance + np.bitwise_count(fps[rows, c][:, None] ^ columns[c][None, a:z])
         i, j = np.nonzero(distance <= radius)
-        if len(columns) > 2 and len(i):  # the first two words leave few pairs
-            rest = sum(np.bitwise_count(fps[rows[i], c] ^ columns[c][a + j]).astype(np.int32) for c in range(2, len(columns)))
+        if len(columns) > FIRST and len(i):  # the first words leave few pairs
+            rest = sum(np.bitwise_count(fps[rows[i], c] ^ columns[c][a + j]).astype(np.int32) for c in range(FIRST, len(columns)))
             near = distance[i, j] + rest <= radius
             i, j = i[near], j[near]
         x, y = rows[i], second[a + j]
         if ratio and len(x):
-            near = np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y])
+            most = np.maximum(sizes[x], sizes[y])
+            # Sets that differ have a similarity of 1 - 1 / most at best: very short texts of two fingerprints never link.
+            near = (np.minimum(sizes[x], sizes[y]) >= ratio * most) & (most - 1 >= ratio * most)
             x, y = x[near], y[near]
         apart = root[x] != root[y]
         for p, q in zip(x[apart].tolist(), y[apart].tolist()):
             r, s = find(p), find(q)
-            if r != s:
+            if r != s and (confirmed is None or confirmed(p, q)):
                 root[max(r, s)] = min(r, s)
                 links.append((p, q))
         while (root[root] != root).any():
@@ -245,12 +277,63 @@ def links(nodes: DataFrame, radius: int, bits: int, ratio: float = 0.0, tile: in
     return dealt.groupBy("i", "j").applyInPandas(_comparer(words, radius, ratio), "a binary, b binary")
 
 
-def _linked(prints: DataFrame, radius: int, bits: int, ratio: float, tile: int) -> DataFrame:
-    """fp, least (the least id of its rows), n (how many rows have that id) and root (of its component) of every fingerprint of `prints` (doc_id, fp, size)."""
-    ids = prints.groupBy("fp", "doc_id").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n"))  # null only if there is no other
-    nodes = written(ids.groupBy("fp").agg(F.min("size").alias("size"), first.alias("f")).select("fp", "size", "f.doc_id", "f.n"), "nodes")
+def _confirmer(bits: int, radius: int, ratio: float):
+    def confirm(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part", kind="stable")
+        cut, sets = rows["fp"].tolist(), [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        part, sizes = rows["part"].to_numpy(), np.array([max(1, len(x)) for x in sets], np.int64)
+        n_first = int((part == part[0]).sum())
+        if part[0] == part[-1] and rows["i"].iloc[0] != rows["j"].iloc[0]:  # the other part has no texts
+            return pd.DataFrame({"a": [], "b": []})
+        same = lambda p, q: jaccard(sets[p], sets[q]) >= ratio
+        found = forest(_as_words(b"".join(cut), bits // 64), sizes, n_first, radius, ratio, same)
+        return pd.DataFrame({"a": [cut[p] for p, _ in found], "b": [cut[q] for _, q in found]})
+
+    return confirm
+
+
+def confirmed_links(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, radius: int, bits: int, ratio: float, batch: int) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs within `radius` bits and with a Jaccard similarity of at least `ratio`.
+
+    candidates: node and root of every fingerprint with a candidate but the
+    roots. nodes: fp, size and at, the row of `texts` (at, text) that stands
+    for it.
+    """
+    both = candidates.select(F.col("node").alias("fp"), "root").union(candidates.select(F.col("root").alias("fp"), "root").distinct())
+    members = written(both.join(nodes.select("fp", "size", "at"), "fp"), "members")
+    groups = members.groupBy("root").agg(F.sum(F.col("size").cast("bigint")).alias("n"))
+    groups = groups.withColumn("parts", F.ceil(F.col("n") / batch).cast("int"))
+    small = groups.where("parts = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_batches = max(-(-small // batch), 2 * members.sparkSession.sparkContext.defaultParallelism)
+    alone = F.col("parts") > 1
+    keyed = members.join(groups.drop("n"), "root").select(
+        "at",
+        "fp",
+        "parts",
+        F.when(alone, F.col("root")).alias("of"),
+        F.when(alone, F.lit(-1)).otherwise(F.pmod(F.xxhash64("root"), F.lit(n_batches))).alias("batch"),
+        F.pmod(F.xxhash64("fp"), "parts").cast("int").alias("part"),
+    )
+    sets = texts.join(keyed, "at").select("fp", "of", "batch", "part", "parts", _sets(shingle)("text").alias("hashes"))
+    dealt = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "fp", "of", "batch", "part", "hashes", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
+    )
+    return dealt.groupBy("of", "batch", "i", "j").applyInPandas(_confirmer(bits, radius, ratio), "a binary, b binary")
+
+
+def _linked(prints: DataFrame, shingle: int, radius: int, bits: int, ratio: float, tile: int, repeats: bool) -> DataFrame:
+    """fp, least (the least id of its rows), n (how many rows have that id) and root (of its component) of every fingerprint of `prints` (doc_id, fp, size, and with a ratio at and text)."""
+    if ratio and repeats:
+        raise ValueError("a ratio is one of sets of shingles, without repeats")
+    exact = ratio > 0
+    at = F.min("at") if exact else F.lit(None).cast("bigint")
+    ids = prints.groupBy("fp", "doc_id").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), at.alias("at"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n", "at"))  # null only if there is no other
+    found = ids.groupBy("fp").agg(F.min("size").alias("size"), first.alias("f"))
+    nodes = written(found.select("fp", "size", "f.doc_id", "f.n", "f.at"), "nodes")
     roots = components(links(nodes.select("fp", "size"), radius, bits, ratio, tile))
+    if exact:
+        roots = components(confirmed_links(roots, nodes, prints.select("at", "text"), shingle, radius, bits, ratio, BATCH))
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", F.col("doc_id").alias("least"), "n", F.coalesce("root", "fp").alias("root")
     )
@@ -260,7 +343,7 @@ def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
     bits: int = 256,
-    radius: int = 44,
+    radius: int = RADIUS,
     ratio: float = 0.8,
     repeats: bool = False,
     text: str = "text",
@@ -269,26 +352,31 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, fp (binary) and component_id, the least doc_id that links lead to, of every row.
 
-    The defaults link texts whose five-word shingles are similar by about 0.8
-    or more: a Jaccard similarity s is a cosine of 2s / (1 + s) at equal sizes,
-    an angle of 0.475 at 0.8, and so 39 of 256 bits on average; radius 44 is
-    one standard deviation more. Unrelated texts differ in 128 bits, with a
-    standard deviation of 8. Each different shingle counts once, as in the
-    Jaccard similarity, unless `repeats` is set.
+    The defaults link texts whose five-word shingles have a Jaccard similarity
+    of 0.8 or more. The radius only finds candidates and is wide for it: a
+    similarity s is a cosine of 2s / (1 + s) at equal sizes, an angle of 0.476
+    at 0.8, and so 39 of 256 bits on average with a standard deviation of 6.
+    Where even counts tie, in short texts, the mean is up to 48. At RADIUS a
+    pair of the least similarity is no candidate with a probability of 1e-4 at
+    four and five shingles and below 1e-6 from 12 shingles on. Unrelated texts
+    differ in 128 bits, with a standard deviation of 8. Each different shingle
+    counts once, as in the Jaccard similarity; with `repeats`, which goes with
+    no ratio, as often as it occurs, and the radius decides.
     """
-    found = docs.select(F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits, repeats).alias("p"))
-    prints = written(found.select("doc_id", "p.fp", "p.size"), "prints")
-    linked = _linked(prints, radius, bits, ratio, tile)
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), printed(F.col(text), shingle, bits, repeats).alias("p"))
+    more = [F.monotonically_increasing_id().alias("at"), "text"] if ratio else []
+    prints = written(found.select("doc_id", "p.fp", "p.size", *more), "prints")
+    linked = _linked(prints, shingle, radius, bits, ratio, tile, repeats)
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = linked.select("fp", "root").join(of_root, "root").select("fp", "component_id")
-    return prints.drop("size").join(ids, "fp").select("doc_id", "fp", "component_id")
+    return prints.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(
     docs: DataFrame,
     shingle: int = 5,
     bits: int = 256,
-    radius: int = 44,
+    radius: int = RADIUS,
     ratio: float = 0.8,
     repeats: bool = False,
     text: str = "text",
@@ -296,10 +384,10 @@ def one_of_each(
     tile: int = TILE,
 ) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the least id stays, and of rows that repeat that id with its fingerprint one."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits, repeats).alias("p"))
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"), F.col(doc_id).alias("doc_id"), printed(F.col(text), shingle, bits, repeats).alias("p"))
     # Written with the texts, since the fingerprints are needed twice and a second pass would compute them again.
-    kept_rows = written(rows.select("row", "doc_id", "p.fp", "p.size"), "prints")
-    linked = _linked(kept_rows.select("doc_id", "fp", "size"), radius, bits, ratio, tile)
+    kept_rows = written(rows.select("row", "at", "doc_id", "p.fp", "p.size"), "prints")
+    linked = _linked(kept_rows.select("doc_id", "fp", "size", "at", F.col("row")[text].alias("text")), shingle, radius, bits, ratio, tile, repeats)
     best = F.min(F.struct(F.col("least").isNull(), "least", "fp", "n")).alias("best")
     chosen = written(linked.groupBy("root").agg(best).select(F.col("best.fp").alias("k"), F.col("best.least").alias("id"), "best.n"), "chosen")
     same = (F.col("fp") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))

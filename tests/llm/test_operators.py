@@ -160,6 +160,37 @@ def test_one_of_each_keeps_one_row_and_all_columns(odd_docs, odd_rows, no_docs):
     assert simhash.one_of_each(nobody.union(nobody)).count() == 1
 
 
+def exact_groups(texts, least=0.8, k=5):
+    """Least index of each text's component under the exact Jaccard similarity of shingles."""
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(k)))) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= least * len(x | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("batch", [1 << 21, 500])
+def test_near_duplicates_are_exactly_those_at_the_ratio(spark, monkeypatch, batch):
+    monkeypatch.setattr(simhash, "BATCH", batch)
+    rng, texts = random.Random(11), []
+    for n in range(60):  # pairs from 0.72 to 0.9, most of them near 0.8; a chain that links only from text to text
+        words = prose(rng, 104).split()
+        cut = [9, 10, 11, 11, 12, 13, 15][n % 7]
+        texts += [" ".join(words), " ".join(words[:-cut] + prose(rng, cut).split())]
+    chain = prose(rng, 200).split()
+    texts += [" ".join(chain[i * 8 : i * 8 + 100]) for i in range(12)]
+    texts += ["one two three four five six seven eight", "one two three four five six seven eight nine"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = exact_groups(texts)
+    linked = sum(want[2 * n] == want[2 * n + 1] for n in range(60))
+    assert 10 < linked < 50 and set(want[120:132]) == {120} and want[-2:] == [132, 132]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == dict(enumerate(want))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(want))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
