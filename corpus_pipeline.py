@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens follow the target shares of sources, languages and topics."""
-    mixed = mixing.mix(_rows(docs, "doc_id", "text", "lang", "source"), MIX_SHARES, MIX_BUDGET)
+    mixed = mixing.mix(_rows(docs, "doc_id", "text", "lang", "source"), MIX_SHARES, MIX_BUDGET, fill=True)
     return mixed.where("sampled").select("row.*")
 
 

@@ -5,7 +5,11 @@ are raked: in turn for each dimension, every cell is scaled so that the shares
 of that dimension meet their targets, ROUNDS times over. What a cell should
 hold of the token budget, divided by what it has, is the probability of its
 documents, at most 1; `weight` says how often a kept document should be seen
-to make up for that bound.
+to make up for that bound. With `fill`, no weight is left over: cells that
+should hold more than they have are kept whole, what they hold is taken off
+the targets, and the others are raked for the rest until no cell exceeds what
+it has. A value whose target is beyond all its tokens gets all of them, the
+other values of its dimension share what it lacks, and a warning is logged.
 
 Only cells are aggregated and joined, never documents: their number follows
 the number of sources, languages and topics. A round's sums are partial sums
@@ -26,15 +30,19 @@ are replaced.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconlake.plans.lineage import written
 
 ROUNDS = 12
+MAX_CELLS = 200_000  # that come to the driver with `fill`; more are an error
+LOG = logging.getLogger(__name__)
 OUTPUTS = ("topic", "tokens", "probability", "weight", "sampled")
 
 
@@ -82,6 +90,61 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     return now.select(*cells.columns, "share")
 
 
+def reachable(wanted: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """`wanted` tokens of each value, at most `have`; the others take what a value lacks in proportion to what they want."""
+    out, full = wanted.astype(float), np.zeros(len(wanted), bool)
+    while (out > have * (1 + 1e-12)).any():
+        full |= out > have
+        left, rest = wanted.sum() - have[full].sum(), wanted[~full].sum()
+        out = np.where(full, have, wanted * (left / rest if rest > 0 else 0.0))
+    return out
+
+
+def filled(tokens: np.ndarray, codes: Sequence[np.ndarray], wanted: Sequence[np.ndarray], rounds: int = 500) -> np.ndarray:
+    """What each cell should hold, at most its tokens, so that the sums of each dimension (by `codes`) are `wanted`."""
+    share, full = tokens.astype(float), np.zeros(len(tokens), bool)
+    while True:
+        free = ~full
+        left = [np.maximum(0.0, w - np.bincount(c[full], tokens[full], len(w))) for c, w in zip(codes, wanted)]
+        for _ in range(rounds):
+            before = share.copy()
+            for c, w in zip(codes, left):
+                sums = np.bincount(c[free], share[free], len(w))
+                share[free] *= np.divide(w, sums, out=np.zeros(len(w)), where=sums > 0)[c[free]]
+            if np.allclose(share, before, rtol=1e-9, atol=0):
+                break
+        over = free & (share > tokens * (1 + 1e-9))
+        if not over.any():
+            return np.minimum(share, tokens)
+        full |= over
+        share[full] = tokens[full]
+
+
+def _filled_ratios(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float) -> DataFrame:
+    """`cells` with `ratio`, the part of its tokens that a cell should hold, at most 1."""
+    rows = cells.limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells of {', '.join(targets)}; fill needs coarser values")
+    tokens = np.array([r["tokens"] for r in rows], float)
+    codes, wanted = [], []
+    for dim, t in targets.items():
+        share = {r[dim]: r["target"] for r in t.collect()}
+        at = {v: i for i, v in enumerate(share)}
+        codes.append(np.array([at[r[dim]] for r in rows], np.int64))
+        want, have = np.array(list(share.values()), float) * budget * tokens.sum(), np.bincount(codes[-1], tokens, len(at))
+        for v, w, h in zip(share, want, have):
+            if w > h * (1 + 1e-9):
+                LOG.warning("%s %r: the target is %.0f tokens, all that there are is %.0f", dim, v, w, h)
+        wanted.append(reachable(want, have))
+    ratios = (filled(tokens, codes, wanted) / tokens).tolist() if rows else []
+    found = cells.sparkSession.createDataFrame([(*r, x) for r, x in zip(rows, ratios)], f"{_ddl(cells)}, ratio double")
+    return written(found, "raked")
+
+
+def _ddl(cells: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
+
+
 def uniform(seed: int, doc_id: Column) -> Column:
     """Number in [0, 1) fixed by seed and id."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
@@ -98,12 +161,14 @@ def mix(
     topic: Column | None = None,
     power: float = 0.5,
     rounds: int = ROUNDS,
+    fill: bool = False,
 ) -> DataFrame:
     """`docs` with topic, tokens, probability, weight and sampled.
 
     shares: for each dimension (columns of `docs`, or "topic") its target
     shares, or None for targets proportional to tokens ** power. budget: the
-    part of all tokens that the sample should hold.
+    part of all tokens that the sample should hold. fill: whether cells beyond
+    probability 1 pass on to others what they can't hold.
     """
     dims = list(shares)
     if "tokens" in docs.columns and text not in docs.columns:
@@ -111,10 +176,14 @@ def mix(
     else:
         featured = docs.withColumns({"topic": topic_of(F.col(text)) if topic is None else topic, "tokens": n_words(F.col(text))})
     cells = written(featured.groupBy(*dims).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
-    raked = rake(cells, {d: _targets(cells, d, shares[d], power) for d in dims})
-    whole = raked.agg(F.sum("share").alias("s"), F.sum("tokens").alias("n"))
-    sum_share, sum_tokens = whole.select("s").scalar(), whole.select("n").scalar()
-    ratio = F.col("share") / sum_share * F.lit(budget) * sum_tokens / F.col("tokens")
+    targets = {d: _targets(cells, d, shares[d], power) for d in dims}
+    if fill:
+        raked, ratio = _filled_ratios(cells, targets, budget), F.col("ratio")
+    else:
+        raked = rake(cells, targets)
+        whole = raked.agg(F.sum("share").alias("s"), F.sum("tokens").alias("n"))
+        sum_share, sum_tokens = whole.select("s").scalar(), whole.select("n").scalar()
+        ratio = F.col("share") / sum_share * F.lit(budget) * sum_tokens / F.col("tokens")
     rates = raked.select(*[F.col(d).alias(f"__{d}") for d in dims], ratio.alias("__ratio"))
     same: Sequence[Column] = [featured[d].eqNullSafe(rates[f"__{d}"]) for d in dims]
     joined = featured.join(rates, reduce(lambda a, b: a & b, same), "left")

@@ -324,6 +324,22 @@ def test_raking_meets_the_targets(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs, {"source": None}, budget=0.5).count() == 0
 
 
+def test_filled_cells_pass_on_what_they_cannot_hold(spark):
+    rows = [(i, "x " * 10, t, g) for i, (t, g) in enumerate([("a", "p")] * 50 + [("a", "q")] * 850 + [("b", "p")] * 700 + [("b", "q")] * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"p": 0.5, "q": 0.5}}
+    cut = mixing.mix(docs, shares, 0.5).agg(F.max("weight"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    assert cut[0] > 1 and cut[1] < 9_900
+    out = mixing.mix(docs, shares, 0.5, fill=True).withColumn("e", F.col("tokens") * F.col("probability")).cache()
+    assert out.agg(F.max("weight")).first()[0] == 1 and abs(out.agg(F.sum("e")).first()[0] - 10_000) < 1
+    for dim, of in shares.items():
+        got = {r[0]: r[1] / 10_000 for r in out.groupBy(dim).agg(F.sum("e")).collect()}
+        assert all(abs(got[v] - of[v]) < 1e-6 for v in of)
+    least = mixing.reachable(np.array([50.0, 30.0, 20.0]), np.array([10.0, 200.0, 25.0]))
+    assert np.allclose(least, [10, 65, 25])
+    assert mixing.mix(docs.limit(0), shares, 0.5, fill=True).count() == 0
+
+
 # --- 7: token shards
 
 
