@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reconlake.llm import decontaminate, html_text, mixing, pii, quality, simhash, token_shards, toxicity, url_filter, warc
 from reconlake.llm.components import components
+from reconlake.llm.queries import op4_toxicity
 from reconlake.llm.tokens import VOCABULARY, Encoder
 
 from .conftest import WORDS, prose
@@ -257,6 +259,15 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score(docs, toxicity.fit([])).agg(F.max("score")).first()[0] < 0.01
 
 
+def test_toxicity_finds_phrases_in_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").select("doc_id")
+    found = op4_toxicity(spark, folder).where("held_out").join(labels, "doc_id")
+    assert found.agg(F.avg((F.col("score") >= 0.7).cast("int"))).first()[0] > 0.85
+
+
 def test_toxicity_takes_a_bounded_sample(spark):
     docs = spark.createDataFrame([(i, "x" * i) for i in range(1, 60)] + [(None, "n"), (5, "again")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 80)] + [(None, 1), (6, None)], "doc_id long, toxic int")
