@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: one on ordinary text,
-one on toxic text. A text is cut into windows of each size of WINDOWS in words;
-a window that compresses to fewer bytes with the toxic dictionary is closer to
-toxic text. Wide windows show phrases, single words show words that a wide
-window hides behind a chance match. The savings of all windows of a text (their
-mean, the three largest, how many reach each of CLEAR bytes) become a score
-between 0 and 1 by a logistic curve calibrated on the same labelled texts, and
-0.7 is the threshold of the prediction.
+Two zstandard dictionaries are made from labelled texts: one from ordinary
+text, one from toxic text. A text is cut into windows of each size of WINDOWS
+in words; a window that compresses to fewer bytes with the toxic dictionary is
+closer to toxic text. Wide windows overlap by half, so that no phrase is split
+by all of them; single words show words that a wide window hides behind a
+chance match. The savings of all windows of a text (their mean, the three
+largest, how many reach each of CLEAR bytes) become a score between 0 and 1 by
+a logistic curve calibrated on the same labelled texts, and 0.7 is the
+threshold of the prediction.
 
 Both dictionaries share a body of common ordinary words and differ in the part
 behind it, so that an ordinary window costs the same with either. The toxic
@@ -16,7 +17,8 @@ toxic texts than in others, the ordinary part of as many bytes of rarer
 ordinary words. Near copies among the labelled texts count once, or else a
 copied text's own words would look significant. Each window is preceded by a
 fixed marker that both dictionaries hold, since zstandard leaves short input
-that barely compresses as it is, which would hide small savings.
+that barely compresses as it is, which would hide small savings, and followed
+by a fixed tail, since no match starts in the last eight bytes of an input.
 
 Fitting takes at most `max_rows` labelled texts of at most `max_bytes` each
 (ids in the order of a hash, so the sample is random and repeatable), on the
@@ -24,8 +26,8 @@ driver. The model is at most 2 * 80 KB and is broadcast. All texts are scored
 whole, row by row, without a shuffle.
 
 Nulls and odd rows: a null or wordless text scores as one without savings. Null
-ids are never labelled. Labels of unknown documents are ignored, rows with the
-same id are learned from once. Without labels of both kinds the score is the
+ids are never labelled. Labels of unknown documents are ignored; of rows with
+the same id the least text and the greatest label are learned from. Without labels of both kinds the score is the
 share of toxic labels (0 if there are none). Other columns of the documents are
 left out of `score`'s result.
 """
@@ -47,16 +49,17 @@ from pyspark.sql import functions as F
 
 from reconlake.llm.text import utf8
 
-WINDOWS = (8, 3, 1)  # words
+WINDOWS = (8, 1)  # words
 CLEAR = (1, 2, 3, 4)  # bytes saved
 MAX_ROWS, MAX_BYTES = 6000, 64 << 10
 THRESHOLD = 0.7
 LEAST_SHARE = 0.4  # of toxic texts among those with a gram of the toxic dictionary
 GRAMS = (5, 6, 7, 8)  # bytes, of a word between two spaces
 BODY_BYTES, PART_BYTES = 60_000, 16_000
-HELD_WORDS, HELD_BYTES = 1 << 16, 48  # how many words, and of what length at most, a worker process remembers the savings of
+HELD_WORDS, HELD_BYTES = 1 << 17, 48  # how many words, and of what length at most, a worker process remembers the savings of
 EDGES = b".,;:!?\"'()"
 MARKER = b"<=== every window starts with this line, so that it compresses ===>"
+TAIL = b" " + b"\n" * 8
 
 
 class Model(NamedTuple):
@@ -177,7 +180,7 @@ class Scorer:
     def saved(self, windows: list[bytes]) -> list[int]:
         """Bytes that the toxic dictionary saves over the ordinary one, of each window."""
         a, b, lead = self.ordinary, self.toxic, MARKER + b" "
-        return [len(a(w)) - len(b(w)) for w in [lead + w + b" " for w in windows]]
+        return [len(a(w)) - len(b(w)) for w in [lead + w + TAIL for w in windows]]
 
     def saved_by_word(self, words: list[bytes]) -> list[int]:
         """As `saved`, of each single word; frequent words are compressed once."""
@@ -194,7 +197,7 @@ class Scorer:
         """Logarithm of the number of words, and for each size of window the mean, the sum of the three largest, the sum, and how many reach each of CLEAR; the latter over the root of the number of windows."""
         out = [math.log1p(len(words))]
         for k in WINDOWS:
-            saved = self.saved_by_word(words) if k == 1 else self.saved([b" ".join(words[i : i + k]) for i in range(0, len(words), k)])
+            saved = self.saved_by_word(words) if k == 1 else self.saved([b" ".join(words[i : i + k]) for i in range(0, len(words), k // 2)])
             x = np.array(saved or [0])
             root = math.sqrt(len(x))
             out += [float(x.mean()), float(np.sort(x)[-3:].sum()), float(x.sum()) / root, *(float((x >= c).sum()) / root for c in CLEAR)]
@@ -240,10 +243,11 @@ def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, max_rows: int, max_bytes: int) -> list[tuple[str, int]]:
     """At most max_rows texts with their label."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & may_learn).select("doc_id", F.col(label).cast("int").alias("__label"))
-    ids = ids.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    ids = ids.groupBy("doc_id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", "text")
     # At most max_rows ids are broadcast.
-    rows = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__label").alias("__label"))
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     return list(zip(rows["text"], rows["__label"].astype(int)))
 
 

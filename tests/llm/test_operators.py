@@ -275,6 +275,27 @@ def test_toxicity_takes_a_bounded_sample(spark):
     assert 0 < len(got) <= 20 and all(len(t) <= 40 for t, _ in got)
 
 
+def test_toxicity_on_odd_rows(spark, odd_docs, odd_rows, no_docs):
+    rng = random.Random(4)
+    rows = [(prose(rng, 80) + (" zorkish blaggard quimbert" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    model = toxicity.fit(rows)
+    got = toxicity.score(odd_docs, model)
+    assert got.columns == ["doc_id", "score", "predicted"] and toxicity.score(no_docs, model).count() == 0
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in odd_rows)
+    assert all(0 <= r.score <= 1 for r in got.collect())
+    bad = ["zorkish", "blaggard", "quimbert", "zorkish"]
+    long = prose(rng, 60_000).split()
+    for i, w in enumerate(bad * 40):  # one passage in every 375 words of a very long text
+        long.insert(375 * i, w)
+    docs = spark.createDataFrame([(1, " ".join(long)), (1, " ".join(long))], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(docs, model).collect()] == [1, 1]
+
+
+def test_toxicity_finds_a_word_at_the_end_of_a_window():
+    scorer = toxicity.Scorer(b"plain words that are often used " + toxicity.MARKER, b"some other blurg words here " + toxicity.MARKER)
+    assert scorer.saved([b"blurg"])[0] > 0 and scorer.saved([b"plain one two three four five six blurg"])[0] < scorer.saved([b"one two three four five six blurg"])[0]
+
+
 # --- 5: quality
 
 
