@@ -4,21 +4,28 @@ A page becomes a sequence of words and tags. Words score positive, tags
 negative, and one linear scan finds the contiguous run with the largest sum,
 which is the content region. The scores are log-odds learned from labelled
 pages: of a tag, how much rarer it is inside main text than outside; of a word,
-how its enclosing elements (their names and the parts of their class, id and
-role) speak for or against main text. A word with an ancestor that speaks
-strongly against it is boilerplate: it and the tags around it score nothing and
-are left out even within the region, so an advert inside an article neither
-splits the article nor stays in its text.
+how the names of the elements around it (tag, class, id and role, as whole
+names and as their parts) speak for or against main text. Within the region
+an element whose own names speak strongly against main text is left out with
+all that it holds: an advert inside an article neither splits the article nor
+stays in its text.
+
+Names of the outermost elements (html, body, main, article) never count against
+their content, nor does a header's inside an article. Other elements that hold
+at least half of the page's words, and its heading or article, are wrappers,
+whatever they are called: a form or a `search-page` around a whole page.
 
 Blocks are joined in page order by one space; inline elements join without one;
 white space runs are one space; character references are decoded. Scripts,
 styles, comments and other unseen elements never count. Pages are judged one by
-one, whole, in one pass.
+one, whole, in time and memory linear in their length, however deep they nest.
 
 Nulls and odd rows: null or empty html gives the empty text, as does a page
-without any word in favour. Unclosed, misnested and truncated markup is read as
-far as it goes. Repeated rows are each judged. Other columns pass through;
-columns named like the outputs are replaced.
+without any word in favour. Unclosed and misnested elements end where the page
+or an outer element does; a tag that is cut off by the end of the page is
+dropped; an unseen element that is never closed hides nothing. Repeated rows
+are each judged. Other columns pass through; columns named like the outputs are
+replaced.
 """
 
 from __future__ import annotations
@@ -45,105 +52,131 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Fixed value: elements that a start tag of the same group closes.
 CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 #: Fixed value: elements whose content is never seen.
-UNSEEN = "script|style|noscript|template|textarea|svg|iframe|head|title|object|canvas|math|xmp|noembed|noframes"
+UNSEEN = frozenset("script style noscript template textarea svg iframe head title object canvas math xmp noembed noframes".split())
+#: Elements whose names never count against their content, and those of which a wrapper holds one.
+OUTER, HOLDS = frozenset("html body main article".split()), frozenset("h1 main article".split())
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    rf"|<(?P<unseen>{UNSEEN})(?=[\s/>])[^>]*>(?:.*?</(?P=unseen)\s*>|(?=.{{0,1}}))"
-    r"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?>[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+    # No quoted value reaches over the next tag, so that an open quote costs no scan of the rest.
+    r"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?>[^>"']++|"[^"<]*+"|'[^'<]*+')*+)>"""
     r"|</?[a-z][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
-AGAINST = -1.5  # log-odds below which an ancestor makes its words boilerplate
+AGAINST = -1.5  # log-odds below which an element's names make its content boilerplate
 LARGEST = 4.0
 
 
 class Weights(NamedTuple):
     tags: dict[str, float]  # negative
-    names: dict[str, float]  # element names as <name>, parts of class, id and role as they are
+    names: dict[str, float]  # of the features of an element
     tag: float  # of unknown tags
-    word: float  # of words without a known ancestor
+    word: float  # of words without a known element around them
+
+
+def names(rest: str) -> list[str]:
+    """The names of class, id and role."""
+    return [t for groups in NAMES.findall(rest) for t in next(filter(None, groups), "").split()] if "=" in rest else []
 
 
-def features(name: str, rest: str) -> list[str]:
-    """The name, unless inline, and the lower-cased parts of class, id and role of an element."""
-    found = [] if name in INLINE else [f"<{name}>"]
-    if "=" in rest:
-        for groups in NAMES.findall(rest):
-            found += [p.lower() for p in PART.findall(next(filter(None, groups), ""))]
-    return found
+def parts(token: str) -> list[str]:
+    """The parts of a compound name as features, lower-cased."""
+    found = PART.findall(token)
+    return [f"~{p.lower()}" for p in found] if len(found) > 1 else []
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """('text', text, ''), ('start', name, attributes), ('end', name, '') and ('gap', '', '') in page order."""
     at = 0
-    for m in TAG.finditer(page):
+    lower = page.lower()
+    lower = lower if len(lower) == len(page) else page  # some characters change length; then only lower-case end tags are found
+    open_ended: set[str] = set()  # unseen elements of which no further end follows
+    m = TAG.search(page)
+    while m:
         if m.start() > at:
             yield "text", page[at : m.start()], ""
         at = m.end()
         name = (m["name"] or "").lower()
-        if name and not m["end"]:
-            yield "start", name, m["rest"]
-        elif name:
-            yield "end", name, ""
-        elif m["unseen"]:
+        if name in UNSEEN and not m["end"] and name not in open_ended:
+            close = lower.find(f"</{name}", at)
+            if close < 0:
+                open_ended.add(name)
+            else:
+                stop = page.find(">", close)
+                at = len(page) if stop < 0 else stop + 1
+            yield "gap", "", ""
+        elif name in UNSEEN:
             yield "gap", "", ""
+        elif name:
+            yield ("end", name, "") if m["end"] else ("start", name, m["rest"])
+        m = TAG.search(page, at)
     if at < len(page):
         yield "text", page[at:], ""
 
 
 class Open:
-    """The open elements, each with the features of itself and all around it."""
+    """The open elements with a state of each, innermost last."""
 
-    def __init__(self) -> None:
-        self.names: list[str] = []
-        self.features: list[tuple[str, ...]] = [()]
+    def __init__(self, state) -> None:
+        self.names: list[str] = [""]
+        self.states = [state]
+        self.count: Counter[str] = Counter()
 
-    def start(self, name: str, rest: str) -> None:
-        while self.names and self.names[-1] in CLOSES.get(name, ()):
-            self.pop()
+    def before(self, name: str) -> list:
+        """Closes what a start tag closes; the states of it."""
+        return self._pop_while(lambda last: last in CLOSES.get(name, ()))
+
+    def start(self, name: str, state) -> None:
         if name not in VOID:
             self.names.append(name)
-            self.features.append((*self.features[-1], *features(name, rest)))
+            self.states.append(state)
+            self.count[name] += 1
 
-    def end(self, name: str) -> None:
-        if name in self.names:
-            while self.names[-1] != name:
-                self.pop()
-            self.pop()
+    def end(self, name: str) -> list:
+        """Closes the innermost element of that name and what is open in it; the states of all these."""
+        if not self.count[name]:
+            return []
+        return self._pop_while(lambda last: last != name) + self._pop_while(lambda last: self.count[name] and last == name, 1)
 
-    def pop(self) -> None:
-        self.names.pop()
-        self.features.pop()
+    def _pop_while(self, fits, most: int | None = None) -> list:
+        out = []
+        while len(self.names) > 1 and len(out) != most and fits(self.names[-1]):
+            self.count[self.names.pop()] -= 1
+            out.append(self.states.pop())
+        return out
 
 
 def learn(pages: Iterable[str] = LABELLED_PAGES, mark: str = "data-main") -> Weights:
     """Weights from pages in which elements with the attribute `mark` hold main text."""
     tags, words = (Counter(), Counter()), (Counter(), Counter())  # outside, inside
     for page in pages:
-        opened = Open()
+        opened = Open((False, frozenset()))
         for kind, x, rest in events(page):
             if kind == "start":
-                opened.start(x, rest + (f" class={mark}x" if mark in rest else ""))
+                opened.before(x)
+                inside, around = opened.states[-1]
+                tag = set() if x in INLINE or x in OUTER else {f"<{x}>"}
+                own = [f for t in names(rest) for f in (t.lower(), *parts(t))] if x not in OUTER else []
+                opened.start(x, (inside or mark in rest, around | tag | set(own)))
             elif kind == "end":
                 opened.end(x)
-            inside = "mainx" in opened.features[-1]
+            inside, around = opened.states[-1]
             if kind in ("start", "end"):
                 tags[inside][x] += 1
             elif kind == "text":
                 n = len(x.split())
                 words[inside][""] += n
-                for f in set(opened.features[-1]):
+                for f in around:
                     words[inside][f] += n
     n_tags = [sum(c.values()) + 1 for c in tags]
 
     def odds(a: Counter, b: Counter, f: str, n_a: int, n_b: int) -> float:
         return max(-LARGEST, min(LARGEST, math.log((a[f] + 0.5) / n_a) - math.log((b[f] + 0.5) / n_b)))
 
-    known = (set(words[0]) | set(words[1])) - {"", "data", "mainx", "<html>", "<body>"}
+    known = (set(words[0]) | set(words[1])) - {""}
     return Weights(
         {t: -0.1 if t in INLINE else max(-2.0, min(-0.1, odds(tags[1], tags[0], t, n_tags[1], n_tags[0]))) for t in set(tags[0]) | set(tags[1])},
         {f: odds(words[1], words[0], f, words[1][""], words[0][""]) for f in known},
@@ -152,47 +185,90 @@ def learn(pages: Iterable[str] = LABELLED_PAGES, mark: str = "data-main") -> Wei
     )
 
 
-def main_text(page: str | None, w: Weights) -> str:
-    """The main text of one page."""
-    opened = Open()
-    score_of: dict[tuple[str, ...], float] = {}
-    pieces: list[str] = []  # texts, and \0 for what ends a block
-    best = total = 0.0
-    region, start = (0, 0), 0
+def own_weight(w: Weights, opened: Open, name: str, rest: str) -> float:
+    """The least weight of an element's own names, at most 0; parts only count in names that are not known themselves."""
+    if name in OUTER:
+        return 0.0
+    least = 0.0
+    if name not in INLINE and not (name == "header" and (opened.count["article"] or opened.count["main"])):
+        least = min(least, w.names.get(f"<{name}>", 0.0))
+    for token in names(rest):
+        known = w.names.get(token.lower())
+        least = min(least, known) if known is not None else min([least, *[w.names[f] for f in parts(token) if f in w.names]])
+    return least
 
-    def word_score() -> float:
-        around = opened.features[-1]
-        if around not in score_of:
-            least = min((w.names[f] for f in around if f in w.names), default=0.0)
-            score_of[around] = 0.0 if least < AGAINST else max(0.2, w.word + least)
-        return score_of[around]
 
-    def boilerplate() -> bool:
-        return word_score() == 0.0
+def wrappers(steps: list[tuple[str, str, str]], w: Weights) -> set[int]:
+    """Places of start tags whose names speak against main text and which yet hold half of the page's words with its heading or article."""
+    opened = Open(-1)
+    begun: list[list[int]] = []  # place, words and heads before, then inside
+    words = heads = 0
 
-    for kind, x, rest in events(page or ""):
+    def close(states: list[int]) -> None:
+        for i in states:
+            if i >= 0:
+                begun[i][1:] = [words - begun[i][1], heads - begun[i][2]]
+
+    for at, (kind, x, rest) in enumerate(steps):
         if kind == "text":
-            n = len(x.split())
-            each = word_score()
-            score = n * each
-            pieces.append(x if each else "")
-        else:
-            quiet = kind == "gap" or boilerplate()
-            if kind == "start":
-                opened.start(x, rest)
-                quiet = boilerplate()
-            elif kind == "end":
-                opened.end(x)
-            score = 0.0 if quiet else w.tags.get(x, w.tag)
-            pieces.append("" if x in INLINE else "\0")
-        total += score
+            words += len(x.split())
+        elif kind == "start":
+            close(opened.before(x))
+            against = own_weight(w, opened, x, rest) < AGAINST
+            opened.start(x, len(begun) if against else -1)
+            if against and x not in VOID:
+                begun.append([at, words, heads])
+            heads += x in HOLDS
+        elif kind == "end":
+            close(opened.end(x))
+    close(opened.states)
+    return {at for at, n, found in begun if found and 2 * n >= words}
+
+
+def scored(page: str, w: Weights) -> tuple[list[str], list[float]]:
+    """Pieces of text ("\\0" ends a block; nothing for what is left out) and the score of each."""
+    steps = list(events(page))
+    outer = wrappers(steps, w)
+    opened = Open(0.0)  # least weight of the elements around
+    pieces, scores = [], []
+    for at, (kind, x, rest) in enumerate(steps):
+        around = opened.states[-1]
+        if kind == "text":
+            left_out = around < AGAINST
+            pieces.append("" if left_out else x)
+            scores.append(0.0 if left_out else len(x.split()) * max(0.2, w.word + around))
+            continue
+        if kind == "start":
+            opened.before(x)
+            own = 0.0 if at in outer else own_weight(w, opened, x, rest)
+            opened.start(x, min(opened.states[-1], own))
+        elif kind == "end":
+            opened.end(x)
+        quiet = kind == "gap" or min(around, opened.states[-1]) < AGAINST
+        pieces.append("" if x in INLINE else "\0")
+        scores.append(0.0 if quiet else w.tags.get(x, w.tag))
+    return pieces, scores
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Start and end (exclusive) of the contiguous run with the largest positive sum, the first such; (0, 0) if there is none."""
+    best = total = 0.0
+    region, start = (0, 0), 0
+    for i, x in enumerate(scores):
+        total += x
         if total <= 0.0:
-            total, start = 0.0, len(pieces)
+            total, start = 0.0, i + 1
         elif total > best:
-            best, region = total, (start, len(pieces))
-    text = "".join(pieces[region[0] : region[1]])
+            best, region = total, (start, i + 1)
+    return region
+
+
+def main_text(page: str | None, w: Weights) -> str:
+    """The main text of one page."""
+    pieces, scores = scored(page or "", w)
+    first, end = best_run(scores)
     # A page's own NUL characters only end blocks too; html does not allow them.
-    blocks = (" ".join(references.unescape(block).split()) for block in text.split("\0"))
+    blocks = (" ".join(references.unescape(block).split()) for block in "".join(pieces[first:end]).split("\0"))
     return " ".join(filter(None, blocks))
 
 

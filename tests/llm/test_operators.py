@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -427,6 +428,58 @@ def test_main_text_of_pages(spark):
     assert all(n == len(t) for t, n in got.values())
 
 
+ARTICLE = "<h1>The title of it all</h1><p>First paragraph with several words in it.</p><p>Second one with many more words than that.</p>"
+WORDS_OF = "The title of it all First paragraph with several words in it. Second one with many more words than that."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='has-sidebar'><nav><ul><li><a>x</a></ul></nav><article>{ARTICLE}</article><footer>words of the foot</footer></body>",
+        f"<body class='single tags login-enabled'><article>{ARTICLE}</article></body>",
+        f"<div id='search-page'><article>{ARTICLE}</article></div>",
+        f"<form action=x><div class=content>{ARTICLE}</div></form>",
+        f"<article><header>{ARTICLE.replace('</h1>', '</h1></header>')}</article>",
+        f"<div class=post-header>{ARTICLE.replace('</h1>', '</h1></div><div class=post>')}</div>",
+        f"<div class='content no-sidebar'>{ARTICLE}</div><div class=left-sidebar>side words words words words words words</div>",
+        f"<article class='post comments-open'>{ARTICLE}</article><section class=comments>{'<p>I liked it very much indeed and more so.</p>' * 9}</section>",
+        f"<div><a href=1>One</a> <a href=2>Two</a></div><div>{ARTICLE}</div><div><a href=1>One</a><br><a href=2>Two</a></div>",
+        f"<article>{ARTICLE.replace('<p>Second', '<div class=ad-slot>Buy this now, it is so very cheap and good</div><p>Second')}</article>",
+    ],
+)
+def test_main_text_of_layouts(page):
+    assert html_text.main_text(page, html_text.learn()) == WORDS_OF
+
+
+def test_the_scan_finds_the_largest_sum():
+    rng = random.Random(3)
+    for _ in range(300):
+        x = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(12))]
+        a, z = html_text.best_run(x)
+        assert sum(x[a:z]) == max([0.0] + [sum(x[i:j]) for i in range(len(x)) for j in range(i, len(x) + 1)])
+
+
+def test_the_scan_leaves_out_unnamed_boilerplate():
+    links = "".join(f"<div><a href=/{i}>Page {i}</a></div>" for i in range(9))
+    page, w = f"<div>{links}</div><div>{ARTICLE}</div><div>{links}</div>", html_text.learn()
+    assert html_text.main_text(page, w) == WORDS_OF
+    assert "Page 3" in "".join(html_text.scored(page, w)[0])  # without the scan it would stay
+
+
+@pytest.mark.parametrize("step", ['<div class="a b">word ', "<iframe>word ", "<p>x<b>y", '<a "x> ', "</span><div>q ", "<!-- x ", "<script>", "<li class=ad>w "])
+def test_main_text_of_unclosed_pages_is_linear(step):
+    w = html_text.learn()
+    began = time.process_time()
+    html_text.main_text(step * 100_000, w)
+    assert time.process_time() - began < 20
+
+
+def test_equal_pages_have_equal_texts(spark):
+    rows = spark.createDataFrame([(1, PAGE), (1, PAGE), (2, f"<article>{ARTICLE * 2000}</article>")], "page_id long, html string")
+    got = html_text.extract(rows).orderBy("page_id", "text").collect()
+    assert got[0] == got[1] and got[2].text == " ".join([WORDS_OF] * 2000)
+
+
 # --- 9: archives
 
 
