@@ -2,38 +2,49 @@
 
 Texts become byte-level BPE ids, cut into sequences of at most `length` ids
 with an end mark after each document. Sequences are numbered from 0 to N - 1 in
-the order of the tokenised table, which lies in the shared folder, and a keyed
-Feistel network over the next power of four, walked until it is back below N,
-sends each number to a slot of its own: a permutation that needs no sort, no
-random state and no list of what has been drawn. Slot s lies in shard
-s // `per_shard` at byte (s % `per_shard`) * stride, so a reader that knows only
-the next slot goes on from there.
-
-The tokens are shuffled once, into ranges of slots; numbering shuffles only
-counts of files. Slots are spread evenly whatever the sources or copies are
-like. A shard is at most per_shard * length ids, and so is a task's memory.
-
-Nulls and odd rows: a null or empty text has no sequence. A null id stays null.
-Repeated rows have sequences of their own. An empty table gives no shards. Other
-columns of the input are left out.
+the order of (doc_id, text, part), whatever files or partitions the documents
+come in, and a keyed Feistel network over the next power of four, walked until
+it is back below N, sends each number to a slot of its own: a permutation that
+needs no sort of the slots, no random state and no list of what has been drawn.
+Slot s lies in shard s // `per_shard` at byte (s % `per_shard`) * stride, so a
+reader that knows only the next slot goes on from there.
+
+The texts are shuffled once, into ranges of ids, which numbers them, and their
+tokens once, into ranges of shards. Both have as many partitions as
+PARTITION_BYTES asks for, so a task is as large at any size of the input; a
+repeated id is split by its texts and rows. What comes to the driver for the
+numbering is one count for each partition. Slots are spread evenly whatever
+the sources or copies are like. A shard is at most per_shard * length ids.
+
+`write_files` lays the shards down as files of bare ids with a manifest in
+Parquet, and `read_slots` reads any run of slots from the files by seeking.
+
+Nulls and odd rows: a null or empty text has no sequence. A null id stays null
+and comes first in the numbering; rows of one id follow the hash of their
+texts. Repeated rows have sequences of their own, and which of them is which
+makes no difference. An empty table gives no shards. Other columns of the input
+are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reconlake.llm.tokens import VOCABULARY, encoder, vocabulary
 from reconlake.plans.lineage import written
 
 LENGTH, PER_SHARD = 512, 256
 ROUNDS = 6
+PARTITION_BYTES = 64 << 20  # of text, and of token ids
+ROW_BITS = 33  # of monotonically_increasing_id that count the rows of a partition
 
 SHARDS = (
     "shard long, first_slot long, n_sequences int, length int, id_bytes int, doc_ids array<bigint>, "
@@ -81,29 +92,44 @@ def _sequences(sent, length: int):
     return F.pandas_udf(sequences, "array<binary>").asNondeterministic()  # so that no rewrite of the plan runs it twice
 
 
-def tokenised(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", vocab: str = VOCABULARY) -> DataFrame:
-    """doc_id, part, ids (little-endian) of every sequence, written to the shared folder."""
-    cut = _sequences(vocabulary(docs.sparkSession, vocab), length)(F.col(text))
-    return written(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.posexplode(cut).alias("part", "ids")), "tokens")
+def _partitions(n_bytes: int) -> int:
+    return max(1, -(-n_bytes // PARTITION_BYTES))
 
 
-def _slots(n: int, key: str):
-    def slots(index: pd.Series) -> pd.Series:
-        return pd.Series(permuted(index.to_numpy(), n, key))
+def tokenised(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", vocab: str = VOCABULARY) -> DataFrame:
+    """doc_id, part, ids (little-endian) and at of every sequence, written to the shared folder.
+
+    at: number of the partition, shifted by ROW_BITS, and row in it; in the
+    order of `at`, sequences are sorted by document.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    keyed = docs.where(F.octet_length(text) > 0).select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")
+    )
+    ordered = keyed.repartitionByRange(_partitions(size), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+    cut = _sequences(vocabulary(docs.sparkSession, vocab), length)(F.col("text"))
+    each = ordered.select("doc_id", F.posexplode(cut).alias("part", "ids"))
+    return written(each.withColumn("at", F.monotonically_increasing_id()), "tokens")
+
+
+def _slots(sent, n: int, key: str):
+    def slots(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series(permuted(sent.value[x >> ROW_BITS] + (x & ((1 << ROW_BITS) - 1)), n, key))
 
     return F.pandas_udf(slots, "bigint")
 
 
-def slotted(sequences: DataFrame, key: str) -> DataFrame:
-    """`sequences`, a table just as it was written, with the column slot."""
-    placed = sequences.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    # One row for each file; the window holds no sequences.
-    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = files.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    n = sequences.count()
-    slot = _slots(n, key)
-    return placed.join(offsets, "__file").withColumn("slot", slot(F.col("__before") + F.col("__row"))).drop("__file", "__row", "__before")
+def slotted(sequences: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """`sequences` with the column slot in place of `at`, and their number."""
+    counts = sequences.groupBy(F.shiftright("at", ROW_BITS).alias("p")).count().collect()  # one row for each partition
+    before = np.zeros(max((r["p"] for r in counts), default=0) + 2, np.int64)
+    for r in counts:
+        before[r["p"] + 1] = r["count"]
+    before = before.cumsum()
+    sent = sequences.sparkSession.sparkContext.broadcast(before)
+    n = int(before[-1])
+    return sequences.withColumn("slot", _slots(sent, n, key)("at")).drop("at"), n
 
 
 def _shard(length: int, per_shard: int, wide: int, pad: int):
@@ -131,11 +157,63 @@ def shards(
     """The shards (SHARDS) of the documents' tokens; ids behind a sequence's end are the end mark."""
     sent = vocabulary(docs.sparkSession, vocab)
     size = sum(1 for line in sent.value[1].splitlines() if line)
-    slots = slotted(tokenised(docs, length, text, doc_id, vocab), key).withColumn("shard", F.floor(F.col("slot") / per_shard))
+    wide = id_type(size + 1).itemsize
+    slots, n_sequences = slotted(tokenised(docs, length, text, doc_id, vocab), key)
+    n = min(_partitions(n_sequences * length * wide), max(1, -(-n_sequences // per_shard)))
     # Ids go through pandas as text, which keeps all 64 bits beside nulls.
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slots.select("shard", "slot", F.col("doc_id").cast("string"), "part", "ids").repartitionByRange(n, "shard")
-    return ranged.groupBy("shard").applyInPandas(_shard(length, per_shard, id_type(size + 1).itemsize, size), SHARDS)
+    sharded = slots.select(F.floor(F.col("slot") / per_shard).alias("shard"), "slot", F.col("doc_id").cast("string"), "part", "ids")
+    return sharded.repartitionByRange(n, "shard").groupBy("shard").applyInPandas(_shard(length, per_shard, wide, size), SHARDS)
+
+
+MANIFEST = SHARDS.replace("content binary", "file string, stride int")
+
+
+def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store and path of a folder, given as a path or as a URI."""
+    return pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+
+
+def write_files(made: DataFrame, folder: str) -> DataFrame:
+    """Writes shards as files of bare ids below `folder`, which all tasks must share, and returns their manifest (MANIFEST), written beside them.
+
+    A file is written under a name of its own and then moved to its place, so
+    a task that is repeated only replaces its files by equal ones.
+    """
+    columns = [x.split()[0] for x in MANIFEST.split(", ")]
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = _store(folder)
+        store.create_dir(path, recursive=True)
+        for b in batches:
+            b["file"] = [f"shard-{s:012d}.bin" for s in b["shard"]]
+            b["stride"] = b["length"] * b["id_bytes"]
+            for name, content in zip(b["file"], b["content"]):
+                draft = f"{path}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content)
+                store.move(draft, f"{path}/{name}")
+            yield b[columns]
+
+    made.mapInPandas(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
+    return read_manifest(made.sparkSession, folder)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
+
+
+def read_slots(folder: str, per_shard: int, stride: int, first_slot: int, n: int) -> Iterator[bytes]:
+    """The `stride` bytes of each of n slots from first_slot on, up to the last: what a trainer that resumes at a slot reads, in order."""
+    store, path = _store(folder)
+    while n > 0:
+        name = f"{path}/shard-{first_slot // per_shard:012d}.bin"
+        if store.get_file_info(name).type == pyarrow.fs.FileType.NotFound:
+            return
+        with store.open_input_file(name) as f:
+            f.seek(first_slot % per_shard * stride)
+            raw = f.read(min(n, per_shard - first_slot % per_shard) * stride)
+        yield from (raw[i : i + stride] for i in range(0, len(raw), stride))
+        first_slot, n = first_slot // per_shard * per_shard + per_shard, n - per_shard + first_slot % per_shard
 
 
 def read_from(written_shards: DataFrame, first_slot: int, n: int) -> DataFrame:

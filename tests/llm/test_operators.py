@@ -401,12 +401,44 @@ def test_shards_hold_every_token_once(spark, odd_docs, odd_rows, no_docs):
             got[r.doc_ids[k], r.parts[k], tuple(ids[k, : r.lengths[k]].tolist())] += 1
             slots.append(r.first_slot + k)
     assert got == want and sorted(slots) == list(range(sum(want.values())))
-    written = spark.createDataFrame(rows, token_shards.SHARDS)
-    resumed = token_shards.read_from(written, 11, 9).orderBy("slot").collect()
+    made = spark.createDataFrame(rows, token_shards.SHARDS)
+    resumed = token_shards.read_from(made, 11, 9).orderBy("slot").collect()
     assert [r.slot for r in resumed] == list(range(11, 20))
     assert token_shards.shards(no_docs, "key").count() == 0
 
 
+@pytest.mark.parametrize("split", [1, 2, 7])
+def test_slots_do_not_depend_on_the_split(spark, monkeypatch, odd_docs, odd_rows, split):
+    monkeypatch.setattr(token_shards, "PARTITION_BYTES", 1 << 16)  # several partitions of text and of shards
+    length, per = 32, 8
+    made = token_shards.shards(odd_docs.repartition(split), "key", length, per).collect()
+    enc = Encoder(open(VOCABULARY, "rb").read())
+    found = {r.first_slot + k: (r.doc_ids[k], r.parts[k], r.content[k * length * r.id_bytes :][: r.lengths[k] * r.id_bytes]) for r in made for k in range(r.n_sequences)}
+    n = len(found)
+    in_order = [found[s] for s in token_shards.permuted(np.arange(n), n, "key").tolist()]
+    # Brute force: documents by id, nulls first; texts of one id in either order.
+    want = []
+    for i, t, *_ in sorted((r for r in odd_rows if r[1]), key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.append(enc.encode(t), enc.size).astype(token_shards.id_type(enc.size + 1))
+        want += [(i, part, ids[at : at + length].tobytes()) for part, at in enumerate(range(0, len(ids), length))]
+    assert [x[0] for x in in_order] == [x[0] for x in want]
+    single = [x for x in want if [r[0] for r in odd_rows].count(x[0]) == 1]
+    assert [x for x in in_order if x in single] == single and Counter(in_order) == Counter(want)
+
+
+def test_shard_files_are_read_by_seeking(spark, odd_docs, tmp_path):
+    length, per, folder = 32, 8, str(tmp_path / "shards")
+    made = token_shards.shards(odd_docs, "key", length, per)
+    manifest = token_shards.write_files(made, folder).orderBy("shard").collect()
+    whole = b"".join(r.content for r in made.orderBy("shard").collect())
+    n, stride = sum(r.n_sequences for r in manifest), manifest[0].stride
+    assert len(whole) == n * stride and b"".join(open(f"{folder}/{r.file}", "rb").read() for r in manifest) == whole
+    for first, k in ((0, n), (11, 9), (7, 2), (n - 3, 50), (n, 4)):
+        assert b"".join(token_shards.read_slots(folder, per, stride, first, k)) == whole[first * stride : (first + k) * stride]
+    token_shards.write_files(made, f"file://{folder}")  # a repeated run leaves equal files
+    assert len(list((tmp_path / "shards").glob("*.bin"))) == len(manifest)
+
+
 # --- 8: main text
 
 PAGE = (
