@@ -6,8 +6,13 @@ foreign script, `fallback_share` (tokens of a single byte beyond ASCII) rises
 where characters are unknown to the vocabulary, and `token_entropy` (bits, of
 the text's own token counts) falls where it repeats itself or is a table. Each
 language has its band for the three; a text in another language is held to the
-band of its script, found by the share of its characters beyond Latin. Entropy
-can't exceed log2 of the number of tokens, so its floor grows with that number.
+band of its script, found by the share of its characters beyond Latin. The
+bands are those of long texts. A short text's measures scatter, so its bounds
+are wider by what the sampling of n tokens explains: ERROR / sqrt(n) for
+characters per token, SHARE_ERROR / sqrt(n) for the fallback share; and entropy
+can't exceed log2(n), so its floor grows with that. `fit_bands` finds the bands
+from texts that are known to be good; BANDS are its result on the labelled good
+texts of the test tables, by language.
 
 The plain rules reject texts of fewer than MIN_WORDS words and those of which
 over MAX_REPEATED percent of the words lie in three-word windows that occur
@@ -36,29 +41,42 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 
 from reconlake.llm.tokens import VOCABULARY, Encoder, encoder, vocabulary
 
+
+class Slack(NamedTuple):
+    """Of characters per token, fallback share and bits of entropy."""
+
+    chars: float
+    share: float
+    bits: float
+
+
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent
-MIN_TOKENS = 60  # shorter texts are held to the entropy floor only
+ERROR, SHARE_ERROR = 4.0, 0.3  # of one token
+SLOPE, MOST_SHARE, MOST_FLOOR = 0.2, 0.75, 6.5  # of the entropy's floor, see entropy_floor
+QUANTILE = 0.002  # of good texts beyond a bound
+SLACK = Slack(0.15, 0.015, 0.03)  # what is allowed beyond that
 
 
 class Band(NamedTuple):
-    """Accepted characters per token, and the largest share of fallback tokens."""
+    """Accepted characters per token, the largest share of fallback tokens, and where the entropy's floor starts."""
 
     least: float
     most: float
     fallback: float
+    entropy: float
 
 
-#: By language, with slack around what readable text of that language measures.
+#: Fitted values, see fit_bands; the largest characters per token is that of any prose.
+MOST = 5.5
 BANDS = {
-    "en": Band(2.30, 5.50, 0.02),
-    "de": Band(2.40, 5.50, 0.04),
-    "fr": Band(2.20, 5.50, 0.04),
-    "es": Band(2.15, 5.50, 0.04),
+    "en": Band(2.52, MOST, 0.015, 4.35),
+    "de": Band(2.57, MOST, 0.016, 4.35),
+    "fr": Band(2.28, MOST, 0.015, 4.15),
+    "es": Band(2.31, MOST, 0.015, 4.24),
 }
-LATIN, OTHER = Band(2.0, 5.5, 0.06), Band(0.5, 4.0, 0.6)
-#: Entropy floor in bits: FLOOR_SHARE of the possible, or the line, or FLOOR_MOST, whichever is least.
-FLOOR_SHARE, FLOOR_BASE, FLOOR_SLOPE, FLOOR_MOST = 0.75, 3.60, 0.273, 6.30
+#: Looser by a tenth than the loosest of the languages; other scripts have fewer characters a token, which may be bytes.
+LATIN, OTHER = Band(2.05, MOST, 0.06, 4.15), Band(0.5, 4.0, 0.6, 3.6)
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,9 +111,20 @@ def duplicate_lines(text: str) -> int:
     return sum(lines.values()) - len(lines)
 
 
-def entropy_floor(n_tokens: int) -> float:
+def entropy_floor(n_tokens: int, base: float) -> float:
+    """In bits: MOST_SHARE of the possible for short texts, then `base` and SLOPE for each doubling, at most MOST_FLOOR."""
     bits = math.log2(n_tokens)
-    return min(FLOOR_SHARE * bits, FLOOR_BASE + FLOOR_SLOPE * bits, FLOOR_MOST)
+    return min(MOST_SHARE * bits, base + SLOPE * bits, MOST_FLOOR)
+
+
+def inside(band: Band, n: int, per_token: float, fallback: float, entropy: float) -> bool:
+    """Do the measures of n tokens lie in the band?"""
+    error = 1 / math.sqrt(n)
+    return (
+        band.least - ERROR * error <= per_token <= band.most + ERROR * error
+        and fallback <= band.fallback + SHARE_ERROR * error
+        and entropy >= entropy_floor(n, band.entropy)
+    )
 
 
 def band_of(text: str, lang: str | None, bands: dict[str, Band]) -> Band:
@@ -116,9 +145,7 @@ def signals(text: str | None, lang: str | None, enc: Encoder, bands: dict[str, B
     per_token, fallback = (len(text) / n, float(enc.fallback[ids].mean())) if n else (0.0, 0.0)
     kept = not failed
     if kept and n >= 2:
-        band = band_of(text, lang, bands)
-        inside = n < MIN_TOKENS or (band.least <= per_token <= band.most and fallback <= band.fallback)
-        kept = inside and entropy >= entropy_floor(n)
+        kept = inside(band_of(text, lang, bands), n, per_token, fallback, entropy)
     n_symbols = len(SYMBOL.findall(text))
     return len(words), sum(map(len, words)), n_symbols, duplicate_lines(text), repeated, n, per_token, fallback, entropy, failed, kept
 
@@ -141,3 +168,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocab: str =
     """`docs` with the columns of SIGNALS; `kept` is the verdict."""
     found = docs.withColumn("__signals", measured(docs.sparkSession, F.col(text), F.col(lang), vocab, bands))
     return found.withColumns({n: F.col("__signals")[n] for n in SIGNALS.names}).drop("__signals")
+
+
+def fit_bands(good: DataFrame, lang: str = "lang") -> dict[str, Band]:
+    """Bands of each language from judged texts (SIGNALS) that are known to be good and pass the plain rules; one small row for each language comes to the driver."""
+    n = F.col("n_tokens")
+    error, bits = 1 / F.sqrt(n), F.log2(n)
+    rows = good.where(~F.col("base_failed") & (n >= 2) & F.col(lang).isNotNull()).groupBy(lang).agg(
+        F.percentile(F.col("chars_per_token") + ERROR * error, QUANTILE).alias("least"),
+        F.percentile(F.col("fallback_share") - SHARE_ERROR * error, 1 - QUANTILE).alias("fallback"),
+        F.percentile(F.col("token_entropy") - SLOPE * bits, QUANTILE).alias("entropy"),
+    )
+    return {r[lang]: Band(r["least"] - SLACK.chars, MOST, max(0.0, r["fallback"]) + SLACK.share, r["entropy"] - SLACK.bits) for r in rows.collect()}

@@ -330,6 +330,43 @@ def test_quality_bands():
     assert not verdict("Same words again. " * 60) and not verdict("too short")
 
 
+def brute_verdict(text, lang, enc):
+    """The verdict by its definition, token by token."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if len(words) < 50 or 100 * brute_repeated(words) > 50 * len(words):
+        return False
+    ids = enc.encoding.encode_ordinary(text)
+    raw = {i: b for b, i in enc.ranks.items()}
+    n, counts = len(ids), Counter(ids)
+    fallback = sum(len(raw[i]) == 1 and raw[i][0] > 127 for i in ids) / n
+    entropy = -sum(k / n * np.log2(k / n) for k in counts.values())
+    other = sum(c > "\u024f" and not "\u1e00" <= c <= "\u20cf" for c in text)
+    band = quality.BANDS.get(lang) or (quality.OTHER if 2 * other > len(text) else quality.LATIN)
+    wide = 1 / n**0.5
+    floor = min(0.75 * np.log2(n), band.entropy + 0.2 * np.log2(n), 6.5)
+    return bool(band.least - 4 * wide <= len(text) / n <= band.most + 4 * wide and fallback <= band.fallback + 0.3 * wide and entropy >= floor)
+
+
+def test_quality_verdict_equals_brute_force(spark, odd_docs, odd_rows):
+    enc, rng = Encoder(open(VOCABULARY, "rb").read()), random.Random(8)
+    noisy = [(1000 + i, " ".join(w + rng.choice(["", "%%%", " |", "é", "漢"]) for w in prose(rng, 60 + i).split()), rng.choice(["en", "de", None, "xx"])) for i in range(60)]
+    rows = [(i, t, g) for i, t, g, *_ in odd_rows] + noisy
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter((r.doc_id, r.text, r.lang, r.kept) for r in quality.judge(docs).collect())
+    want = Counter((i, t, g, brute_verdict(t, g, enc)) for i, t, g in rows)
+    assert got == want and len({k[-1] for k in want if k[0] and k[0] >= 1000}) == 2
+
+
+def test_quality_bands_are_those_of_the_labelled_texts(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.where("quality = 1").select("doc_id"), "doc_id")
+    found = quality.fit_bands(quality.judge(docs))
+    assert {k: tuple(round(x, 3 if i == 2 else 2) for i, x in enumerate(b)) for k, b in found.items()} == quality.BANDS
+
+
 def test_repeated_words_on_random_texts():
     rng = random.Random(4)
     for _ in range(200):
