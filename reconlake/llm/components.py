@@ -1,9 +1,11 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Every step is a partial aggregation and an equi-join on the links; a node with
-very many links is one aggregated row on one side of the join, whose other side
-Spark may split. The links are written to the shared folder after each round,
-and only their number and a checksum of them come to the driver.
+Every step is a partial aggregation and an equi-join on the links. A node with
+very many links (over HOT, or one in MOST_HOT of all links, whichever is more)
+would bring them all into one task of that join; such nodes, at most 2 *
+MOST_HOT of them whatever the number of links, are broadcast to the links
+instead. The links are written to the shared folder after each round, and only
+their number and a checksum of them come to the driver.
 """
 
 from __future__ import annotations
@@ -14,21 +16,31 @@ from pyspark.sql import functions as F
 from reconlake.plans.lineage import written
 
 MAX_ROUNDS = 60
+HOT, MOST_HOT = 1000, 10_000
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, n_links: int) -> DataFrame:
+    """`rows` (a, b) with m, the least b of each a."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = F.col("n") > max(HOT, n_links // MOST_HOT)
+    # rows hold each link at most twice, so at most 2 * MOST_HOT nodes are hot.
+    marked = rows.join(F.broadcast(least.where(hot).select("a", F.col("m").alias("hot"))), "a", "left")
+    cold = marked.where("hot is null").select("a", "b").join(least.where(~hot).select("a", "m"), "a")
+    return marked.where("hot is not null").select("a", "b", F.col("hot").alias("m")).union(cold.select("a", "b", "m"))
+
+
+def _large_star(links: DataFrame, n_links: int) -> DataFrame:
     """Each node's larger neighbours are linked to the least of it and its neighbours."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both, n_links).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n_links: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    found = _with_least(down, n_links)
+    moved = found.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(found.where("b = m").select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,7 +49,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h"))
     before = mark.first()
     for _ in range(MAX_ROUNDS if before["n"] else 0):
-        now = written(_small_star(_large_star(now)), "links")
+        now = written(_small_star(_large_star(now, before["n"]), before["n"]), "links")
         after = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first()
         if after == before:
             break

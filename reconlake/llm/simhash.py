@@ -15,11 +15,17 @@ links themselves: fewer links than it has rows, however large a group of
 copies. The forests' components are the components of all links.
 
 Only tiles (8 or 32 bytes a fingerprint) are shuffled, each to the pairs that
-aren't skipped. The work is a pair of tiles at a time, so memory is bounded by
-two tiles; the number of comparisons grows with the square of the number of
-distinct fingerprints, times the small part that isn't skipped.
+aren't skipped: a pair makes some 1,000 comparisons (256 for wide fingerprints)
+for each byte that is shuffled. The work is a pair of tiles at a time, so memory is bounded by two
+tiles; the number of comparisons grows with the square of the number of
+distinct fingerprints, times the part that isn't skipped. What is broadcast is
+the bounds of the tiles, 50 bytes for each TILE fingerprints (60 MB for 20
+billion), never a fingerprint.
 
 Where a ratio is given, a text is a set of shingles and links are confirmed.
+Sets of a similarity of at least the ratio have sizes of at least that ratio,
+so ordering tiles by size and skipping by it loses no link; population counts
+within the wide radius of candidates would skip next to nothing.
 The radius then only finds candidates: the shingles of the texts in a candidate
 component meet (a component of over BATCH shingles in parts of about BATCH,
 each pair of parts by itself), and of the pairs within the radius those that
@@ -55,6 +61,7 @@ TILE = 16384
 BLOCKS = 4  # of bits, whose population counts bound the distance of two tiles
 ROWS = 128  # compared at a time with a window of the other tile
 FIRST = 3  # words of a fingerprint that are compared for all pairs; 192 bits of unrelated texts differ in 96, with a deviation of 7
+PAIRS, MAX_TASKS = 4, 100_000  # pairs of tiles in a task, and tasks
 CHUNK = 1 << 14  # hashes whose bits are counted at a time
 RADIUS = 72  # of 256 bits, for candidates of a similarity of 0.8
 BATCH = 1 << 21  # shingles of 8 bytes that are confirmed together
@@ -267,12 +274,12 @@ def links(nodes: DataFrame, radius: int, bits: int, ratio: float = 0.0, tile: in
         return spark.createDataFrame([], "a binary, b binary")
     sent = spark.sparkContext.broadcast((bounds["tile"].to_numpy(), np.stack(bounds["low"]), np.stack(bounds["high"])))
     other = F.explode(_partners(sent, radius, ratio)("low", "high")).alias("other")
-    n_pairs = len(bounds) * (len(bounds) + 1) // 2
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    # The pairs that aren't skipped, counted from the bounds alone: a task has about as many of them at any size.
+    n_pairs = tiles.select(F.size(_partners(sent, radius, ratio)("low", "high")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
     dealt = (
         tiles.select("tile", other, "fps", "sizes")
         .select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fps", "sizes")
-        .repartition(min(n_pairs, most), "i", "j")
+        .repartition(min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, n_pairs // PAIRS)), "i", "j")
     )
     return dealt.groupBy("i", "j").applyInPandas(_comparer(words, radius, ratio), "a binary, b binary")
 

@@ -116,11 +116,17 @@ def brute_groups(prints, radius):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("tile", [4, 16384])
-def test_simhash_equals_brute_force(odd_docs, odd_rows, tile):
-    got = simhash.near_duplicates(odd_docs, shingle=3, bits=64, radius=12, ratio=0.0, repeats=True, tile=tile).collect()
+@pytest.mark.parametrize(("tile", "radius"), [(4, 2), (4, 12), (16384, 2)])
+def test_simhash_equals_brute_force(spark, odd_docs, odd_rows, tile, radius):
+    rng = random.Random(11)
+    long = prose(rng, 900).split()
+    near = [(500 + i, " ".join(w if rng.random() > i / 60 else "changed" for w in long)) for i in range(30)]  # some within two bits
+    odd_rows = [r[:2] for r in odd_rows] + near
+    odd_docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    got = simhash.near_duplicates(odd_docs, shingle=3, bits=64, radius=radius, ratio=0.0, repeats=True, tile=tile).collect()
     prints = {i: brute_print(r[1], 3) for i, r in enumerate(odd_rows)}
-    groups = brute_groups(prints, 12)
+    groups = brute_groups(prints, radius)
+    assert radius > 2 or 2 <= max(Counter(r for i, r in groups.items() if (odd_rows[i][0] or 0) >= 500).values()) < 30
     least = {}
     for i, root in groups.items():
         ids = [odd_rows[j][0] for j, r in groups.items() if r == root and odd_rows[j][0] is not None]
@@ -194,7 +200,9 @@ def test_near_duplicates_are_exactly_those_at_the_ratio(spark, monkeypatch, batc
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(want))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_components_of_chains_and_stars(spark, monkeypatch, hot):
+    monkeypatch.setattr("reconlake.llm.components.HOT", hot)
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {200 + i: 100 for i in range(30)}
