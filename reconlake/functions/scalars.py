@@ -47,6 +47,12 @@ def neighbour(number: Column, step: int) -> Column:
     return F.when(value > 0, F.concat(F.substr(number, F.lit(1), F.length(number) - F.length(digits)), padded))
 
 
+def numbered(number: Column) -> tuple[Column, Column]:
+    """What stands before the trailing digits, and their value; the value is null without digits."""
+    digits = F.regexp_extract(number, "([0-9]+)$", 1)
+    return F.substr(number, F.lit(1), F.length(number) - F.length(digits)), digits.try_cast("bigint")
+
+
 def natural_key(number: Column) -> list[Column]:
     """Sort keys of table order: dotted numbers by their parts, then everything else by its text."""
     numeric = number.rlike("^[0-9]+([.][0-9]+)*$")
@@ -108,13 +114,14 @@ def parsed_number(text: Column) -> Column:
     return F.replace(joined, F.lit(","), F.lit(".")).try_cast("double")
 
 
-#: Unit spellings and their families.
+#: Unit spellings, and the families of those that are converted.
+UNITS = ("м²", "кв.м", "м2", "м³", "куб.м", "м3", "%", "доли", "ед.", "ед", "шт.", "шт", "чел.", "чел", "мм", "м")
 UNIT_FAMILIES = {"м²": "area", "кв.м": "area", "м2": "area", "м³": "volume", "куб.м": "volume", "м3": "volume", "%": "percent", "доли": "fraction"}
 
 
 def unit_of(text: Column) -> Column:
     """The unit that the text starts with, longest spelling first; null if none."""
-    longest = sorted(UNIT_FAMILIES, key=len, reverse=True)
+    longest = sorted(UNITS, key=len, reverse=True)
     pattern = "|".join(u.replace(".", "[.]") for u in longest)
     return F.nullif(F.lower(F.regexp_extract(F.ltrim(text), f"^(?iu)({pattern})", 1)), F.lit(""))
 

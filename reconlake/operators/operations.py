@@ -46,9 +46,18 @@ def fan_out(events: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def increases(samples: DataFrame, window: str, *keys: str) -> DataFrame:
-    """keys, start, increase: growth of counters (ts, value) by window, where a fall is a restart from zero."""
-    order = Window.partitionBy(*keys).orderBy("ts", "value")
-    before = F.lag("value").over(order)
+    """keys, start, increase: growth of counters (ts, value) by window, where a fall is a restart from zero.
+
+    Samples are ordered within an hour of their counter, and each hour is
+    handed the last value before it, so that a counter's history is never
+    sorted in one piece.
+    """
+    hours = samples.withColumn("__hour", F.date_trunc("hour", "ts"))
+    last = hours.groupBy(*keys, "__hour").agg(F.max_by("value", F.struct("ts", "value")).alias("__last"))
+    carried = last.withColumn("__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__hour"))).drop("__last")
+    samples = hours.join(carried, [*keys, "__hour"])
+    order = Window.partitionBy(*keys, "__hour").orderBy("ts", "value")
+    before = F.coalesce(F.lag("value").over(order), "__carry")
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
     stepped = samples.withColumn("__step", step)
     grouped = stepped.groupBy(*keys, F.window("ts", window).alias("w")).agg(F.sum("__step").alias("increase"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed values of the registry format.
 REQUIRED = ("object_id", "file_name", "doc_stage")
 STAGES = ("PD", "RD", "ID")
 APPROVALS = ("DRAFT", "APPROVED", "FOR_CONSTRUCTION", "SUPERSEDED", "CANCELLED")

@@ -1,9 +1,9 @@
 """Two-sided reconciliation of rooms, and the composites of adjacent changes.
 
-Both sides meet in one full outer join on (sheet, scope, number). A one-sided
-room counts only if its sheet's other side shows both neighbours, which two
-equi-joins on derived numbers prove. Everything is keyed by sheet, so a plan
-shuffles each side once and reuses that partitioning for windows.
+Both sides are dealt once by (sheet, scope) and meet in an aggregate. A
+one-sided room counts only if its sheet's other side shows both neighbours,
+which a window over the numbers of one prefix proves. The composites keep the
+same partitioning.
 """
 
 from __future__ import annotations
@@ -22,41 +22,47 @@ def verdict(pd_area: Column, rd_area: Column, relative: float) -> Column:
 
 
 def reconcile(pd: DataFrame, rd: DataFrame, relative: float) -> DataFrame:
-    """sheet, scope, number, pd_area, rd_area, status (null: no finding), expected, actual, delta (texts) for the union of rooms.
+    """sheet, scope, number, pd_area, rd_area, proved, status (null: no finding), expected, actual, delta (texts) for the union of rooms.
 
-    pd, rd: sheet, scope, number, area; unique by the first three.
+    pd, rd: sheet, scope, number, area; unique by the first three. The rooms of
+    both sides are dealt once by (sheet, scope); meeting the other side,
+    finding neighbours and later the composites all keep that partitioning.
     """
-    a, b = pd.alias("a"), rd.alias("b")
-    same = (F.col("a.sheet") == F.col("b.sheet")) & F.col("a.scope").eqNullSafe(F.col("b.scope")) & (F.col("a.number") == F.col("b.number"))
-    both = a.join(b, same, "full_outer").select(
-        F.coalesce("a.sheet", "b.sheet").alias("sheet"), F.coalesce("a.scope", "b.scope").alias("scope"),
-        F.coalesce("a.number", "b.number").alias("number"), F.col("a.area").alias("pd_area"), F.col("b.area").alias("rd_area"),
-    )
-    # Which sides show a number: one row a room, joined once for each neighbour.
-    shown = both.select(
-        F.col("sheet").alias("s"), F.col("scope").alias("c"), F.col("number").alias("n"),
-        F.col("pd_area").isNotNull().alias("in_pd"), F.col("rd_area").isNotNull().alias("in_rd"),
-    )
-    out = both
-    for name, step in (("lower", -1), ("upper", 1)):
-        near = shown.select(*[F.col(c).alias(f"{name}_{c}") for c in shown.columns])
-        on = (F.col("sheet") == F.col(f"{name}_s")) & F.col("scope").eqNullSafe(F.col(f"{name}_c")) & (scalars.neighbour(F.col("number"), step) == F.col(f"{name}_n"))
-        out = out.join(near, on, "left")
-    proved = lambda side: F.coalesce(F.col(f"lower_{side}") & F.col(f"upper_{side}"), F.lit(False))
-    status = (
-        F.when(F.col("pd_area").isNull(), F.when(proved("in_pd"), CANDIDATE))
-        .when(F.col("rd_area").isNull(), F.when(proved("in_rd"), CANDIDATE))
-        .otherwise(verdict(F.col("pd_area"), F.col("rd_area"), relative))
+    none = F.lit(None).cast("double")
+    sides = pd.select("sheet", "scope", "number", F.col("area").alias("pd_area"), none.alias("rd_area")).unionByName(
+        rd.select("sheet", "scope", "number", none.alias("pd_area"), F.col("area").alias("rd_area"))
     )
-    with_status = out.withColumn("status", status)
+    both = sides.repartition("sheet", "scope").groupBy("sheet", "scope", "number").agg(F.max("pd_area").alias("pd_area"), F.max("rd_area").alias("rd_area"))
+    prefix, place = scalars.numbered(F.col("number"))
+    row = both.withColumns({"__prefix": prefix, "__at": place})
+    shown = F.struct("number", F.col("pd_area").isNotNull().alias("in_pd"), F.col("rd_area").isNotNull().alias("in_rd"))
+
+    def near(step: int) -> Column:
+        at = Window.partitionBy("sheet", "scope", "__prefix").orderBy("__at").rangeBetween(step, step)
+        return F.collect_list(shown).over(at)
+
+    found = row.withColumns({"__lower": near(-1), "__upper": near(1)})
+
+    def proved(side: str) -> Column:
+        same = lambda name, step: F.exists(name, lambda x: (x["number"] == scalars.neighbour(F.col("number"), step)) & x[side])
+        return F.coalesce(same("__lower", -1) & same("__upper", 1), F.lit(False))
+
+    with_proof = found.withColumn("proved", F.when(F.col("pd_area").isNull(), proved("in_pd")).when(F.col("rd_area").isNull(), proved("in_rd")))
+    return stated(with_proof.select("sheet", "scope", "number", "pd_area", "rd_area", "proved"), relative)
+
+
+def stated(both: DataFrame, relative: float) -> DataFrame:
+    """Findings of rooms (pd_area, rd_area, proved: do both neighbours of a one-sided room stand on the other side) at a tolerance."""
+    status = F.when(F.col("proved").isNull(), verdict(F.col("pd_area"), F.col("rd_area"), relative)).when(F.col("proved"), CANDIDATE)
+    with_status = both.select("sheet", "scope", "number", "pd_area", "rd_area", "proved", status.alias("status"))
     found = F.col("status").isNotNull()
     changed = F.col("status") == CANDIDATE
     return with_status.select(
-        "sheet", "scope", "number", "pd_area", "rd_area", "status",
+        "*",
         F.when(found, scalars.fixed(F.col("pd_area"))).alias("expected"),
         F.when(found, scalars.fixed(F.col("rd_area"))).alias("actual"),
         F.when(changed, scalars.signed(F.col("rd_area") - F.col("pd_area"))).alias("delta"),
-    )
+    )
 
 
 def islands(findings: DataFrame) -> DataFrame:
@@ -94,24 +100,27 @@ def totals(pd: DataFrame, rd: DataFrame, relative: float) -> DataFrame:
     )
 
 
-def pair_sheets(pd: DataFrame, rd: DataFrame, least: float = 0.5) -> DataFrame:
-    """rd_sheet, pd_sheet, shared, share: the PD sheet that shares most numbers with each RD sheet, relative to the smaller of both.
+def pair_sheets(pd: DataFrame, rd: DataFrame, *within: str, least: float = 0.5) -> DataFrame:
+    """within, rd_sheet, pd_sheet, shared, share: the PD sheet that shares most numbers with each RD sheet, relative to the smaller of both.
 
-    pd, rd: sheet, number; unique. Ties go to the lesser PD sheet. Only sheets
-    that share a number meet, through an equi-join on it.
+    pd, rd: the columns `within`, sheet, number; unique. Ties go to the lesser
+    PD sheet. Only sheets of one object (`within`) that share a number meet,
+    through an equi-join on both, so that a number which every sheet holds
+    pairs no more than the sheets of one package.
     """
-    n_pd = pd.groupBy(F.col("sheet").alias("pd_sheet")).agg(F.count(F.lit(1)).alias("n_pd"))
-    n_rd = rd.groupBy(F.col("sheet").alias("rd_sheet")).agg(F.count(F.lit(1)).alias("n_rd"))
+    keys = list(within)
+    n_pd = pd.groupBy(*keys, F.col("sheet").alias("pd_sheet")).agg(F.count(F.lit(1)).alias("n_pd"))
+    n_rd = rd.groupBy(*keys, F.col("sheet").alias("rd_sheet")).agg(F.count(F.lit(1)).alias("n_rd"))
     shared = (
-        pd.select(F.col("sheet").alias("pd_sheet"), "number")
-        .join(rd.select(F.col("sheet").alias("rd_sheet"), "number"), "number")
-        .groupBy("rd_sheet", "pd_sheet")
+        pd.select(*keys, F.col("sheet").alias("pd_sheet"), "number")
+        .join(rd.select(*keys, F.col("sheet").alias("rd_sheet"), "number"), [*keys, "number"])
+        .groupBy(*keys, "rd_sheet", "pd_sheet")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     share = F.col("shared") / F.least("n_pd", "n_rd")
-    rated = shared.join(n_pd, "pd_sheet").join(n_rd, "rd_sheet").withColumn("share", share)
+    rated = shared.join(n_pd, [*keys, "pd_sheet"]).join(n_rd, [*keys, "rd_sheet"]).withColumn("share", share)
     best = F.max_by(F.struct("pd_sheet", "shared", "share"), F.struct("share", -F.col("pd_sheet")))
-    return rated.groupBy("rd_sheet").agg(best.alias("b")).select("rd_sheet", "b.*").where(F.col("share") >= least)
+    return rated.groupBy(*keys, "rd_sheet").agg(best.alias("b")).select(*keys, "rd_sheet", "b.*").where(F.col("share") >= least)
 
 
 def chain_clusters(rooms: DataFrame, gap: float = 0.005) -> DataFrame:

@@ -10,10 +10,10 @@ OPEN = ("CANDIDATE", "CLARIFICATION_REQUIRED")
 
 def visible(checks: DataFrame) -> DataFrame:
     """Checks that stand by themselves: unsplit tops, and atoms of composites that were split. Every count goes through here."""
-    parents = checks.where("split_at is not null").select(F.col("check_id").alias("__parent"))
-    marked = checks.join(parents, F.col("parent_id") == F.col("__parent"), "left")
-    top = F.col("parent_id").isNull() & F.col("split_at").isNull()
-    return marked.where(top | F.col("__parent").isNotNull()).drop("__parent")
+    # Only atoms meet their parents; the many checks without one never share a key.
+    split = checks.where("split_at is not null").select(F.col("check_id").alias("__parent"))
+    atoms = checks.where("parent_id is not null").join(split, F.col("parent_id") == F.col("__parent"), "left_semi")
+    return checks.where("parent_id is null and split_at is null").union(atoms)
 
 
 def bucket(status: Column) -> Column:

@@ -161,16 +161,15 @@ def due_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with e as (select event_id, case when event_id % 3 = 0 then user_id end as owner_id, case event_id % 2 when 0 then 'BUILDING' else 'MACHINERY' end as role from events where event_id % 40 = 0)
+    """with e as (select event_id, case when event_id % 3 = 0 then user_id end as owner_id, user_id // 20 as role from events)
     select event_id, owner_id as user_id from e where owner_id is not null union all
-    select event_id, c_custkey from e join (select * from customer where c_custkey % 20 = 0) on c_mktsegment = role where owner_id is null"""
+    select event_id, c_custkey from e join customer on c_custkey // 20 = role where owner_id is null"""
 )
 def notify_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    events = table(spark, sf_dir, "events").where(k % 40 == 0).select(
-        k, F.when(k % 3 == 0, F.col("user_id")).alias("owner_id"), F.when(k % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("role")
-    )
-    users = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role"))
+    team = lambda c: F.floor(F.col(c) / 20).alias("role")  # noqa: E731 - of twenty, so that the fan-out grows with the events
+    events = table(spark, sf_dir, "events").select(k, F.when(k % 3 == 0, F.col("user_id")).alias("owner_id"), team("user_id"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), team("c_custkey"))
     return operations.fan_out(events, users)
 
 
@@ -251,7 +250,7 @@ def stream_task_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keep(path: str):
-    def keep(rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(path)
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")  # a repeated batch replaces its own rows only
 
     return keep

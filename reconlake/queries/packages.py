@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconlake.functions import scalars
-from reconlake.operators import merging, metrics, registry, sources, views
+from reconlake.operators import merging, metrics, registry, rooms, sources, views
 from reconlake.plans import shapes
 from reconlake.plans.shapes import CHECKS_SQL, FILES_SQL
 from reconlake.queries.reconciliation import _found, found_sql
@@ -207,8 +207,9 @@ MERGE_SQL = f"""{found_sql(0.25)},
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["sheet", "number", "status", "expected", "actual", "delta"]
-    old = _found(spark, sf_dir, 0.25).where("status is not null and sheet % 7 > 0").select(*keep, (F.col("sheet") % 3 == 0).alias("decided"))
-    new = _found(spark, sf_dir, 0.5).where("status is not null and (sheet + cast(number as int)) % 11 > 0").select(*keep)
+    found = _found(spark, sf_dir, 0.25)
+    old = found.where("status is not null and sheet % 7 > 0").select(*keep, (F.col("sheet") % 3 == 0).alias("decided"))
+    new = rooms.stated(found, 0.5).where("status is not null and (sheet + cast(number as int)) % 11 > 0").select(*keep)
     return merging.plan(old, new, ["sheet", "number"], keep[2:])
 
 

@@ -45,32 +45,40 @@ def label_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select p_partkey, case p_partkey % 5 when 0 then printf('%.2f', round(p_retailprice, 1)) when 1 then printf('%.2f', p_retailprice) when 2 then printf('%.2f', p_size::double)
-      when 3 then printf('%.2f', p_size::double) end as value from part"""
+    """select p_partkey, case p_partkey % 10 when 0 then printf('%.2f', p_retailprice) when 1 then printf('%.2f', p_retailprice) when 2 then printf('%.2f', p_size::double)
+      when 3 then printf('%.2f', p_size::double) when 5 then printf('%.2f', floor(p_retailprice)) when 6 then printf('%.2f', 7000 + p_size + 25e-2::double) when 7 then '2024.00'
+      when 8 then printf('%.2f', p_size::double) when 9 then printf('%.2f', p_size::double) end as value,
+      case p_partkey % 10 when 0 then 'м2' when 1 then 'кв.м' when 2 then '%' when 3 then 'доли' when 8 then ['ед', 'ед', 'шт', 'шт', 'чел', 'чел', 'мм', 'м'][(p_size % 8 + 1)::int] end as unit from part"""
 )
 def number_unit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, price, size = F.col("p_partkey"), F.col("p_retailprice"), F.col("p_size")
     text = F.get(
         F.array(
-            F.concat(scalars.fixed(F.round(price, 1), 1), F.lit(" м2")), F.concat(scalars.comma(scalars.fixed(price)), F.lit(" кв.м")),
-            F.concat(size.cast("string"), F.lit(" %")), F.concat(scalars.fixed(size / 100), F.lit(" доли")),
+            F.concat(F.lit("S м2: "), scalars.comma(scalars.fixed(price)), F.lit(" м2")), F.concat(scalars.comma(scalars.fixed(price)), F.lit(" кв.м")),
+            F.concat(size.cast("string"), F.lit(" %")), F.concat(scalars.comma(scalars.fixed(size / 100)), F.lit(" доли")),
             F.concat(F.lit("1 "), F.lpad(size.cast("string"), 3, "0"), F.lit(",5 м³")),
-        ), (k % 5).cast("int"),
+            F.concat(F.lit("— "), scalars.fixed(price), F.lit(" м2")),  # a dotted number is read up to the dot
+            F.concat(F.lit("7 "), F.lpad(size.cast("string"), 3, "0"), F.lit(",25")),
+            F.lit("2024 100 лет"),  # no thousands: four digits before the space
+            F.concat(size.cast("string"), F.get(F.array(*map(F.lit, ["ед.", "ед", " шт.", "шт", "чел.", "чел", "мм", "м"])), size % 8)),
+            F.concat(F.lit(": "), size.cast("string"), F.lit(" RAL")),
+        ), (k % 10).cast("int"),
     )
-    wanted = F.when(k % 5 < 2, "м²").when(k % 5 < 4, "%").otherwise("м²")
-    return table(spark, sf_dir, "part").select("p_partkey", scalars.fixed(matrix.value_of(text, wanted)["value"]).alias("value"))
+    wanted = F.when(k % 10 < 2, "м²").when(k % 10 < 4, "%").otherwise("м²")
+    found = matrix.value_of(text, wanted)
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.fixed(found["value"]).alias("value"), found["unit"].alias("unit"))
 
 
 @query(
-    """with c as (select l_partkey % 40 as code, l_linestatus as side, printf('%.1f', l_tax * 10) as key, l_orderkey * 10 + l_linenumber as ord, l_tax * 10 as value,
-      case when l_quantity > 25 then 85e-2 else 1e0 end as confidence from lineitem where l_orderkey % 50 = 0),
+    """with c as (select l_partkey as code, l_linestatus as side, printf('%.1f', l_tax * 10) as key, l_orderkey * 10 + l_linenumber as ord, l_tax * 10 as value,
+      case when l_quantity > 25 then 85e-2 else 1e0 end as confidence from lineitem),
     b as (select *, row_number() over (partition by code, side order by confidence desc, ord, value) as k from c)
     select code, side, count(distinct key) as n_values, case when count(distinct key) = 1 then max(printf('%.2f', value)) filter (k = 1) end as value,
       max(confidence) as confidence, string_agg(distinct key, '; ' order by key) as shown from b group by all"""
 )
 def side_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(
-        (F.col("l_partkey") % 40).alias("code"), F.col("l_linestatus").alias("side"), (F.col("l_tax") * 10).alias("value"),
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("code"), F.col("l_linestatus").alias("side"), (F.col("l_tax") * 10).alias("value"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_quantity") > 25, 0.85).otherwise(1.0).alias("confidence"),
     )
     return matrix.resolve_side(rows, "code", "side").withColumn("value", scalars.fixed(F.col("value")))
@@ -131,18 +139,20 @@ RULES = [
     ("доля < 30 %", "%", None, None),
     ("> 1 м и < 2 м", "м", None, None),
     ("без сравнения", "м", None, None),
+    ("высота > 3-5 м", "м", None, None),
+    ("шаг менее 0.8 - 1,2 м", "м", None, None),
 ]
 
 
 @query(
     f"""with r(i, logic, op, threshold) as (values {', '.join(f"({i}, '{t}', {op!r}, {v}::double)" if op else f"({i}, '{t}', null, null)" for i, (t, u, op, v) in enumerate(RULES))})
-    select p_partkey, logic, op, threshold from part join r on p_partkey % {len(RULES)} = i"""
+    select p_partkey, logic, op, threshold, case when op = 'value_lt' then threshold end as min_value, case when op = 'value_gt' then threshold end as max_value from part join r on p_partkey % {len(RULES)} = i"""
 )
 def derive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("p_partkey") % len(RULES)).cast("int")
     logic, unit = (F.get(F.array(*[F.lit(r[j]) for r in RULES]), at) for j in (0, 1))
     rule = matrix.derive_rule(logic, unit)
-    return table(spark, sf_dir, "part").select("p_partkey", logic.alias("logic"), rule["op"].alias("op"), rule["threshold"].alias("threshold"))
+    return table(spark, sf_dir, "part").select("p_partkey", logic.alias("logic"), rule.alias("r")).select("p_partkey", "logic", "r.*")
 
 
 @query(

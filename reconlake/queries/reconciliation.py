@@ -15,13 +15,11 @@ from reconlake.sources.tables import table
 
 def found_sql(relative: float) -> str:
     """SQL of rooms.reconcile over shapes.rooms."""
-    return f"""{ROOMS_SQL},
-    p as (select * from rooms where side = 'F'), r as (select * from rooms where side = 'O'),
-    j as (select coalesce(p.sheet, r.sheet) as sheet, coalesce(p.number, r.number) as number, p.area as pa, r.area as ra
-          from p full outer join r on p.sheet = r.sheet and p.number = r.number),
-    n as (select j.*, lo.pa as lpa, lo.ra as lra, up.pa as upa, up.ra as ura from j
-          left join j lo on lo.sheet = j.sheet and lo.number::int = j.number::int - 1 left join j up on up.sheet = j.sheet and up.number::int = j.number::int + 1),
-    f as (select sheet, number, pa, ra, case
+    return f"""rooms as materialized (select l_partkey as sheet, l_linenumber::bigint as num, l_linestatus as side, sum(l_quantity) as area from lineitem group by all),
+    j as materialized (select sheet, num, max(area) filter (side = 'F') as pa, max(area) filter (side = 'O') as ra from rooms group by all),
+    n as materialized (select j.*, lo.pa as lpa, lo.ra as lra, up.pa as upa, up.ra as ura from j
+          left join j lo on lo.sheet = j.sheet and lo.num + 1 = j.num left join j up on up.sheet = j.sheet and up.num - 1 = j.num),
+    f as (select sheet, num::varchar as number, pa, ra, case
             when pa is null then case when lpa is not null and upa is not null then 'CANDIDATE' end
             when ra is null then case when lra is not null and ura is not null then 'CANDIDATE' end
             when abs(ra - pa) <= 5e-3 or (pa <> 0 and abs(ra - pa) <= {relative}::double * abs(pa))
@@ -92,17 +90,19 @@ def floor_totals_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with s as (select distinct l_orderkey % 300 as sheet, l_partkey % 97 as number, l_linestatus as side from lineitem where l_quantity <= 10),
-    n as (select sheet, side, count(*) as n from s group by all),
-    o as (select r.sheet as rd_sheet, p.sheet as pd_sheet, count(*) as shared from s p join s r on p.number = r.number and p.side = 'F' and r.side = 'O' group by all),
-    q as (select o.*, shared / least(np.n, nr.n)::double as share from o join n np on np.sheet = pd_sheet and np.side = 'F' join n nr on nr.sheet = rd_sheet and nr.side = 'O'),
-    b as (select *, row_number() over (partition by rd_sheet order by share desc, pd_sheet) as k from q)
-    select rd_sheet, pd_sheet, shared, share from b where k = 1 and share >= 5e-1"""
+    """with s as (select distinct l_partkey as object_id, l_suppkey as sheet, l_linenumber as number, l_linestatus as side from lineitem),
+    n as (select object_id, sheet, side, count(*) as n from s group by all),
+    o as (select object_id, r.sheet as rd_sheet, p.sheet as pd_sheet, count(*) as shared from s p join s r using (object_id, number) where p.side = 'F' and r.side = 'O' group by all),
+    q as (select o.*, shared / least(np.n, nr.n)::double as share from o join n np on np.object_id = o.object_id and np.sheet = pd_sheet and np.side = 'F'
+          join n nr on nr.object_id = o.object_id and nr.sheet = rd_sheet and nr.side = 'O'),
+    b as (select *, row_number() over (partition by object_id, rd_sheet order by share desc, pd_sheet) as k from q)
+    select object_id, rd_sheet, pd_sheet, shared, share from b where k = 1 and share >= 5e-1"""
 )
 def sheet_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity <= 10")
-    s = lines.select((F.col("l_orderkey") % 300).alias("sheet"), (F.col("l_partkey") % 97).alias("number"), F.col("l_linestatus").alias("side")).distinct()
-    return rooms.pair_sheets(shapes.side(s, DESIGN), shapes.side(s, WORKING))
+    s = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("object_id"), F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").alias("number"), F.col("l_linestatus").alias("side")
+    ).distinct()
+    return rooms.pair_sheets(shapes.side(s, DESIGN), shapes.side(s, WORKING), "object_id")
 
 
 READINGS_SQL = """readings as (select l_partkey as sheet, l_linenumber::varchar as number, l_quantity / 500 as area,

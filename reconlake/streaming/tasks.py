@@ -30,13 +30,13 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     return routed(spark.readStream.text(folder))
 
 
-def consume(stream: DataFrame, handlers: Mapping[str, Callable[[DataFrame], None]], dead_letters: str, checkpoint: str) -> StreamingQuery:
-    """Runs each batch through the handler of each kind; rows without one are appended to the dead letters."""
+def consume(stream: DataFrame, handlers: Mapping[str, Callable[[DataFrame, int], None]], dead_letters: str, checkpoint: str) -> StreamingQuery:
+    """Runs each batch, with its number, through the handler of each kind; rows without one are appended to the dead letters."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         known = list(handlers)
         for kind, handle in handlers.items():
-            handle(rows.where(F.col("route") == kind))
+            handle(rows.where(F.col("route") == kind), batch_id)
         lost = rows.where(~F.col("route").isin(*known)).select("line", F.lit(batch_id).alias("batch_id"))
         # A repeated batch overwrites its own folder only.
         lost.write.mode("overwrite").parquet(f"{dead_letters}/batch_id={batch_id}")

@@ -107,7 +107,7 @@ def test_task_stream_keeps_going_after_bad_messages(spark, tmp_path):
     good = [json.dumps({"type": k, "process_id": i}) for i, k in enumerate([*tasks.KINDS, "process.start"])]
     (tmp_path / "in" / "a.json").write_text("\n".join([*good, "{broken", json.dumps({"type": "unknown"})]))
     seen = []
-    handlers = {k: (lambda rows, k=k: seen.extend((k, r.process_id) for r in rows.collect())) for k in tasks.KINDS}
+    handlers = {k: (lambda rows, batch_id, k=k: seen.extend((k, r.process_id) for r in rows.collect())) for k in tasks.KINDS}
     run = lambda: tasks.consume(tasks.messages(spark, str(tmp_path / "in")), handlers, str(tmp_path / "dead"), str(tmp_path / "cp")).awaitTermination()
     run()
     assert sorted(seen) == [("process.hypotheses", 2), ("process.start", 0), ("process.start", 3), ("process.update", 1)]

@@ -79,3 +79,43 @@ def test_room_names(spark):
     names = [("Тех.помещение", "техническое помещение"), ("Техническое  помещение", "техническое помещение"), ("С/У", "санузел"), ("с / у", "санузел"), ("ЛК", "лестничная клетка")]
     df = spark.createDataFrame(names, "name string, want string")
     assert df.where(scalars.room_name(F.col("name")) != F.col("want")).count() == 0
+
+
+def test_neighbours_keep_their_width_and_prefix(spark):
+    def rooms_of(*numbers):
+        return spark.createDataFrame([(1, None, n, 10.0) for n in numbers], "sheet long, scope string, number string, area double")
+
+    pd = rooms_of("1.08", "1.10", "2.9", "2.10", "9", "010", "10")
+    rd = rooms_of("1.08", "1.09", "1.10", "2.8", "2.9", "2.10", "8", "9", "09", "10")
+    got = {r.number: r.status for r in rooms.reconcile(pd, rd, 0.01).collect()}
+    assert got["1.09"] == "CANDIDATE"  # between 1.08 and 1.10
+    assert got["2.8"] is None and got["8"] is None  # without a lower neighbour
+    assert got["09"] is None  # 08 and 10 are its neighbours, and 8 is none
+    assert got["010"] is None and got["10"] == "NEGATIVE_VERIFIED"
+
+
+def test_greedy_matching_of_misaligned_cells(spark):
+    import random
+
+    from reconlake.operators import geometry
+
+    rng = random.Random(5)
+    cells = []
+    for page in range(12):
+        for i in range(rng.randrange(3, 14)):
+            y = rng.randrange(8) / 40 + rng.choice([0, 0.004, 0.009])
+            kind = rng.choice(["number", "area", "area"])
+            x = 0.1 if kind == "number" else rng.choice([0.05, 0.5, 0.7])
+            cells.append((page, 100 * page + i, kind, x, y, x + 0.05, y + 0.012))
+    want = set()
+    for page in range(12):
+        own = [c for c in cells if c[0] == page]
+        free = [c for c in own if c[2] == "area"]
+        for n in sorted((c for c in own if c[2] == "number"), key=lambda c: (c[4], c[3], c[1])):
+            fits = [a for a in free if a[4] <= n[6] + 0.008 and n[4] <= a[6] + 0.008 and a[3] > n[3]]
+            if fits:
+                best = min(fits, key=lambda a: (abs((a[4] + a[6]) - (n[4] + n[6])), a[3] - n[3], a[1]))
+                free.remove(best)
+                want.add((page, n[1], best[1]))
+    df = spark.createDataFrame(cells, "page long, line long, kind string, x0 double, y0 double, x1 double, y1 double")
+    assert {tuple(r) for r in geometry.match_rows(df).collect()} == want and len(want) > 20
