@@ -4,7 +4,7 @@ Every step is a partial aggregation and an equi-join on the links. A node with
 very many links (over HOT, or one in MOST_HOT of all links, whichever is more)
 would bring them all into one task of that join; such nodes, at most 2 *
 MOST_HOT of them whatever the number of links, are broadcast to the links
-instead. The links are written to the shared folder after each round, and only
+instead. The links are written to the shared folder after each star, and only
 their number and a checksum of them come to the driver.
 """
 
@@ -38,9 +38,8 @@ def _large_star(links: DataFrame, n_links: int) -> DataFrame:
 def _small_star(links: DataFrame, n_links: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    found = _with_least(down, n_links)
-    moved = found.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(found.where("b = m").select("a", F.col("m").alias("b"))).distinct()
+    moved = F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a"))
+    return _with_least(down, n_links).select(moved.alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -49,7 +48,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h"))
     before = mark.first()
     for _ in range(MAX_ROUNDS if before["n"] else 0):
-        now = written(_small_star(_large_star(now, before["n"]), before["n"]), "links")
+        # Each star is written, or else every use of the first would repeat its plan within the second's.
+        now = written(_large_star(now, before["n"]), "links")
+        now = written(_small_star(now, before["n"]), "links")
         after = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first()
         if after == before:
             break
