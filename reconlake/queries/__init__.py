@@ -1,8 +1,8 @@
 """The registered queries of the reconciliation engine and their SQL."""
 
-from reconlake.queries import exporting, operating, packages, parameters, reconciliation
+from reconlake.queries import exporting, operating, packages, parameters, reconciliation, rules
 from reconlake.queries.registry import ORACLES, QUERIES
 
 flagship = reconciliation.reconcile_flagship
 
-__all__ = ["ORACLES", "QUERIES", "exporting", "flagship", "operating", "packages", "parameters"]
+__all__ = ["ORACLES", "QUERIES", "exporting", "flagship", "operating", "packages", "parameters", "rules"]
