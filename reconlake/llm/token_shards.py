@@ -43,7 +43,7 @@ from reconlake.plans.lineage import written
 
 LENGTH, PER_SHARD = 512, 256
 ROUNDS = 6
-PARTITION_BYTES = 64 << 20  # of text, and of token ids
+PARTITION_BYTES = 16 << 20  # of text, and of token ids, that a task reads; 256 MB suit inputs of many terabytes
 ROW_BITS = 33  # of monotonically_increasing_id that count the rows of a partition
 
 SHARDS = (
