@@ -1,8 +1,8 @@
 """The registered queries of the reconciliation engine and their SQL."""
 
-from reconlake.queries import decisions, exporting, operating, packages, parameters, reconciliation, rules
+from reconlake.queries import decisions, exporting, operating, packages, parameters, reading, reconciliation, rules
 from reconlake.queries.registry import ORACLES, QUERIES
 
 flagship = reconciliation.reconcile_flagship
 
-__all__ = ["ORACLES", "QUERIES", "decisions", "exporting", "flagship", "operating", "packages", "parameters", "rules"]
+__all__ = ["ORACLES", "QUERIES", "decisions", "exporting", "flagship", "operating", "packages", "parameters", "reading", "rules"]
