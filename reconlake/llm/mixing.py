@@ -2,7 +2,8 @@
 
 Documents fall into cells (source, language, topic). The cells' token counts
 are raked: in turn for each dimension, every cell is scaled so that the shares
-of that dimension meet their targets, ROUNDS times over. What a cell should
+of that dimension meet their targets, ROUNDS times over; shares that are still
+off by over TOLERANCE are logged. What a cell should
 hold of the token budget, divided by what it has, is the probability of its
 documents, at most 1; `weight` says how often a kept document should be seen
 to make up for that bound. With `fill`, no weight is left over: cells that
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from reconlake.plans.lineage import written
 
 ROUNDS = 12
+TOLERANCE = 1e-3  # of a share, beyond which a warning is logged
 MAX_CELLS = 200_000  # that come to the driver with `fill`; more are an error
 LOG = logging.getLogger(__name__)
 OUTPUTS = ("topic", "tokens", "probability", "weight", "sampled")
@@ -87,6 +89,11 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
             scaled = F.when(F.col("__s") > 0, F.col("share") * F.col(f"t_{dim}") / F.col("__s")).otherwise(0.0)
             now = now.join(sums, F.col(dim).eqNullSafe(F.col("__v"))).withColumn("share", scaled).drop("__v", "__s")
         now = written(now, "raked")
+    for dim in targets:
+        sums = now.groupBy(dim).agg(F.sum("share").alias("s"), F.first(f"t_{dim}").alias("t"))
+        off = sums.agg(F.max(F.abs(F.col("s") / sums.agg(F.sum("s")).scalar() - F.col("t"))).alias("off")).first()["off"]
+        if off is not None and off > TOLERANCE:
+            LOG.warning("%s: after %d rounds a share is off its target by %.2g; the targets contradict each other, or need more rounds", dim, rounds, off)
     return now.select(*cells.columns, "share")
 
 

@@ -7,12 +7,15 @@ the second wrongly holds, and so on until a level holds nothing wrongly. A key
 is listed if the first level that does not hold it is an even one (counting
 from one), or if it passes all of an odd number of levels.
 
-Everything is DataFrame expressions: a level is one row with an array of 64-bit
-words, which a probe takes as a scalar subquery, so judging a row needs no
-join, shuffle or Python. A level has BITS_PER_KEY bits for each key it
-encodes, so its size is known before it is built; where the first level would
-exceed `max_level_bits`, `membership` uses an ordinary left join on the key
-instead, with the same answers.
+Everything is DataFrame expressions: a level is one row with an array of
+segments, each an array of 64-bit words, which a probe takes as a scalar
+subquery, so judging a row needs no join, shuffle or Python at any number of
+keys. A key's hash chooses its segment, and all its bits lie there; a segment
+is built by itself, by the keys that fall to it, and has at most SEGMENT_BITS
+bits in the mean. A level has BITS_PER_KEY bits for each key that it encodes:
+1.5 bytes for each listed key. What bounds it is one row's 2 GB, over a
+billion listed keys, and the memory of the executors, which each hold it; its
+size is logged before it is built.
 
 Nulls and odd rows: a null url, or one without `://`, has empty host and path
 and follows the default (allow). Repeated urls are judged alike. Null keys are
@@ -22,6 +25,7 @@ without levels. Other columns of the input are left out of `judge`'s result.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -33,7 +37,8 @@ from reconlake.plans.lineage import cut
 
 BITS_PER_KEY = 12
 HASHES = 8
-MAX_LEVEL_BITS = 1 << 27
+SEGMENT_BITS = 1 << 23
+LOG = logging.getLogger(__name__)
 
 
 class Rule(NamedTuple):
@@ -66,8 +71,13 @@ def longest_rule(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Col
 
 class Level(NamedTuple):
     number: int
-    bits: int
-    words: DataFrame  # one row, one column: array<bigint>
+    n_segments: int
+    bits: int  # of each segment
+    words: DataFrame  # one row, one column: array<array<bigint>>
+
+
+def _segment(key: Column, level: int, n_segments: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(level), F.lit(-1)), F.lit(n_segments)).cast("int")
 
 
 def _positions(key: Column, level: int, bits: int) -> list[Column]:
@@ -77,35 +87,37 @@ def _positions(key: Column, level: int, bits: int) -> list[Column]:
 def _holds(key: Column, level: Level) -> Column:
     """True if the level's filter has all bits of the key."""
     held = F.lit(True)
-    words = level.words.scalar()
+    words = F.get(level.words.scalar(), _segment(key, level.number, level.n_segments))
     for p in _positions(key, level.number, level.bits):
         word = F.get(words, F.shiftright(p, 6).cast("int"))
         held = held & (F.getbit(word, p.bitwiseAND(F.lit(63)).cast("int")) == 1)
     return held
 
 
-def _level(keys: DataFrame, number: int, n_keys: int) -> Level:
-    n_words = max(1, -(-n_keys * BITS_PER_KEY // 64))
+def _level(keys: DataFrame, number: int, n_keys: int, segment_bits: int) -> Level:
+    n_segments = max(1, -(-n_keys * BITS_PER_KEY // segment_bits))
+    n_words = max(1, -(-n_keys * BITS_PER_KEY // (64 * n_segments)))
     bits = n_words * 64
-    spark = keys.sparkSession
+    LOG.info("level %d: %d keys, %d segments of %d bits", number, n_keys, n_segments, bits)
     one = F.lit(1).cast("bigint")
     p = F.col("p")
+    at = _segment(F.col("key"), number, n_segments).cast("bigint") * n_words
     sparse = (
-        keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits))).alias("p"))
-        .groupBy(F.shiftright(p, 6).alias("w"))
+        keys.select(at.alias("at"), F.explode(F.array(*_positions(F.col("key"), number, bits))).alias("p"))
+        .groupBy((F.col("at") + F.shiftright(p, 6)).alias("w"))
         .agg(F.bit_or(F.call_function("shiftleft", one, p.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
     )
-    dense = spark.range(n_words).join(sparse, F.col("id") == F.col("w"), "left")
-    row = dense.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))),
-            lambda x: x["b"],
-        ).alias("words")
-    )
-    return Level(number, bits, cut(row))
+
+    def in_order(by: str, value: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda x: x[value])
+
+    dense = keys.sparkSession.range(n_segments * n_words).join(sparse, F.col("id") == F.col("w"), "left")
+    words = dense.select(F.expr(f"id div {n_words}").alias("s"), "id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
+    row = words.groupBy("s").agg(in_order("id", "b").alias("x")).agg(in_order("s", "x").alias("words"))
+    return Level(number, n_segments, bits, cut(row))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
+def build_cascade(universe: DataFrame, listed: DataFrame, segment_bits: int = SEGMENT_BITS) -> list[Level]:
     """Levels over the one-column tables `universe` and `listed` (column `key`, any order, repeats allowed)."""
     known = universe.select("key").where("key is not null").distinct()
     wanted = listed.select("key").where("key is not null").distinct().withColumn("is_listed", F.lit(True))
@@ -115,7 +127,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
     levels: list[Level] = []
     n = inside.count()
     while n:
-        levels.append(_level(inside, len(levels) + 1, n))
+        levels.append(_level(inside, len(levels) + 1, n, segment_bits))
         wrong = cut(outside.where(_holds(F.col("key"), levels[-1])))
         inside, outside = wrong, inside
         n = wrong.count()
@@ -130,14 +142,9 @@ def in_cascade(key: Column, levels: Sequence[Level]) -> Column:
     return F.coalesce(listed & key.isNotNull(), F.lit(False))
 
 
-def membership(rows: DataFrame, key: str, listed: DataFrame, out: str, max_level_bits: int = MAX_LEVEL_BITS) -> DataFrame:
+def membership(rows: DataFrame, key: str, listed: DataFrame, out: str, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """`rows` with the boolean `out`: is the column `key` among the keys of `listed`?"""
-    keys = listed.select("key").where("key is not null").distinct()
-    if keys.count() * BITS_PER_KEY > max_level_bits:
-        wanted = keys.select(F.col("key").alias("__key"), F.lit(True).alias(out))
-        joined = rows.drop(out).join(wanted, F.col(key) == F.col("__key"), "left").drop("__key")
-        return joined.withColumn(out, F.coalesce(out, F.lit(False)))
-    levels = build_cascade(rows.select(F.col(key).alias("key")), keys)
+    levels = build_cascade(rows.select(F.col(key).alias("key")), listed.select("key"), segment_bits)
     return rows.withColumn(out, in_cascade(F.col(key), levels))
 
 

@@ -591,16 +591,17 @@ def test_warc_reader_rejects_what_is_broken():
 # --- 10: urls
 
 
-def test_cascade_is_exact_on_its_universe(spark):
+@pytest.mark.parametrize("segment_bits", [256, 1 << 23])
+def test_cascade_is_exact_on_its_universe(spark, segment_bits):
     keys = spark.range(4000).select(F.concat(F.lit("h"), "id").alias("key"))
     listed = keys.where("xxhash64(key) % 7 = 0").union(spark.createDataFrame([("elsewhere",), (None,)], "key string"))
     rows = keys.union(keys.limit(50)).union(spark.createDataFrame([(None,)], "key string"))
-    levels = url_filter.build_cascade(rows, listed)
-    assert len(levels) >= 2
+    levels = url_filter.build_cascade(rows, listed, segment_bits)
+    assert len(levels) >= 2 and (levels[0].n_segments > 10) == (segment_bits < 1000)
     got = rows.withColumn("listed", url_filter.in_cascade(F.col("key"), levels))
     assert got.where(F.col("listed") != F.expr("key is not null and xxhash64(key) % 7 = 0")).count() == 0 and got.where("listed is null").count() == 0
-    joined = url_filter.membership(rows, "key", listed, "listed", max_level_bits=1)
-    assert joined.where("listed").count() == got.where("listed").count() and joined.count() == rows.count()
+    marked = url_filter.membership(rows, "key", listed, "listed", segment_bits)
+    assert marked.where("listed").count() == got.where("listed").count() and marked.count() == rows.count()
     assert url_filter.build_cascade(rows, listed.limit(0)) == []
 
 
@@ -614,7 +615,10 @@ def test_url_parts_and_rules(spark):
         ("http://spam.net?x", "spam.net", "", None, "block"),
         ("no scheme", "", "", None, "allow"),
         (None, "", "", None, "allow"),
+        ("http://tie.example.org/a" + "b" * 200_000, "tie.example.org", "/a" + "b" * 200_000, "tie.example.org/a", "block"),
+        ("http://sub.tie.example.org/abc", "sub.tie.example.org", "/abc", "tie.example.org/a", "block"),
     ]
+    rules += [url_filter.Rule("block", "tie.example.org", "/a"), url_filter.Rule("allow", "example.org", "/abcdefgh")]  # of equal length
     pages = spark.createDataFrame([(i, u[0], "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: tuple(r)[1:] for r in url_filter.judge(pages, rules, spark.createDataFrame([("spam.net",)], "key string")).collect()}
     assert got == {i: u[1:] for i, u in enumerate(urls)}
