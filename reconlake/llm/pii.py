@@ -219,14 +219,40 @@ def _phone(m: Column, key: str, undo: bool) -> Column:
 
 
 def _date(m: Column, key: str, undo: bool) -> Column:
+    """Three notations; slashed dates are read month first, or day first where that is the only way.
+
+    What is read day first keeps its month and a day over 12, and its year moves
+    among those in which the month is as long, so that neither kind turns into
+    the other and both can be undone.
+    """
     out = F.lit(None).cast("string")
+    first = F.lit(FIRST_DAY).cast("date")
+    month_first = F.try_to_date(m, "MM/dd/yyyy").isNotNull()
     for shape, form in (("^[0-9]{4}-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), ("^[0-9]{2}[.]", "dd.MM.yyyy")):
-        day = F.date_diff(F.try_to_date(m, form), F.lit(FIRST_DAY).cast("date"))
+        day = F.date_diff(F.try_to_date(m, form), first)
         pair = F.array(feistel_pair(F.floor(day / 4297), day % 4297, 17, 4297, key, "date", undo))
-        day_of = F.transform(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * 4297 + p["b"]).cast("int")))
-        new = F.date_format(day_of[0], form)
-        out = F.when(m.rlike(shape) & day.between(0, N_DAYS - 1), new).otherwise(out)
-    return out
+        day_of = F.transform(pair, lambda p: F.date_add(first, (p["a"] * 4297 + p["b"]).cast("int")))
+        out = F.when(m.rlike(shape) & day.between(0, N_DAYS - 1), F.date_format(day_of[0], form)).otherwise(out)
+    when = F.try_to_date(m, "dd/MM/yyyy")
+    length = F.dayofmonth(F.last_day(when))
+    year, over = (F.year(when) - 1900).cast("bigint"), (F.dayofmonth(when) - 13).cast("bigint")
+    # February's years are those of its length: 49 leap years from 1904 on, 151 others.
+    common = year - F.greatest(F.lit(0), F.floor((year - 1) / 4))
+    pair = F.array(
+        F.when(length == 29, feistel_pair(F.floor((year - 4) / 4), over, 49, 17, key, "date 29", undo))
+        .when(length == 28, feistel_pair(common, over, 151, 16, key, "date 28", undo))
+        .when(length == 30, feistel_pair(year, over, 200, 18, key, "date 30", undo))
+        .otherwise(feistel_pair(year, over, 200, 19, key, "date 31", undo))
+    )
+
+    def shown(p: Column) -> Column:
+        n = p["a"]
+        uncommon = F.when(n < 4, n + 1900).otherwise(F.floor((n - 4) / 3) * 4 + (n - 4) % 3 + 1905)
+        new = F.when(length == 29, n * 4 + 1904).when(length == 28, uncommon).otherwise(n + 1900)
+        return F.concat_ws("/", _pad(p["b"] + 13, 2), F.substr(m, F.lit(4), F.lit(2)), _pad(new, 4))
+
+    day_first = m.rlike("/") & ~month_first & F.year(when).between(1900, 2099) & (F.dayofmonth(when) > 12)
+    return F.when(day_first, F.transform(pair, shown)[0]).otherwise(out)
 
 
 MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "card": _card, "phone_us": _phone_us, "phone": _phone}
@@ -252,12 +278,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", undo: bool = Fal
             new = F.when(x["kind"] == kind, MAKERS[kind](x["m"], key, undo)).otherwise(new)
         return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), new.alias("new"))
 
-    with_new = docs.withColumn("__found", F.when(F.regexp_like(t, F.lit("[0-9@]")), F.transform(found, replaced)))
-    pieces = F.zip_with(F.split(t, any_of, -1), F.col("__found"), lambda gap, x: F.concat(gap, F.coalesce(x["new"], x["m"], F.lit(""))))
+    held = "__found"
+    while held.lower() in {c.lower() for c in docs.columns}:  # a column of that name is someone else's
+        held += "_"
+    with_new = docs.withColumn(held, F.when(F.regexp_like(t, F.lit("[0-9@]")), F.transform(found, replaced)))
+    pieces = F.zip_with(F.split(t, any_of, -1), F.col(held), lambda gap, x: F.concat(gap, F.coalesce(x["new"], x["m"], F.lit(""))))
 
     def count(kind: str) -> Column:
-        hits = F.filter("__found", lambda x: (x["kind"] == kind) & x["new"].isNotNull())
+        hits = F.filter(held, lambda x: (x["kind"] == kind) & x["new"].isNotNull())
         return F.greatest(F.coalesce(F.size(hits), F.lit(0)), F.lit(0)).cast("bigint")  # a null array's size may be -1
 
     counts = {f"n_{kind}": count(kind) for kind in KINDS}
-    return with_new.withColumns(counts | {text: F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(t)}).drop("__found")
+    return with_new.withColumns(counts | {text: F.when(F.size(held) > 0, F.array_join(pieces, "")).otherwise(t)}).drop(held)

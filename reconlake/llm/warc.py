@@ -4,7 +4,11 @@ An archive is a skippable frame that holds a dictionary, then one zstandard
 frame for each record, so that any record can be read by itself. The reader
 takes the dictionary from the leading frame, decodes frame by frame, and checks
 the frame sizes, the WARC version and mandatory headers, the block length
-against Content-Length, the record's end and the payload's digest and length.
+against Content-Length, the record's end and, where a record states them, the
+payload's digest and length. Archives of other writers are read too: payload
+digests and lengths of the HTTP part are optional there, a resource's payload
+is its block, and records of other kinds (warcinfo, request, metadata, …) are
+checked and passed over.
 
 Among records with equal payloads the one with the largest page id is written
 as a response and the others as revisits that refer to it. Digests are
@@ -49,6 +53,7 @@ SKIPPABLE_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 DICTIONARY_MAGIC = b"\x37\xa4\x30\xec"
 MANDATORY = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")
+PAGES = ("response", "revisit", "resource")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_URN = "<urn:x-page:{}>"
 
@@ -164,8 +169,8 @@ def _page(urn: str | None) -> int | None:
     return int(inside) if inside.lstrip("-").isdigit() else None
 
 
-def parse(raw: bytes, where: str) -> tuple:
-    """The fields of RECORDS of one record."""
+def parse(raw: bytes, where: str) -> tuple | None:
+    """The fields of RECORDS of one record; None of one that holds no page."""
     first, fields, start = parse_headers(raw, where)
     if first not in ("WARC/1.0", "WARC/1.1"):
         raise BadArchive(f"{where}: unknown version {first[:20]!r}")
@@ -175,19 +180,25 @@ def parse(raw: bytes, where: str) -> tuple:
     n = _number(fields["content-length"], where)
     if len(raw) != start + n + 4 or raw[start + n :] != b"\r\n\r\n":
         raise BadArchive(f"{where}: its block has {len(raw) - start - 4} bytes, its header says {n}")
-    _, http, body = parse_headers(raw[start : start + n], where)
+    kind = fields["warc-type"]
+    if kind not in PAGES:
+        return None
+    http, body = {}, 0
+    if kind != "resource" and fields.get("content-type", "application/http").startswith("application/http"):
+        _, http, body = parse_headers(raw[start : start + n], where)
     payload = raw[start + body : start + n]
-    size, kind = _number(http.get("content-length", ""), where), fields["warc-type"]
-    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response":
-        if len(payload) != size or digest(payload) != stated:
-            raise BadArchive(f"{where}: its payload doesn't match its length or digest")
-    elif kind != "revisit" or payload or "warc-refers-to" not in fields:
-        raise BadArchive(f"{where}: neither a response nor a revisit")
+    length, stated = http.get("content-length"), fields.get("warc-payload-digest", "")
+    size = len(payload) if length is None else _number(length, where)
+    if kind == "revisit":
+        if payload or "warc-refers-to" not in fields:
+            raise BadArchive(f"{where}: a revisit with a payload or without what it revisits")
+    elif len(payload) != size or (stated.startswith("sha1:") and digest(payload) != stated.removeprefix("sha1:")):
+        raise BadArchive(f"{where}: its payload doesn't match its length or digest")
+    stated = stated.removeprefix("sha1:") if stated.startswith("sha1:") else None if kind == "revisit" else digest(payload)
     url = fields.get("warc-target-uri")
     return (
         _page(fields["warc-record-id"]), None if url is None else urllib.parse.unquote(url), size, stated, kind,
-        _page(fields.get("warc-refers-to")), payload if kind == "response" else None,
+        _page(fields.get("warc-refers-to")), None if kind == "revisit" else payload,
     )
 
 
@@ -247,7 +258,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for name, content in zip(b["archive"], b["content"]):
             rows = [parse(r, f"{name}, record {i}") for i, r in enumerate(frames(name, bytes(content)))]
-            out = pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame([r for r in rows if r is not None], columns=names)
             yield out.astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
 
 

@@ -75,6 +75,21 @@ def test_pii_formats_validity_links_and_undo(spark):
     assert back == dict(PII_ROWS)
 
 
+def test_pii_day_first_dates_and_other_columns(spark):
+    days = [datetime.date(1900, 1, 13) + datetime.timedelta(37 * i) for i in range(1900)]
+    days = [d for d in days if d.day > 12 and d.year < 2100] + [datetime.date(2000, 2, 29), datetime.date(1999, 2, 28), datetime.date(1904, 2, 29)]
+    rows = [(i, f"on {d:%d/%m/%Y}.", "mine") for i, d in enumerate(days)] + [(-1, "x " * 400_000 + "31/12/1999", "mine"), (-1, "x " * 400_000 + "31/12/1999", "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __found string")
+    out = pii.pseudonymise(docs, KEY)
+    got = out.collect()
+    assert all(r["__found"] == "mine" and r.n_date == 1 for r in got) and len({r.text for r in got if r.doc_id < 0}) == 1
+    new = {r.doc_id: datetime.datetime.strptime(r.text[3:13], "%d/%m/%Y").date() for r in got if r.doc_id >= 0}
+    assert all(1900 <= d.year < 2100 and d.day > 12 for d in new.values()) and len(set(new.values())) == len(set(days))
+    assert sum(new[i] == d for i, d in enumerate(days)) < 20
+    back = {r.doc_id: r.text for r in pii.pseudonymise(out, KEY, undo=True).collect() if r.doc_id >= 0}
+    assert back == {i: t for i, t, _ in rows if i >= 0}
+
+
 def test_pii_pairs_are_permutations(spark):
     pairs = spark.range(17 * 43).select(F.floor(F.col("id") / 43).alias("a"), (F.col("id") % 43).alias("b"))
     p = pii.feistel_pair(F.col("a"), F.col("b"), 17, 43, KEY, "t")
@@ -576,6 +591,24 @@ def test_warc_round_trip_and_kinds(spark):
     assert warc.read(warc.write(pages, min_bytes=12)).where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_reads_other_writers_archives(spark, tmp_path):
+    def made(kind, block, **fields):
+        return warc.headers("WARC/1.0", {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2026-01-01T00:00:00Z", **fields, "Content-Length": len(block)}) + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hello"  # neither a length nor a digest
+    long = b"y" * 5_000_000
+    records = [
+        made("warcinfo", b"software: x\r\n", **{"Content-Type": "application/warc-fields"}), made("request", b"GET / HTTP/1.1\r\n\r\n"),
+        made("response", http, **{"WARC-Target-URI": "http://a.org/", "Content-Type": "application/http;msgtype=response"}), made("metadata", b"a: b\r\n"),
+        made("resource", long, **{"WARC-Target-URI": "http://b.org/", "Content-Type": "text/plain"}),
+    ]
+    (tmp_path / "a.warc.zst").write_bytes(warc.archive(records))
+    got = {r.url: r for r in warc.read(warc.binary_files(spark, str(tmp_path))).collect()}
+    assert set(got) == {"http://a.org/", "http://b.org/"} and bytes(got["http://b.org/"].payload) == long
+    r = got["http://a.org/"]
+    assert (bytes(r.payload), r.payload_bytes, r.payload_digest, r.record_type) == (b"<p>hello", 8, warc.digest(b"<p>hello"), "response")
+
+
 def test_warc_reader_rejects_what_is_broken():
     good = [warc.record(i, "http://a", b"payload %d" % i, None, "2026-01-01T00:00:00Z") for i in range(5)]
     whole = warc.archive(good)
