@@ -28,8 +28,9 @@ def blank(value: Column) -> Column:
     return F.coalesce(F.trim(value), F.lit("")) == ""
 
 
-def with_aliases(rows: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
+def with_aliases(rows: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """`rows` with known headers renamed; the first column of a name wins."""
+    aliases = ALIASES if aliases is None else aliases
     found: dict[str, str] = {}
     for c in rows.columns:
         name = "_".join(c.replace("\u00a0", " ").replace("\ufeff", "").strip().lower().replace("-", " ").replace("_", " ").split())
@@ -62,6 +63,21 @@ def parse(rows: DataFrame) -> DataFrame:
     )
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A registry of any kind that is read, by its name; workbooks are refused, since no library reads them here."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("xlsx", "xls"):
+        raise ValueError(f"{path}: a workbook; save it as CSV or JSON")
+    return read_json(spark, path) if kind == "json" else read_csv(spark, path)
+
+
+#: Other headings of the registry's columns.
+ALIASES = {
+    "object": "object_id", "file": "file_name", "filename": "file_name", "name": "file_name", "stage": "doc_stage", "code": "document_code", "status": "approval_status", "date": "approval_date",
+    "predecessor": "predecessor_id", "sha": "sha256", "hash": "sha256",
+}
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A registry as strings; the delimiter is the one that its first line holds most."""
     first = spark.read.text(path).limit(1).first()
@@ -76,5 +92,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     kind = "array<map<string,string>>"
     rows = F.coalesce(F.from_json("value", kind), F.from_json(F.get_json_object("value", "$.files"), kind))
     entries = whole.select(F.posexplode(rows).alias("at", "entry"))
-    keys = sorted(r[0] for r in entries.select(F.explode(F.map_keys("entry")).alias("k")).distinct().collect())
+    # The header is the union of all rows' keys, in the order in which they are first seen.
+    seen = entries.select("at", F.posexplode(F.map_keys("entry")).alias("place", "k")).groupBy("k").agg(F.min(F.struct("at", "place")).alias("first"))
+    keys = [r["k"] for r in seen.orderBy("first").collect()]
     return entries.select((F.col("at") + 2).alias("row_number"), *[F.try_element_at("entry", F.lit(k)).alias(k) for k in keys])

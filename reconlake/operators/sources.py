@@ -46,6 +46,35 @@ def select_source(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     return groups.join(renamed, on, "left").withColumn("outcome", outcome).select(*keys, "outcome", file_id.alias("file_id"))
 
 
+#: Why a group has no file, or which rule chose it.
+REASONS = {
+    "MISSING_EVIDENCE": "no current file", "no approved": "no approved file", "single": "one approved file", "latest": "latest approval",
+    "tie": "several approved files without one latest date", "no code": "no document code",
+}
+
+
+def select_documents(files: DataFrame, keys: Sequence[str], code: str = "code") -> DataFrame:
+    """keys, code, label, outcome, file_id, reason: select_source for each document, and one row that asks for its code for each file without one."""
+    chosen = select_source(files.where(F.col(code).isNotNull()), [*keys, code])
+    approved = files.where(F.col(code).isNotNull() & F.col("status").isin(*APPROVED)).groupBy(*keys, code).agg(F.count(F.lit(1)).alias("__n"))
+    on = F.col(f"c.{code}") == F.col(f"a.{code}")
+    for k in keys:
+        on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"a.{k}"))
+    joined = chosen.alias("c").join(approved.alias("a"), on, "left").select("c.*", "__n")
+    complete = F.col("outcome") == "COMPLETE"
+    why = (
+        F.when(F.col("outcome") == "MISSING_EVIDENCE", REASONS["MISSING_EVIDENCE"]).when(complete & (F.col("__n") == 1), REASONS["single"]).when(complete, REASONS["latest"])
+        .when(F.col("__n").isNull(), REASONS["no approved"]).otherwise(REASONS["tie"])
+    )
+    label = F.concat(F.lit("document:"), F.concat_ws(":", *keys, code))
+    named = joined.select(*keys, code, label.alias("label"), "outcome", "file_id", why.alias("reason"))
+    bare = files.where(F.col(code).isNull()).select(
+        *keys, code, F.concat(F.lit("file:"), F.col("file_id").cast("string")).alias("label"), F.lit("CLARIFICATION_REQUIRED").alias("outcome"),
+        F.lit(None).cast("bigint").alias("file_id"), F.lit(REASONS["no code"]).alias("reason"),
+    )
+    return named.union(bare)
+
+
 def stage_status(expected: Column, uploaded: Column) -> Column:
     return (
         F.when((expected == 0) & (uploaded == 0), "NOT_APPLICABLE").when(uploaded == 0, "MISSING")

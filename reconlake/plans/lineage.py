@@ -1,7 +1,7 @@
 """Cutting lineage in the folder that the cluster shares.
 
-`spark.checkpoint.dir` names that folder. Where it is unset, as in tests, a
-folder below the warehouse is used. Nothing is kept on one executor only, so a
+`spark.checkpoint.dir` names that folder. Where it is unset in local mode, as in
+tests, a folder below the warehouse is used; on a cluster that is an error. Nothing is kept on one executor only, so a
 lost executor costs a re-read and not the job.
 """
 
@@ -16,10 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session, which is also Spark's checkpoint folder from now on."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 

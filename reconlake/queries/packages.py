@@ -33,6 +33,31 @@ def source_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select_source(shapes.files(spark, sf_dir), ["object_id", "discipline", "stage"])
 
 
+@query(
+    f"""with {FILES_SQL},
+    coded as (select *, case when file_id % 10 > 0 then 'D' || file_id % 2 end as code from files),
+    alive as (select * from coded where code is not null and status not in ('CANCELLED','SUPERSEDED')),
+    cur as (select * from alive a where not exists (select 1 from alive b where b.predecessor_id = a.file_id and b.object_id = a.object_id
+      and b.discipline is not distinct from a.discipline and b.stage = a.stage and b.code = a.code)),
+    ok as (select *, max(approved_on) over (partition by object_id, discipline, stage, code) as latest from cur where status in ('APPROVED','FOR_CONSTRUCTION')),
+    g as (select object_id, discipline, stage, code, count(*) as n, count(*) filter (approved_on is null) as undated, count(*) filter (approved_on = latest) as at_latest,
+      max(file_id) filter (approved_on = latest) as newest, max(file_id) as only_one from ok group by all),
+    c as (select distinct object_id, discipline, stage, code from cur),
+    r as (select object_id, discipline, stage, code, count(*) as raw from coded where status in ('APPROVED','FOR_CONSTRUCTION') group by all),
+    o as (select f.*, case when c.stage is null then 'MISSING_EVIDENCE' when n is null then 'CLARIFICATION_REQUIRED' when n = 1 or (undated = 0 and at_latest = 1) then 'COMPLETE' else 'CLARIFICATION_REQUIRED' end as outcome,
+        case when n = 1 then only_one when undated = 0 and at_latest = 1 then newest end as file_id, raw
+      from (select distinct object_id, discipline, stage, code from coded where code is not null) f left join c using (object_id, discipline, stage, code) left join g using (object_id, discipline, stage, code)
+      left join r using (object_id, discipline, stage, code))
+    select 'document:' || concat_ws(':', object_id, discipline, stage, code) as label, outcome, file_id, case when outcome = 'MISSING_EVIDENCE' then 'no current file' when outcome = 'COMPLETE' and raw = 1 then 'one approved file'
+      when outcome = 'COMPLETE' then 'latest approval' when raw is null then 'no approved file' else 'several approved files without one latest date' end as reason from o
+    union all select 'file:' || file_id, 'CLARIFICATION_REQUIRED', null, 'no document code' from coded where code is null"""
+)
+def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("file_id")
+    files = shapes.files(spark, sf_dir).withColumn("code", F.when(k % 10 > 0, F.concat(F.lit("D"), (k % 2).cast("string"))))
+    return sources.select_documents(files, ["object_id", "discipline", "stage"]).select("label", "outcome", "file_id", "reason")
+
+
 COUNTS_SQL = f"""{FILES_SQL},
     counts as (select object_id, stage, count(*) filter (status <> 'DRAFT') as uploaded, count(*) filter (status <> 'DRAFT' or object_id % 5 = 0) as expected from files group by all),
     every as (select object_id, stage from (select distinct object_id from counts) cross join (select unnest(['PD','RD','ID']) as stage)),
