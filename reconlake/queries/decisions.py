@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reconlake.functions import scalars
 from reconlake.operators import decisions, units
 from reconlake.plans import shapes
+from reconlake.plans.lineage import written
 from reconlake.plans.shapes import CHECKS_SQL
 from reconlake.queries.registry import query
 from reconlake.sources.tables import table
@@ -156,7 +157,8 @@ def protocol_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def protocol_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     state, protocols = _state(spark, sf_dir)
-    verdicts = decisions.finalizable(protocols, decisions.protocol_states(state))
+    state = written(state, "decided")  # read three times below
+    verdicts = written(decisions.finalizable(protocols, decisions.protocol_states(state)), "verdicts")
     allowed = verdicts.where("refused is null").select("protocol_id", "process_id")
     labels, transfers = decisions.finalized(state, allowed)
     final = allowed.select("protocol_id", F.lit("PROTOCOL_FINALIZED").alias("status"))
