@@ -9,6 +9,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reconlake.functions import scalars
 
@@ -105,7 +106,7 @@ def stage_flags(status: Column) -> Column:
     return F.struct(done.alias("parsing_done"), (~done).alias("parsing_active"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_for_cer(texts: pd.Series) -> pd.Series:
     """Composed characters and single spaces; Spark has no built-in of the former."""
     return texts.map(lambda t: None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFC", t)).strip())
