@@ -53,6 +53,10 @@ def _text(*parts) -> Column:
     return F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
+def _lit(x: int | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
 def _int(c: Column) -> Column:
     return c.try_cast("bigint")
 
@@ -62,7 +66,7 @@ def _rounds(undo: bool) -> Column:
     return F.array(*[F.lit(r) for r in (reversed(order) if undo else order)])
 
 
-def feistel_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, tag: str, undo: bool = False) -> Column:
+def feistel_pair(a: Column, b: Column, size_a: int | Column, size_b: int | Column, key: str, tag: str | Column, undo: bool = False) -> Column:
     """struct(a, b) permuted over range(size_a) x range(size_b)."""
 
     def step(acc: Column, r: Column) -> Column:
@@ -70,8 +74,8 @@ def feistel_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, tag:
         f = _int(F.conv(F.substring(F.sha2(_text(key, tag, r.cast("string"), F.when(even, acc["b"]).otherwise(acc["a"]).cast("string")), 256), 1, 12), 16, 10))
         f = -f if undo else f
         return F.struct(
-            F.when(even, F.pmod(acc["a"] + f, F.lit(size_a))).otherwise(acc["a"]).alias("a"),
-            F.when(even, acc["b"]).otherwise(F.pmod(acc["b"] + f, F.lit(size_b))).alias("b"),
+            F.when(even, F.pmod(acc["a"] + f, _lit(size_a))).otherwise(acc["a"]).alias("a"),
+            F.when(even, acc["b"]).otherwise(F.pmod(acc["b"] + f, _lit(size_b))).alias("b"),
         )
 
     start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
@@ -225,34 +229,41 @@ def _date(m: Column, key: str, undo: bool) -> Column:
     among those in which the month is as long, so that neither kind turns into
     the other and both can be undone.
     """
-    out = F.lit(None).cast("string")
     first = F.lit(FIRST_DAY).cast("date")
-    month_first = F.try_to_date(m, "MM/dd/yyyy").isNotNull()
-    for shape, form in (("^[0-9]{4}-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), ("^[0-9]{2}[.]", "dd.MM.yyyy")):
-        day = F.date_diff(F.try_to_date(m, form), first)
-        pair = F.array(feistel_pair(F.floor(day / 4297), day % 4297, 17, 4297, key, "date", undo))
-        day_of = F.transform(pair, lambda p: F.date_add(first, (p["a"] * 4297 + p["b"]).cast("int")))
-        out = F.when(m.rlike(shape) & day.between(0, N_DAYS - 1), F.date_format(day_of[0], form)).otherwise(out)
-    when = F.try_to_date(m, "dd/MM/yyyy")
-    length = F.dayofmonth(F.last_day(when))
-    year, over = (F.year(when) - 1900).cast("bigint"), (F.dayofmonth(when) - 13).cast("bigint")
-    # February's years are those of its length: 49 leap years from 1904 on, 151 others.
-    common = year - F.greatest(F.lit(0), F.floor((year - 1) / 4))
-    pair = F.array(
-        F.when(length == 29, feistel_pair(F.floor((year - 4) / 4), over, 49, 17, key, "date 29", undo))
-        .when(length == 28, feistel_pair(common, over, 151, 16, key, "date 28", undo))
-        .when(length == 30, feistel_pair(year, over, 200, 18, key, "date 30", undo))
-        .otherwise(feistel_pair(year, over, 200, 19, key, "date 31", undo))
-    )
-
-    def shown(p: Column) -> Column:
-        n = p["a"]
+    iso, dotted = m.rlike("^[0-9]{4}-"), m.rlike("^[0-9]{2}[.]")
+    plain_day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).when(dotted, F.try_to_date(m, "dd.MM.yyyy")).otherwise(F.try_to_date(m, "MM/dd/yyyy"))
+
+    def place(x: Column) -> Column:
+        """Where in which domain the date lies: struct<a,b,size_a,size_b,tag>, all null if it is none."""
+        n, when = F.date_diff(x["plain"], first), x["day_first"]
+        plain, year, over = n.isNotNull(), (F.year(when) - 1900).cast("bigint"), (F.dayofmonth(when) - 13).cast("bigint")
+        length = F.dayofmonth(F.last_day(when))
+        # February's years are those of its length: 49 leap years from 1904 on, 151 others.
+        common = year - F.greatest(F.lit(0), F.floor((year - 1) / 4))
+        by_length = lambda of_29, of_28, of_30, of_31: F.when(length == 29, of_29).when(length == 28, of_28).when(length == 30, of_30).otherwise(of_31)
+        valid = F.when(plain, n.between(0, N_DAYS - 1)).otherwise(year.between(0, 199) & (over >= 0))
+        found = F.struct(
+            F.when(plain, F.floor(n / 4297)).otherwise(by_length(F.floor((year - 4) / 4), common, year, year)).alias("a"), F.when(plain, n % 4297).otherwise(over).cast("bigint").alias("b"),
+            F.when(plain, 17).otherwise(by_length(49, 151, 200, 200)).alias("size_a"), F.when(plain, 4297).otherwise(by_length(17, 16, 18, 19)).alias("size_b"),
+            F.when(plain, "date").otherwise(F.concat(F.lit("date "), length.cast("string"))).alias("tag"),
+        )
+        return F.when(valid, found)
+
+    def moved(x: Column) -> Column:
+        return F.struct(feistel_pair(x["a"], x["b"], x["size_a"], x["size_b"], key, x["tag"], undo).alias("p"), x["tag"].alias("tag"))
+
+    def shown(x: Column) -> Column:
+        n, over, tag = x["p"]["a"], x["p"]["b"], x["tag"]
+        day = F.date_add(first, (n * 4297 + over).cast("int"))
+        plain = F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(dotted, F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
         uncommon = F.when(n < 4, n + 1900).otherwise(F.floor((n - 4) / 3) * 4 + (n - 4) % 3 + 1905)
-        new = F.when(length == 29, n * 4 + 1904).when(length == 28, uncommon).otherwise(n + 1900)
-        return F.concat_ws("/", _pad(p["b"] + 13, 2), F.substr(m, F.lit(4), F.lit(2)), _pad(new, 4))
+        year = F.when(tag == "date 29", n * 4 + 1904).when(tag == "date 28", uncommon).otherwise(n + 1900)
+        return F.when(tag == "date", plain).otherwise(F.concat_ws("/", _pad(over + 13, 2), F.substr(m, F.lit(4), F.lit(2)), _pad(year, 4)))
 
-    day_first = m.rlike("/") & ~month_first & F.year(when).between(1900, 2099) & (F.dayofmonth(when) > 12)
-    return F.when(day_first, F.transform(pair, shown)[0]).otherwise(out)
+    # Each step is bound once, so that one network serves all notations.
+    start = F.struct(plain_day.alias("plain"), F.when(~iso & ~dotted, F.try_to_date(m, "dd/MM/yyyy")).alias("day_first"))
+    placed = F.filter(F.transform(F.array(start), place), lambda x: x.isNotNull())
+    return F.get(F.transform(F.transform(placed, moved), shown), F.lit(0))
 
 
 MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "card": _card, "phone_us": _phone_us, "phone": _phone}
