@@ -168,6 +168,21 @@ def export_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.groupBy(views.export_bucket(F.col("status")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"with {CHECKS_SQL} select process_id, case when status is null then 'completeness' when status = 'SUSPICION' then 'suspicion' else 'finding' end as bucket, count(*) as n from visible group by all")
+def view_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = views.visible(shapes.checks(spark, sf_dir))
+    return shown.groupBy("process_id", views.bucket(F.col("status")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """select p_partkey, case p_partkey % 4 when 0 then 'object_id' when 1 then 'file_name' when 2 then 'doc_stage' else 'code_' || p_size end as header from part"""
+)
+def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = F.when(k % 4 == 0, "\ufeffObject ID").when(k % 4 == 1, " File\u00a0- name").when(k % 4 == 2, "DOC__Stage ").otherwise(F.concat(F.lit("Code - "), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", registry.canonical(raw).alias("header"))
+
+
 @query(
     """select o_custkey, o_orderkey, o_orderdate::varchar as o_orderdate, o_orderstatus from
       (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) where k = 1"""

@@ -207,3 +207,16 @@ def verdict_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = table(spark, sf_dir, "events").select(k, wrapped.alias("answer"))
     requested = answers.select(k, F.explode(F.array(*[F.lit(f"p{i}") for i in range(1, 8)])).alias("key"))
     return rules.parse_verdicts(answers, requested, "event_id")
+
+
+@query(
+    """select p_partkey, case when p_partkey % 3 = 0 then p_size::varchar else rtrim(rtrim(printf('%.2f', p_retailprice), '0'), '.') end as stored,
+      case when p_partkey % 7 = 0 then 'II' else replace(case when p_partkey % 3 = 0 then p_size::varchar else rtrim(rtrim(printf('%.2f', p_retailprice), '0'), '.') end, '.', ',') || case p_partkey % 4 when 0 then ' м²' when 1 then '' when 2 then '' else '' end end as shown
+    from part"""
+)
+def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    value = F.when(k % 3 == 0, F.col("p_size").cast("double")).otherwise(F.col("p_retailprice"))
+    unit = F.when(k % 4 == 0, "м²").when(k % 4 == 1, "—").when(k % 4 == 2, "Статус")
+    shown = rules.display_value(F.when(k % 7 > 0, value), F.lit("II"), unit)
+    return table(spark, sf_dir, "part").select("p_partkey", rules.stored_value(value, F.lit(None)).alias("stored"), shown.alias("shown"))
