@@ -29,8 +29,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """As `cut`, but as a columnar table, so that later reads take only the columns they need."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    """The rows of `df`, written to the folder and read back."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As `cut`, but as a columnar table, so that later reads take only the columns they need."""
+    return written_to(df, new_folder(df.sparkSession, name))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `new_folder` named, once all that was made of it is written."""
+    if not path.startswith(f"{shared_dir(spark)}/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
