@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import decontaminate, html_text, mixing, pii, quality, simhash, token_shards, toxicity, url_filter, warc
+from reconlake.llm import centroids, decontaminate, html_text, mixing, pii, quality, resampling, simhash, token_shards, toxicity, url_filter, vectors, warc
 from reconlake.plans.lineage import written
 from reconlake.sources.tables import table
 
@@ -221,3 +221,93 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out(), toxicity.MAX_ROWS, toxicity.MAX_BYTES)
     return toxicity.score(docs, toxicity.fit(known)).withColumn("held_out", held_out())
+
+
+CENTROIDS, ROUNDS, CENTROID_SEED, WIDTH = 8, 10, 3, 64
+
+
+def _centroid_sql() -> str:
+    """Every vector against every centroid, round by round."""
+    gap = "list_sum(list_transform(list_zip(v.c, k.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+    parts = [
+        f"""v as materialized (
+          select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as c from embeddings
+          where len(embedding) = {WIDTH} and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0)""",
+        f"""c0 as materialized (select row_number() over (order by h, c) - 1 as j, c from (
+          select sha256('{CENTROID_SEED}:' || coalesce(vec_id::varchar, '')) as h, c from v order by h, c limit {CENTROIDS}))""",
+    ]
+    for i in range(ROUNDS + 1):
+        parts.append(f"a{i} as materialized (select r, vec_id, c, n.j, n.d from (select v.r, v.vec_id, v.c, min({{'d': {gap}, 'j': k.j}}) as n from v, c{i} k group by all))")
+        if i < ROUNDS:
+            parts.append(f"""m{i} as (select j, list(m order by p) as c from (
+              select j, p, (sum(x::hugeint) - ((sum(x::hugeint) % count(*)) + count(*)) % count(*)) // count(*) as m
+              from (select j, unnest(c) as x, generate_subscripts(c, 1) as p from a{i}) group by j, p) group by j)""")
+            parts.append(f"c{i + 1} as materialized (select k.j, coalesce(m.c::bigint[], k.c) as c from c{i} k left join m{i} m on m.j = k.j)")
+    return f"""with {", ".join(parts)}
+      select a.vec_id, a.j::int as cluster, a.d as distance, (sum(a.d) over (partition by a.j))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia,
+        sha256(array_to_string(k.c, ',')) as centroid_sha256 from a{ROUNDS} a join c{ROUNDS} k on a.j = k.j"""
+
+
+@query("op11_centroids", _centroid_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, places = centroids.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, CENTROID_SEED, WIDTH)
+    return centroids.with_inertia(rows, places)
+
+
+DRAW_PERCENT, DRAW_SEED, DRAW_WORDS, DRAW_BUCKETS = 10, 2024, 20, 10_000
+
+
+@query(
+    "op12_resampling",
+    """
+    with crc as (
+      select list(c order by i) as t from (
+        select i, list_reduce([i] || [0::bigint for _ in range(8)], lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+    docs as (
+      select row_number() over () as r, doc_id,
+        coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w
+      from documents),
+    items as (
+      select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as w
+      from benchmark),
+    places as (select r, unnest(w) as w from docs),
+    words as (select distinct w, hex(encode(w)) as x from (select w from places union all select w from items)),
+    hashed as (
+      select w, xor(list_reduce([4294967295] || [('0x' || substr(x, (2 * i + 1)::int, 2))::bigint for i in range(len(x) // 2)],
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as b from words, crc),
+    s as (select b, count(*) as n from places join hashed using (w) group by 1),
+    t as (select b, count(*) as n from items join hashed using (w) group by 1),
+    gain as (
+      select b, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((select coalesce(sum(n), 0) from s) + 10000))::double / ((s.n + 1) * ((select coalesce(sum(n), 0) from t) + 10000))::double))::bigint as g
+      from s left join t using (b)),
+    sums as (select r, sum(g) as g, count(*) as n from places join hashed using (w) join gain using (b) group by 1),
+    weighed as (
+      select doc_id, len(w)::bigint as n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::bigint as weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h
+      from docs left join sums using (r)),
+    scored as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::double / 4294967296.0::double)))::bigint as score from weighed),
+    placed as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features) as place, count(*) over (partition by n_features >= 20) as n from scored)
+    select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank from placed
+    """,
+)
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return resampling.resample(docs, target, DRAW_PERCENT, DRAW_SEED, 1, DRAW_BUCKETS, DRAW_WORDS).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op13_vectors",
+    """
+    with recursive rows as (select row_number() over () as r, vec_id, embedding::double[] as v from embeddings),
+    good as materialized (select r, vec_id, v from rows where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and list_max(list_transform(v, lambda x: abs(x))) > 0),
+    links as materialized (select a.r as x, b.r as y, b.vec_id from good a join good b on a.r <> b.r and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95),
+    reach as (select r, r as y from good union select reach.r, links.y from reach join links on reach.y = links.x),
+    least as (select reach.r, min(vec_id) as component_id from reach join rows on rows.r = reach.y group by 1),
+    n as (select x, count(*) as n from links group by 1)
+    select vec_id, coalesce(n, 0)::bigint as n_links, case when least.r is null then vec_id else component_id end as component_id,
+      vec_id is not distinct from case when least.r is null then vec_id else component_id end as kept
+    from rows left join n on x = rows.r left join least on least.r = rows.r
+    """,
+)
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
