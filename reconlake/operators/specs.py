@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reconlake.operators import labels as label_search
 from reconlake.operators import matrix
 
 SPEC = (
@@ -121,7 +122,7 @@ def from_workbook(rows: DataFrame) -> DataFrame:
 
 #: Fixed patterns: alternatives between spaced slashes, abbreviations in brackets, and what a source says of disciplines.
 SLASH, ACRONYM = r"(?U)(\S+)\s+/\s+(\S+)", r"\(([A-ZА-ЯЁ]{1,6})\)"
-HINT, SECTION_HINT = r"[（(]([A-ZА-ЯЁ0-9/]{2,8})[）)]", r"(?U)Раздел\s+([А-ЯЁ]{2,8})"
+HINT = r"(?U)[（(]([A-ZА-ЯЁ0-9/]{2,8})[）)]|Раздел\s+([А-ЯЁ]{2,8})"
 
 
 def slash_variants(name: Column) -> Column:
@@ -144,18 +145,19 @@ def label_variants(name: Column, synonyms: Column) -> Column:
     """Every normalized phrase that is the parameter's label, each once, in order."""
     own = F.flatten(F.transform(slash_variants(name), acronym_variants))
     every = F.concat(own, F.coalesce(synonyms, F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(F.transform(every, matrix.normalized), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(every, label_search.normalized), lambda x: x != ""))
 
 
 def discipline_hints(source: Column) -> Column:
     """Disciplines that a source's text names, in brackets or as a section."""
     text = F.coalesce(source, F.lit(""))
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (HINT, SECTION_HINT)])
-    return F.array_distinct(F.flatten(F.transform(found, lambda t: F.split(t, "/"))))
+    in_brackets, as_section = (F.regexp_extract_all(text, F.lit(HINT), F.lit(i)) for i in (1, 2))
+    found = F.zip_with(in_brackets, as_section, lambda a, b: F.split(F.when(a != "", a).otherwise(b), "/"))
+    return F.array_distinct(F.flatten(found))
 
 
 def labels(specs: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """code, label, unit, hints for matrix.locate: one row for each variant of each rule's label, `ord` in its order."""
+    """code, label, unit, data_type, hints for matrix.locate: one row for each variant of each rule's label, `ord` in its order."""
     joined = specs.join(synonyms, "code", "left")
     hints = F.array_union(discipline_hints(F.col("source_pd")), discipline_hints(F.col("source_rd")))
-    return joined.select("code", "unit", hints.alias("hints"), F.posexplode(label_variants(F.col("parameter_name"), F.col("synonyms"))).alias("ord", "label"))
+    return joined.select("code", "unit", "data_type", hints.alias("hints"), F.posexplode(label_variants(F.col("parameter_name"), F.col("synonyms"))).alias("ord", "label"))

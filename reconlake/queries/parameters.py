@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconlake.functions import scalars
+from reconlake.operators import labels as label_operators
 from reconlake.operators import matrix
 from reconlake.plans import shapes
 from reconlake.queries.registry import query
@@ -44,6 +45,39 @@ def label_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "label", "line", "method", scalars.fixed(F.col("value")).alias("value"))
 
 
+@query(
+    """with p as (select p_partkey, p_partkey % 6 as kind, p_name || '|' || p_brand as code, lower(p_name) as name, lower(p_brand) as brand, p_size as n, p_type from part)
+    select p_partkey as page, p_partkey * 4 as line, code, case when kind = 1 then brand || '/' || name else name || ' ' || brand end as label,
+      case kind when 4 then 'same_row' when 5 then 'next_line' else 'same_line' end as method, case when kind in (4, 5) then p_partkey * 4 + 1 else p_partkey * 4 end as value_line,
+      case when code[1] < 'i' then printf('%d,5', n) || case when kind in (0, 4) then ' м2' else '' end else case kind when 0 then n || ',5 м2 ' || lower(p_type) when 1 then '(' || n || ',5)' when 2 then '= ' || n || ',5'
+        when 3 then n || ',5' when 4 then n || ',5 м2' else n || ',5' end end as raw, case when code[1] < 'i' then printf('%.2f', n + 5e-1) end as value,
+      case when kind in (4, 5) then printf('%.2f', case kind when 4 then 1e-1 else 2e-1 end) else '0.10' end as y0
+    from p"""
+)
+def label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of a part with every brand is a label with two variants; a line holds one, the second, both, or one run together; beside or above its value. Names from 'i' on are rules for texts."""
+    k, n = F.col("p_partkey"), F.concat(F.col("p_size").cast("string"), F.lit(",5"))
+    part = table(spark, sf_dir, "part")
+    one, two = F.concat_ws(" ", "p_name", "p_brand"), F.concat_ws("/", "p_brand", "p_name")
+    kinds = part.select("p_name", "p_brand").distinct().withColumn("data_type", F.when(F.col("p_name") < "i", "number").otherwise("string"))
+    each = kinds.select(F.concat_ws("|", "p_name", "p_brand").alias("code"), F.posexplode(F.array(one, two)).alias("ord", "label"), F.lit("м²").alias("unit"), "data_type")
+    kind = k % 6
+    text = (
+        F.when(kind == 0, F.concat(F.initcap("p_name"), F.lit(", "), "p_brand", F.lit(": "), n, F.lit(" м2 "), F.lower("p_type"))).when(kind == 1, F.concat(F.lit("see "), F.upper(two), F.lit(" ("), n, F.lit(")")))
+        .when(kind == 2, F.concat(two, F.lit("; "), F.upper(one), F.lit(" = "), n)).when(kind == 3, F.concat(F.lit("xx"), one, F.lit("; "), "p_name", "p_brand", F.lit(" — "), n, F.lit(";"))).otherwise(one)
+    )
+    line = lambda at, text, x0, y0: F.struct((k * 4 + at).alias("line"), text.alias("text"), F.lit(x0).alias("x0"), y0.alias("y0"), F.lit(x0 + 0.2).alias("x1"), (y0 + 0.01).alias("y1"))
+    top = F.when(kind == 5, 0.2).otherwise(0.1)
+    value = F.when(kind == 4, F.concat(n, F.lit(" м2"))).when(kind == 5, n)
+    rows = F.array(line(0, text, 0.1, top), line(1, value, 0.35, F.when(kind == 4, top).otherwise(top + 5.0)), line(2, value, 0.12, F.when(kind == 5, top + 0.03).otherwise(top + 5.0)))
+    # Of a page's two places for the value only one is near; the other line is far below.
+    near = F.when(kind == 4, 1).when(kind == 5, 2)
+    lines = part.select(k.alias("page"), kind.alias("kind"), F.inline(rows)).where((F.col("line") % 4 == 0) | (F.col("line") % 4 == near)).withColumn("line", F.when(F.col("line") % 4 == 2, F.col("line") - 1).otherwise(F.col("line")))
+    wanted = each.withColumn("label", label_operators.normalized(F.col("label")))
+    found = matrix.locate(lines, wanted)
+    return found.select("page", "line", "code", "label", "method", "value_line", "raw", scalars.fixed(F.col("value")).alias("value"), scalars.fixed(F.col("box.y0")).alias("y0"))
+
+
 @query(
     """select p_partkey, case p_partkey % 10 when 0 then printf('%.2f', p_retailprice) when 1 then printf('%.2f', p_retailprice) when 2 then printf('%.2f', p_size::double)
       when 3 then printf('%.2f', p_size::double) when 5 then printf('%.2f', floor(p_retailprice)) when 6 then printf('%.2f', 7000 + p_size + 25e-2::double) when 7 then '2024.00'

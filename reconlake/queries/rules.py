@@ -23,20 +23,27 @@ def _chosen(rows: list[tuple], place: int) -> Column:
     return F.get(F.array(*[F.lit(r[place]) for r in rows]), (F.col("p_partkey") % len(rows)).cast("int"))
 
 
-#: Names, synonyms and sources, with the variants and hints that they give.
-NAMES = [
-    ("Коэффициент застройки (КЗ)", None, "Том (АР/КР)", "коэффициент застройки кз|кз|коэффициент застройки", "АР,КР"),
-    ("Высота / отметка этажа", "Высота  этажа;Отм.", "Раздел ПЗ", "высота этажа|отметка этажа|отм", "ПЗ"),
-    ("Тип (надземная)", "", "без указаний", "тип надземная", ""),
-    ("Ёмкость В1/Т3", "Объём", "см. (ВК) и Раздел ОВ, (ВК)", "емкость в1 т3|объем", "ВК,ОВ"),
-]
-
-
-@query(f"select p_partkey, variants, hints from part join (values {_values([r[3:] for r in NAMES])}) n(i, variants, hints) on p_partkey % {len(NAMES)} = i")
+@query(
+    """with p as (select p_partkey, p_partkey % 4 as kind, lower(p_name) as name, lower(p_type) as type, lower(p_brand) as brand, p_type, p_size from part)
+    select p_partkey, case kind
+        when 0 then name || ' ' || type || case when len(type) <= 6 then '|' || type || '|' || name else '' end || '|' || brand || '|отм'
+        when 1 then name || ' этажа|' || split_part(name, ' ', 1) || ' ' || type || ' этажа|' || brand || '|отм'
+        when 2 then 'емкость ' || brand || '/' || name || ' №' || p_size || '|' || brand || '|отм'
+        else type || ' ' || p_size || ' %|' || brand || '|отм' end as variants,
+      case kind when 0 then 'АР,' || lpad(p_size::varchar, 2, '0') when 1 then 'ПЗ' when 2 then 'ВК,ОВ' else '' end as hints
+    from p"""
+)
 def label_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    synonyms = F.filter(F.split(_chosen(NAMES, 1), ";"), lambda x: x != "")
-    variants, hints = specs.label_variants(_chosen(NAMES, 0), synonyms), specs.discipline_hints(_chosen(NAMES, 2))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(variants, "|").alias("variants"), F.array_join(hints, ",").alias("hints"))
+    """Names with an abbreviation, with spaced alternatives, with a slash within words, with quotes; synonyms, one of them twice."""
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    name = (
+        F.when(k == 0, F.concat(F.initcap("p_name"), F.lit(" ("), "p_type", F.lit(")"))).when(k == 1, F.concat("p_name", F.lit(" / "), "p_type", F.lit(" этажа")))
+        .when(k == 2, F.concat(F.lit("Ёмкость "), "p_brand", F.lit("/"), "p_name", F.lit(" №"), size)).otherwise(F.concat(F.lit("«"), "p_type", F.lit("»,  "), size, F.lit(" %")))
+    )
+    source = F.when(k == 0, F.concat(F.lit("Том (АР/"), F.lpad(size, 2, "0"), F.lit(")"))).when(k == 1, "Раздел ПЗ").when(k == 2, "см. (ВК) и Раздел ОВ, (ВК)")
+    synonyms = F.array(F.concat(F.lit("  "), "p_brand"), F.lit("Отм."), F.upper("p_brand"), F.lit(" - "))
+    found = table(spark, sf_dir, "part").select("p_partkey", specs.label_variants(name, synonyms).alias("v"), specs.discipline_hints(source).alias("h"))
+    return found.select("p_partkey", F.array_join("v", "|").alias("variants"), F.array_join("h", ",").alias("hints"))
 
 
 #: Workbook rows: section, code, name, unit, source_pd, source_rd, logic, norms; then section, type, modality, operator, threshold, references.
