@@ -1,9 +1,13 @@
-"""Decisions of people as a log of events that is folded into the state of checks and protocols.
-
-Nothing is updated in place: the state after any prefix of the log is an
-aggregate of it. Events have a total order (at, event_id); each kind keeps its
-own precondition, so an event that was not allowed leaves no trace but its
-place in `refused`.
+"""Decisions of people as a log of events that is folded, in order, into the state of checks and protocols.
+
+Nothing is updated in place. A check and the atoms of its composite are one
+unit; the events of a unit are sorted by (at, event_id) and folded one after the
+other over the states of its members, since whether an event is allowed depends
+on what those before it left behind: a split shows the atoms, a promotion makes
+a candidate, a first verdict may be changed later. Units don't touch each
+other, so they are folded in parallel, each in one row; a unit is a composite
+with the decisions on it. How many candidates of a process are open after each
+event is a running sum of what the units' events added or took.
 """
 
 from __future__ import annotations
@@ -22,53 +26,143 @@ def decidable(status: Column, verified_by: Column) -> Column:
     return F.coalesce(status.isin(*views.OPEN), F.lit(False)) | verified_by.isNotNull()
 
 
-def refusal(checks: DataFrame, events: DataFrame, protocols: DataFrame) -> DataFrame:
-    """`events` with `refused`: why a verdict, split or promotion is not allowed, or null.
+def _folded(split: Column, members: Column, events: Column) -> Column:
+    """struct<split,members,out> of a unit after its sorted events; out tells of each event its refusal and the unit's open candidates before and after.
 
-    checks: check_id, process_id, parent_id, split_at, status, verified_by, n_atoms.
-    events: event_id, check_id, kind ('verdict', 'split', 'promote'), decision,
-    reason_code, comment. protocols: process_id, version, status; the last
-    version counts.
+    members: array of (check_id, is_top, status, verified_by); events: array of
+    (at, event_id, check_id, kind, decision, user_id, unexplained, closed).
+    """
+    atoms = lambda m: F.filter(m, lambda x: ~x["is_top"])
+
+    def open_ones(split: Column, m: Column) -> Column:
+        candidate = F.filter(m, lambda x: F.coalesce(x["status"] == "CANDIDATE", F.lit(False)) & (x["is_top"] != split))
+        return F.size(candidate).cast("bigint")
+
+    def refused(acc: Column, e: Column, me: Column) -> Column:
+        verdict, split, promote = (e["kind"] == k for k in ("verdict", "split", "promote"))
+        composite = me["is_top"] & (F.size(atoms(acc["members"])) > 0)
+        return (
+            F.when(verdict & e["unexplained"], "REJECTION_REQUIRES_REASON")
+            .when(split & ~composite, "NOT_A_COMPOSITE").when(split & acc["split"], "ALREADY_SPLIT")
+            .when(promote & ~F.coalesce(me["status"] == "SUSPICION", F.lit(False)), "NOT_A_SUSPICION").when(e["closed"].isNotNull(), e["closed"])
+            .when(verdict & composite & ~acc["split"], "COMPOSITE_NOT_SPLIT").when(verdict & ~me["is_top"] & ~acc["split"], "NOT_A_CANDIDATE")
+            .when(verdict & ~decidable(me["status"], me["verified_by"]), "NOT_A_CANDIDATE")
+        )
+
+    def after(acc: Column, e: Column, why: Column) -> Column:
+        allowed, verdict = why.isNull(), e["kind"] == "verdict"
+
+        def changed(m: Column) -> Column:
+            status = F.when(verdict, e["decision"]).otherwise("CANDIDATE")
+            by = F.when(verdict, e["user_id"]).otherwise(m["verified_by"])
+            return F.struct(m["check_id"].alias("check_id"), m["is_top"].alias("is_top"), status.alias("status"), by.alias("verified_by"))
+
+        sets = allowed & (e["kind"] != "split")
+        new = F.when(sets, F.transform(acc["members"], lambda m: F.when(m["check_id"] == e["check_id"], changed(m)).otherwise(m))).otherwise(acc["members"])
+        return F.struct((acc["split"] | (allowed & (e["kind"] == "split"))).alias("split"), new.alias("members"), why.alias("why"))
+
+    def step(acc: Column, e: Column) -> Column:
+        me = F.filter(acc["members"], lambda m: m["check_id"] == e["check_id"])
+        # Each step is bound once by a one-element transform, so that no later step computes it again.
+        why = F.transform(F.slice(me, 1, 1), lambda x: F.struct(refused(acc, e, x).alias("why")))
+        state = F.transform(why, lambda w: after(acc, e, w["why"]))
+
+        def told(s: Column) -> Column:
+            now = F.struct(
+                e["event_id"].alias("event_id"), s["why"].alias("refused"), open_ones(acc["split"], acc["members"]).alias("before"), open_ones(s["split"], s["members"]).alias("after")
+            )
+            return F.struct(s["split"].alias("split"), s["members"].alias("members"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.transform(state, told)[0]
+
+    none = F.array().cast("array<struct<event_id:bigint,refused:string,before:bigint,after:bigint>>")
+    return F.aggregate(events, F.struct(split.alias("split"), members.alias("members"), none.alias("out")), step)
+
+
+def folded(checks: DataFrame, events: DataFrame, protocols: DataFrame) -> DataFrame:
+    """`events` with process_id, refused (why a verdict, split or promotion is not allowed at its place in the log, or null) and the unit's open candidates `before` and `after` it.
+
+    checks: check_id, process_id, parent_id, split_at, status, verified_by.
+    events: event_id (unique), at, check_id, kind ('verdict', 'split',
+    'promote'), decision, reason_code, comment, user_id. protocols: process_id,
+    version, status; the last version counts, as it is when the log begins.
+    An event on a check that isn't there is refused and has no process; an atom
+    whose composite isn't there stays hidden.
     """
+    unit = F.coalesce("parent_id", "check_id").alias("unit")
     last = views.latest(protocols.select("process_id", "version", F.col("status").alias("protocol_status")), "process_id", "version")
-    split_parents = checks.where("split_at is not null").select(F.col("check_id").alias("parent_id"), F.lit(True).alias("parent_split"))
-    # Top-level checks have no parent to look up, so they never share a key here.
-    atoms = checks.where("parent_id is not null").join(split_parents, "parent_id", "left")
-    tops = checks.where("parent_id is null").withColumn("parent_split", F.lit(None).cast("boolean"))
-    known = atoms.select(*tops.columns).unionByName(tops)
-    joined = events.join(known.withColumnRenamed("status", "check_status"), "check_id", "left").join(last, "process_id", "left")
-    verdict, split, promote = (F.col("kind") == k for k in ("verdict", "split", "promote"))
-    unexplained = verdict & (F.col("decision") == "NEGATIVE_VERIFIED") & (F.col("reason_code").isNull() | (F.coalesce(F.trim("comment"), F.lit("")) == ""))
-    composite = F.coalesce(F.col("n_atoms") > 0, F.lit(False))
-    hidden = F.col("parent_id").isNotNull() & F.col("parent_split").isNull()
-    why = (
-        F.when(unexplained, "REJECTION_REQUIRES_REASON").when(F.col("check_status").isNull() & F.col("process_id").isNull(), "FINDING_NOT_FOUND")
-        .when(split & ~composite, "NOT_A_COMPOSITE").when(split & F.col("split_at").isNotNull(), "ALREADY_SPLIT")
-        .when(promote & ~F.coalesce(F.col("check_status") == "SUSPICION", F.lit(False)), "NOT_A_SUSPICION")
-        .when(F.col("protocol_status").isNull(), "PROTOCOL_NOT_FOUND").when(F.col("protocol_status") == "PROTOCOL_FINALIZED", "PROTOCOL_FINALIZED")
-        .when(verdict & composite & F.col("split_at").isNull(), "COMPOSITE_NOT_SPLIT").when(verdict & hidden, "NOT_A_CANDIDATE")
-        .when(verdict & ~decidable(F.col("check_status"), F.col("verified_by")), "NOT_A_CANDIDATE")
+    closed = F.when(F.col("protocol_status").isNull(), "PROTOCOL_NOT_FOUND").when(F.col("protocol_status") == "PROTOCOL_FINALIZED", "PROTOCOL_FINALIZED")
+    reason = F.nullif("reason_code", F.lit("")).isNull() | (F.coalesce(F.trim("comment"), F.lit("")) == "")
+    unexplained = F.coalesce(F.col("decision") == "NEGATIVE_VERIFIED", F.lit(False)) & reason
+    placed = events.join(checks.select("check_id", "process_id", unit), "check_id", "left").withColumn("unexplained", unexplained)
+    lost = placed.where("unit is null")
+    known = placed.where("unit is not null").join(last, "process_id", "left").withColumn("closed", closed)
+    logs = known.groupBy("unit").agg(
+        F.array_sort(F.collect_list(F.struct("at", "event_id", "check_id", "kind", "decision", "user_id", "unexplained", "closed"))).alias("events")
+    )
+    is_top = F.col("parent_id").isNull()
+    members = checks.select(unit, F.struct("check_id", is_top.alias("is_top"), "status", "verified_by").alias("m"), (is_top & F.col("split_at").isNotNull()).alias("split"))
+    held = members.join(logs.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.collect_list("m").alias("members"), F.bool_or("split").alias("split"))
+    done = logs.join(held, "unit").select(_folded(F.col("split"), F.col("members"), F.col("events")).alias("f")).select(F.inline("f.out"))
+    told = known.select(*events.columns, "process_id").join(done, "event_id")
+    none = F.lit(None).cast("bigint")
+    absent = F.when((F.col("kind") == "verdict") & F.col("unexplained"), "REJECTION_REQUIRES_REASON").otherwise("FINDING_NOT_FOUND")
+    return told.unionByName(lost.select(*events.columns, "process_id", absent.alias("refused"), none.alias("before"), none.alias("after")))
+
+
+def refusal(checks: DataFrame, events: DataFrame, protocols: DataFrame) -> DataFrame:
+    """`events` with `refused` (see folded)."""
+    return folded(checks, events, protocols).select(*events.columns, "refused")
+
+
+def protocol_log(checks: DataFrame, events: DataFrame, protocols: DataFrame, processes: DataFrame) -> DataFrame:
+    """process_id, at, event_id, kind, refused, pending, protocol_status, process_status after each event of `folded` on a check that is there.
+
+    events: as from folded. processes: process_id, status when the log begins.
+    A verdict sets both states by the candidates that are left; a promotion
+    takes completed work up again; a split and a refused event change neither.
+    """
+    first = views.latest(protocols.select("process_id", "version", F.col("status").alias("protocol_was")), "process_id", "version")
+    start = views.visible(checks).groupBy("process_id").agg(F.count_if(F.col("status") == "CANDIDATE").alias("pending_was"))
+    by = Window.partitionBy("process_id").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    known = events.where("process_id is not null").join(start, "process_id", "left").join(first, "process_id", "left").join(processes.select("process_id", F.col("status").alias("process_was")), "process_id", "left")
+    counted = known.withColumn("pending", F.coalesce("pending_was", F.lit(0)) + F.sum(F.col("after") - F.col("before")).over(by))
+    allowed = F.col("refused").isNull()
+    verdict = allowed & (F.col("kind") == "verdict")
+    place = F.row_number().over(Window.partitionBy("process_id").orderBy("at", "event_id"))
+    seen = counted.withColumn("place", place).withColumns({
+        "said": F.last(F.when(verdict, F.struct("place", (F.col("pending") == 0).alias("done"))), ignorenulls=True).over(by),
+        "promoted": F.max(F.when(allowed & (F.col("kind") == "promote"), F.col("place"))).over(by),
+    })
+    again = F.col("promoted").isNotNull() & (F.col("said").isNull() | (F.col("promoted") > F.col("said.place")))
+
+    def state(was: str, done: str, working: str) -> Column:
+        now = F.when(F.col("said").isNull(), F.col(was)).when(F.col("said.done"), done).otherwise(working)
+        return F.when(again & (now == done), working).otherwise(now)
+
+    return seen.select(
+        "process_id", "at", "event_id", "kind", "refused", "pending", state("protocol_was", "VERIFICATION_COMPLETED", "VERIFYING").alias("protocol_status"),
+        state("process_was", "COMPLETED", "VERIFYING").alias("process_status"),
     )
-    return joined.select(*[c for c in events.columns], why.alias("refused"))
 
 
 def applied(checks: DataFrame, events: DataFrame) -> DataFrame:
     """`checks` (check_id, process_id, parent_id, status, engine_status, verified_by, split_at) after events that were allowed (check_id, at, event_id, kind, decision, user_id).
 
-    The last verdict or promotion gives the status; the first of them fixes
-    what the engine had said; a split is set once.
+    The last verdict or promotion gives the status; the first of them that
+    finds a status fixes what the engine had said; a split is set once.
     """
     order = F.struct("at", "event_id")
     sets = F.col("kind").isin("verdict", "promote")
     new = F.when(F.col("kind") == "verdict", F.col("decision")).otherwise("CANDIDATE")
     folded = events.groupBy("check_id").agg(
         F.max_by(F.when(sets, new), F.when(sets, order)).alias("new_status"), F.max_by(F.when(F.col("kind") == "verdict", F.col("user_id")), F.when(F.col("kind") == "verdict", order)).alias("by"),
-        F.bool_or(sets).alias("set"), F.min(F.when(F.col("kind") == "split", F.col("at"))).alias("split"),
+        F.count_if(sets).alias("sets"), F.min_by(F.when(sets, new), F.when(sets, order)).alias("first_status"), F.min(F.when(F.col("kind") == "split", F.col("at"))).alias("split"),
     )
     joined = checks.join(folded, "check_id", "left")
     return joined.select(
         "check_id", "process_id", "parent_id", F.coalesce("new_status", "status").alias("status"),
-        F.when(F.coalesce("set", F.lit(False)), F.coalesce("engine_status", "status")).otherwise(F.col("engine_status")).alias("engine_status"),
+        F.when(F.col("sets") > 0, F.coalesce("engine_status", "status", F.when(F.col("sets") > 1, F.col("first_status")))).otherwise(F.col("engine_status")).alias("engine_status"),
         F.coalesce("by", "verified_by").alias("verified_by"), F.coalesce("split_at", "split").alias("split_at"),
     )
 

@@ -1,9 +1,9 @@
 """Merging by evidence: a composite and its atoms are one unit, keyed by its evidence group.
 
-Both runs become one row for each unit, with the content of its check, its
-fragments and its atoms as values that compare with `<=>`; units then meet in
-one full outer join on (process, group). No unit is split over rows after the
-first aggregate, so a decided atom protects its whole composite.
+Both runs become one row for each unit, with a digest of what its check, its
+fragments and its atoms say; units then meet in one aggregate by (process,
+group). No unit is split over rows after the first aggregate, so a decided atom
+protects its whole composite.
 """
 
 from __future__ import annotations
@@ -33,44 +33,54 @@ def fragment_set(fragments: DataFrame, *keys: str) -> DataFrame:
     return fragments.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("file_id", "page", *corner))).alias("fragments"))
 
 
-def _content(status: Column) -> Column:
-    return F.struct(status.alias("status"), *CONTENT, "fragments")
+def _digest(*columns) -> Column:
+    """128 bits that stand for the values, nulls and their places included."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
 
 
-def units(checks: DataFrame, fragments: DataFrame, decided: bool) -> DataFrame:
-    """process_id, group_id, content, atoms, decided, members of every top-level check.
+def units(checks: DataFrame, decided: bool) -> DataFrame:
+    """process_id, group_id, content (a digest), decided, members of every top-level check.
 
-    checks: check_id, process_id, group_id, parent_id, status, engine_status and
-    CONTENT, with `decided` also verified_by and split_at. fragments: check_id,
-    file_id, page, x0, y0, x1, y1. An old check's status is what the engine had
-    said before anyone decided. members: check ids, the top first.
+    checks: check_id, process_id, group_id, parent_id, status, engine_status,
+    CONTENT and fragments (an array as of fragment_set, see with_fragments; its
+    order and repeats don't matter), with `decided` also verified_by and
+    split_at. An old check's status is what the engine had said before anyone
+    decided. members: check ids, the top first. A unit's content is that of its
+    top and of its atoms with their groups; only digests of it are shuffled.
+    Atoms whose top is missing, and tops without a group, are no units.
     """
-    own = checks.join(fragment_set(fragments, "check_id"), "check_id", "left")
+    shown = F.array_sort(F.array_distinct(F.coalesce("fragments", F.array().cast(checks.schema["fragments"].dataType))))
+    content = _digest(F.coalesce("engine_status", "status").alias("status"), *CONTENT, shown.alias("fragments"))
     by_person = (F.col("verified_by").isNotNull() | F.col("split_at").isNotNull()) if decided else F.lit(False)
-    rows = own.select(
-        "process_id", F.coalesce("parent_id", "check_id").alias("top"), "check_id", "group_id", F.col("parent_id").isNull().alias("is_top"),
-        _content(F.coalesce("engine_status", "status")).alias("content"), by_person.alias("by_person"),
+    is_top = F.col("parent_id").isNull()
+    rows = checks.select("process_id", F.coalesce("parent_id", "check_id").alias("top"), "check_id", "group_id", is_top.alias("is_top"), content.alias("content"), by_person.alias("by_person"))
+    own = rows.groupBy("process_id", "top").agg(
+        F.max(F.when(F.col("is_top"), F.struct("group_id", "content"))).alias("t"), F.array_sort(F.collect_list(F.when(~F.col("is_top"), F.struct("group_id", "content")))).alias("atoms"),
+        F.bool_or("by_person").alias("decided"), F.transform(F.array_sort(F.collect_list(F.struct(~F.col("is_top"), "check_id"))), lambda x: x["check_id"]).alias("members"),
     )
-    atom = F.when(~F.col("is_top"), F.struct("group_id", "content"))
-    return rows.groupBy("process_id", "top").agg(
-        F.max(F.when(F.col("is_top"), F.col("group_id"))).alias("group_id"), F.first(F.when(F.col("is_top"), F.col("content")), ignorenulls=True).alias("content"),
-        F.array_sort(F.collect_list(atom)).alias("atoms"), F.bool_or("by_person").alias("decided"),
-        F.transform(F.array_sort(F.collect_list(F.struct(~F.col("is_top"), "check_id"))), lambda x: x["check_id"]).alias("members"),
-    ).where("group_id is not null")
+    return own.where("t.group_id is not null").select("process_id", "t.group_id", _digest("t.content", "atoms").alias("content"), "decided", "members")
+
+
+def with_fragments(checks: DataFrame, fragments: DataFrame) -> DataFrame:
+    """`checks` with the array of their fragments (check_id, file_id, page, x0, y0, x1, y1)."""
+    return checks.join(fragment_set(fragments, "check_id"), "check_id", "left")
 
 
 def plan(old: DataFrame, new: DataFrame) -> DataFrame:
-    """process_id, group_id, action, decision_survived, noted, deleted (ids) of every unit of either run (units)."""
-    keys = ["process_id", "group_id"]
-    a = old.select(*keys, F.struct("content", "atoms").alias("was"), "decided", "members")
-    b = new.select(*keys, F.struct("content", "atoms").alias("now"))
-    both = a.join(b, keys, "full_outer")
+    """process_id, group_id, action, decision_survived, noted, deleted (ids) of every unit of either run (units).
+
+    Both runs are dealt once by process and group and meet in an aggregate.
+    """
+    of = lambda run, is_old: run.select("process_id", "group_id", F.lit(is_old).alias("is_old"), F.struct("content", "decided", "members").alias("u"))
+    both = of(old, True).union(of(new, False)).groupBy("process_id", "group_id").agg(
+        F.max(F.when(F.col("is_old"), F.col("u"))).alias("was"), F.max(F.when(~F.col("is_old"), F.col("u.content"))).alias("now")
+    )
     gone, fresh = F.col("now").isNull(), F.col("was").isNull()
-    same, decided = F.col("was").eqNullSafe(F.col("now")), F.coalesce("decided", F.lit(False))
+    same, decided = F.col("was.content").eqNullSafe(F.col("now")), F.coalesce("was.decided", F.lit(False))
     action = F.when(fresh, "added").when(gone, F.when(decided, "kept_without_source").otherwise("removed")).when(same, "kept").otherwise("changed")
     return both.select(
-        *keys, action.alias("action"), (decided & (gone | same)).alias("decision_survived"), (decided & (gone | ~same)).alias("noted"),
-        F.when(action.isin("removed", "changed"), F.col("members")).otherwise(F.array().cast("array<bigint>")).alias("deleted"),
+        "process_id", "group_id", action.alias("action"), (decided & (gone | same)).alias("decision_survived"), (decided & (gone | ~same)).alias("noted"),
+        F.when(action.isin("removed", "changed"), F.col("was.members")).otherwise(F.array().cast("array<bigint>")).alias("deleted"),
     )
 
 

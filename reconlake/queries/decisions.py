@@ -41,10 +41,10 @@ def _run(checks: DataFrame, is_new: bool) -> DataFrame:
         "check_id", "process_id", F.concat(F.lit("g"), group.cast("string")).alias("group_id"), "parent_id", (F.coalesce(engine, "status") if is_new else F.col("status")).alias("status"),
         (none if is_new else engine).alias("engine_status"), "verified_by", "split_at", none.alias("actual"), none.alias("delta"), F.lit("COMPLETE").alias("completeness"),
         scalars.fixed(F.col("amount") + F.when(F.lit(is_new) & (p % 5 == 0) & (place == 6), 1).otherwise(0)).alias("expected"),
+        (F.col("amount") / 64 + F.when(F.lit(is_new) & (p % 17 == 0), 1e-3).otherwise(0.0)).alias("x0"),
     )
-    x0 = F.col("amount") / 64 + F.when(F.lit(is_new) & (p % 17 == 0), 1e-3).otherwise(0.0)
-    fragments = checks.select("check_id", (p % 3).alias("file_id"), place.alias("page"), F.explode(F.array(x0, x0 + 1e-7)).alias("x0"), F.lit(0.1).alias("y0"), F.lit(0.2).alias("x1"), F.lit(0.3).alias("y1"))
-    return units.units(rows, fragments, decided=not is_new)
+    at = lambda x: F.struct((p % 3).alias("file_id"), place.alias("page"), *[scalars.fixed(c, 4).alias(n) for n, c in (("x0", x), ("y0", F.lit(0.1)), ("x1", F.lit(0.2)), ("y1", F.lit(0.3)))])
+    return units.units(rows.withColumn("fragments", F.array(at(F.col("x0")), at(F.col("x0") + 1e-7))), decided=not is_new)
 
 
 @query(
@@ -80,23 +80,39 @@ DECISIONS_SQL = f"""{CHECKS_SQL},
     full_checks as (select c.*, coalesce(n, 0) as n_atoms from checks c left join (select parent_id as p, count(*) as n from checks where parent_id is not null group by 1) a on a.p = c.check_id),
     protocols as (select process_id, version, process_id * 10 + version as protocol_id, case when version = 2 and process_id % 6 = 0 then 'PROTOCOL_FINALIZED' when version = 1 then 'SUPERSEDED' else 'READY' end as status
       from (select distinct process_id from checks where process_id % 6 <> 1) cross join (values (1), (2)) v(version)),
-    events as (select check_id * 10 + e as event_id, check_id, process_id, e as moment, case when (check_id + e) % 7 = 4 then 'split' when (check_id + e) % 7 = 5 then 'promote' else 'verdict' end as kind,
+    events as (select check_id * 10 + e as event_id, check_id, (check_id * 3 + e * 5) % 11 as moment, case when check_id % 10 = 1 and e = 2 then 'split' when (check_id + e) % 7 = 5 then 'promote' else 'verdict' end as kind,
         case (check_id + e) % 3 when 0 then 'CONFIRMED_VIOLATION' when 1 then 'NEGATIVE_VERIFIED' else 'CLARIFICATION_REQUIRED' end as decision,
-        case when check_id % 5 > 0 then 'R' || check_id % 4 end as reason_code, case when check_id % 11 > 0 then 'why' else ' ' end as comment, check_id % 9 as user_id
-      from checks cross join (values (1), (2)) v(e) where check_id % 3 = 0 and (e = 1 or check_id % 2 = 0)),
-    refusals as (select e.*, case when kind = 'verdict' and decision = 'NEGATIVE_VERIFIED' and (reason_code is null or trim(comment) = '') then 'REJECTION_REQUIRES_REASON'
-        when kind = 'split' and c.n_atoms = 0 then 'NOT_A_COMPOSITE' when kind = 'split' and c.split_at is not null then 'ALREADY_SPLIT'
-        when kind = 'promote' and not coalesce(c.status = 'SUSPICION', false) then 'NOT_A_SUSPICION'
-        when p.status is null then 'PROTOCOL_NOT_FOUND' when p.status = 'PROTOCOL_FINALIZED' then 'PROTOCOL_FINALIZED'
-        when kind = 'verdict' and c.n_atoms > 0 and c.split_at is null then 'COMPOSITE_NOT_SPLIT'
-        when kind = 'verdict' and c.parent_id is not null and up.split_at is null then 'NOT_A_CANDIDATE'
-        when kind = 'verdict' and not (coalesce(c.status in ('CANDIDATE', 'CLARIFICATION_REQUIRED'), false) or c.verified_by is not null) then 'NOT_A_CANDIDATE' end as refused
-      from events e join full_checks c using (check_id) left join protocols p on p.process_id = c.process_id and p.version = 2 left join checks up on up.check_id = c.parent_id),
+        case when check_id % 5 > 0 then 'R' || check_id % 4 end as reason_code, case when check_id % 11 > 0 then 'why' else ' ' end as comment, (check_id + e) % 9 as user_id
+      from (select check_id from checks union all select check_id + 8 from checks where check_id % 10 = 1) cross join (values (1), (2), (3)) v(e) where check_id % 3 = 0 or check_id % 10 in (1, 5, 6, 9)),
+    placed as (select e.*, c.process_id, coalesce(c.parent_id, c.check_id) as unit, p.status as protocol_status,
+        row_number() over (partition by coalesce(c.parent_id, c.check_id) order by moment, event_id) as i
+      from events e left join checks c using (check_id) left join protocols p on p.process_id = c.process_id and p.version = 2),
+    held as (select coalesce(parent_id, check_id) as unit, coalesce(bool_or(parent_id is null and split_at is not null), false) as split,
+        list({{'id': check_id, 'top': parent_id is null, 'status': status, 'verified': verified_by}} order by check_id) as members from checks group by 1),
+    fold as (
+      select unit, 0 as i, null::bigint as event_id, null::varchar as refused, split, members from held where unit in (select unit from placed)
+      union all
+      select unit, i, event_id, refused, split or (kind = 'split' and refused is null),
+        case when refused is null and kind <> 'split' then list_transform(members, lambda m: case when m.id = check_id
+          then {{'id': m.id, 'top': m.top, 'status': case kind when 'verdict' then decision else 'CANDIDATE' end, 'verified': case kind when 'verdict' then user_id else m.verified end}} else m end) else members end
+      from (
+        select unit, i, event_id, check_id, kind, decision, user_id, split, members,
+          case when kind = 'verdict' and decision = 'NEGATIVE_VERIFIED' and (coalesce(reason_code, '') = '' or trim(comment) = '') then 'REJECTION_REQUIRES_REASON'
+            when kind = 'split' and not (me.top and len(members) > 1) then 'NOT_A_COMPOSITE' when kind = 'split' and split then 'ALREADY_SPLIT'
+            when kind = 'promote' and not coalesce(me.status = 'SUSPICION', false) then 'NOT_A_SUSPICION'
+            when protocol_status is null then 'PROTOCOL_NOT_FOUND' when protocol_status = 'PROTOCOL_FINALIZED' then 'PROTOCOL_FINALIZED'
+            when kind = 'verdict' and me.top and len(members) > 1 and not split then 'COMPOSITE_NOT_SPLIT' when kind = 'verdict' and not me.top and not split then 'NOT_A_CANDIDATE'
+            when kind = 'verdict' and not (coalesce(me.status in ('CANDIDATE', 'CLARIFICATION_REQUIRED'), false) or me.verified is not null) then 'NOT_A_CANDIDATE' end as refused
+        from (select p.*, f.split, f.members, list_filter(f.members, lambda m: m.id = p.check_id)[1] as me from fold f join placed p on p.unit = f.unit and p.i = f.i + 1))),
+    opened as (select unit, i, event_id, refused, len(list_filter(members, lambda m: coalesce(m.status = 'CANDIDATE', false) and m.top <> split)) as open, max(i) over (partition by unit) as last, members, split from fold),
+    refusals as (select p.*, case when p.unit is not null then o.refused when kind = 'verdict' and decision = 'NEGATIVE_VERIFIED' and (coalesce(reason_code, '') = '' or trim(comment) = '') then 'REJECTION_REQUIRES_REASON'
+        else 'FINDING_NOT_FOUND' end as refused, o.open - b.open as change
+      from placed p left join opened o on o.event_id = p.event_id left join opened b on b.unit = p.unit and b.i = p.i - 1),
     allowed as (select * from refusals where refused is null),
-    folded as (select check_id, max_by(case when kind = 'verdict' then decision else 'CANDIDATE' end, moment) filter (kind <> 'split') as new_status, max_by(user_id, moment) filter (kind = 'verdict') as by_user,
-        min(moment) filter (kind = 'split') as split from allowed group by 1),
-    state as (select c.check_id, c.process_id, c.parent_id, coalesce(new_status, c.status) as status, case when new_status is not null then c.status end as engine_status, coalesce(by_user, c.verified_by) as verified_by,
-        c.split_at is not null or f.split is not null as is_split from checks c left join folded f using (check_id)),
+    touched as (select check_id, count(*) as n, first(decision order by moment, event_id) as first_status from allowed where kind <> 'split' group by 1),
+    state as (select c.check_id, c.process_id, c.parent_id, coalesce(m.status, c.status) as status, case when t.check_id is not null then coalesce(c.status, case when t.n > 1 then t.first_status end) end as engine_status, coalesce(m.verified, c.verified_by) as verified_by,
+        c.split_at is not null or (c.parent_id is null and coalesce(o.split, false)) as is_split
+      from checks c left join (select unit, split, unnest(members) as m from opened where i = last) o on o.m.id = c.check_id left join touched t on t.check_id = c.check_id),
     shown as (select s.* from state s left join state up on s.parent_id = up.check_id where (s.parent_id is null and not s.is_split) or up.is_split),
     pending as (select process_id, count(*) filter (status = 'CANDIDATE') as pending from shown group by 1)"""
 
@@ -109,13 +125,14 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     versions = checks.where(p % 6 != 1).select("process_id").distinct().withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
     status = F.when((F.col("version") == 2) & (p % 6 == 0), "PROTOCOL_FINALIZED").when(F.col("version") == 1, "SUPERSEDED").otherwise("READY")
     protocols = versions.withColumns({"protocol_id": p * 10 + F.col("version"), "status": status})
-    k, e = F.col("check_id"), F.col("at")
-    each = checks.where(k % 3 == 0).select("check_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("at")).where((e == 1) | (k % 2 == 0))
-    kind = F.when((k + e) % 7 == 4, "split").when((k + e) % 7 == 5, "promote").otherwise("verdict")
+    k, e = F.col("check_id"), F.col("e")
+    ids = checks.select("check_id").union(checks.where(k % 10 == 1).select(k + 8))  # no order has a ninth line
+    each = ids.where((k % 3 == 0) | (k % 10).isin(1, 5, 6, 9)).select("check_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("e"))
+    kind = F.when((k % 10 == 1) & (e == 2), "split").when((k + e) % 7 == 5, "promote").otherwise("verdict")
     decision = F.when((k + e) % 3 == 0, "CONFIRMED_VIOLATION").when((k + e) % 3 == 1, "NEGATIVE_VERIFIED").otherwise("CLARIFICATION_REQUIRED")
     events = each.select(
-        (k * 10 + e).alias("event_id"), "check_id", "at", kind.alias("kind"), decision.alias("decision"), F.when(k % 5 > 0, F.concat(F.lit("R"), (k % 4).cast("string"))).alias("reason_code"),
-        F.when(k % 11 > 0, "why").otherwise(" ").alias("comment"), (k % 9).alias("user_id"),
+        (k * 10 + e).alias("event_id"), "check_id", ((k * 3 + e * 5) % 11).alias("at"), kind.alias("kind"), decision.alias("decision"), F.when(k % 5 > 0, F.concat(F.lit("R"), (k % 4).cast("string"))).alias("reason_code"),
+        F.when(k % 11 > 0, "why").otherwise(" ").alias("comment"), ((k + e) % 9).alias("user_id"),
     )
     return known, protocols, events
 
@@ -123,23 +140,44 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     checks, protocols, events = _parts(spark, sf_dir)
     allowed = decisions.refusal(checks, events, protocols).where("refused is null")
-    split = checks.withColumn("split_at", F.when(F.col("split_at").isNotNull(), 0))  # as the events' own times
+    split = checks.withColumn("split_at", F.when(F.col("split_at").isNotNull(), F.lit(0).cast("bigint")))  # as the events' own times
     return decisions.applied(split, allowed), protocols
 
 
-@query(f"with {DECISIONS_SQL} select event_id, check_id, kind, refused from refusals")
+@query(f"with recursive {DECISIONS_SQL} select event_id, check_id, kind, refused from refusals")
 def verdict_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks, protocols, events = _parts(spark, sf_dir)
     return decisions.refusal(checks, events, protocols).select("event_id", "check_id", "kind", "refused")
 
 
-@query(f"with {DECISIONS_SQL} select check_id, status, engine_status, verified_by, is_split from state")
+@query(f"with recursive {DECISIONS_SQL} select check_id, status, engine_status, verified_by, is_split from state")
 def verdict_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(spark, sf_dir)[0].select("check_id", "status", "engine_status", "verified_by", F.col("split_at").isNotNull().alias("is_split"))
 
 
 @query(
-    f"""with {DECISIONS_SQL} select process_id, pending, case when pending = 0 then 'VERIFICATION_COMPLETED' else 'VERIFYING' end as protocol_status,
+    f"""with recursive {DECISIONS_SQL},
+    first as (select process_id, count(*) filter (status = 'CANDIDATE') as pending from visible group by 1),
+    run as (select r.process_id, r.event_id, r.moment, r.kind, r.refused, coalesce(f.pending, 0) + sum(r.change) over w as pending, row_number() over w as place
+      from refusals r left join first f using (process_id) where r.unit is not null window w as (partition by r.process_id order by r.moment, r.event_id)),
+    steps as (select *, case when refused is null and kind = 'verdict' then case when pending = 0 then 'done' else 'working' end when refused is null and kind = 'promote' then 'again' end as what from run),
+    said as (select *, last_value(case when what <> 'again' then what end ignore nulls) over w as last_verdict, last_value(what ignore nulls) over w as last_what from steps
+      window w as (partition by process_id order by place))
+    select s.process_id, event_id, refused, pending::bigint as pending,
+      case when last_verdict = 'done' and last_what = 'done' then 'VERIFICATION_COMPLETED' when last_verdict is not null then 'VERIFYING'
+        when last_what = 'again' and p.status = 'VERIFICATION_COMPLETED' then 'VERIFYING' else p.status end as protocol_status,
+      case when last_verdict = 'done' and last_what = 'done' then 'COMPLETED' when last_verdict is not null or last_what = 'again' or s.process_id % 4 > 0 then 'VERIFYING' else 'COMPLETED' end as process_status
+    from said s left join protocols p on p.process_id = s.process_id and p.version = 2"""
+)
+def protocol_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks, protocols, events = _parts(spark, sf_dir)
+    processes = checks.select("process_id").distinct().withColumn("status", F.when(F.col("process_id") % 4 > 0, "VERIFYING").otherwise("COMPLETED"))
+    log = decisions.protocol_log(checks, decisions.folded(checks, events, protocols), protocols, processes)
+    return log.select("process_id", "event_id", "refused", "pending", "protocol_status", "process_status")
+
+
+@query(
+    f"""with recursive {DECISIONS_SQL} select process_id, pending, case when pending = 0 then 'VERIFICATION_COMPLETED' else 'VERIFYING' end as protocol_status,
       case when pending = 0 then 'COMPLETED' else 'VERIFYING' end as process_status from pending"""
 )
 def protocol_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +185,7 @@ def protocol_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {DECISIONS_SQL}, f as (select protocol_id, process_id, case when status = 'PROTOCOL_FINALIZED' then 'ALREADY_FINALIZED' when status = 'SUPERSEDED' then 'PROTOCOL_SUPERSEDED'
+    f"""with recursive {DECISIONS_SQL}, f as (select protocol_id, process_id, case when status = 'PROTOCOL_FINALIZED' then 'ALREADY_FINALIZED' when status = 'SUPERSEDED' then 'PROTOCOL_SUPERSEDED'
         when coalesce(pending, 0) > 0 then 'CANDIDATES_PENDING' end as refused from protocols left join pending using (process_id)),
     l as (select protocol_id, count(*) as labels, count(*) filter (s.status = 'CONFIRMED_VIOLATION') as positive from f join shown s using (process_id) where refused is null and s.status in ('CONFIRMED_VIOLATION', 'NEGATIVE_VERIFIED') group by 1)
     select protocol_id, refused, case when protocol_id % 4 > 0 then coalesce(labels, 0) else 0 end as labels, case when protocol_id % 4 > 0 then coalesce(positive, 0) else 0 end as positive,
@@ -169,7 +207,7 @@ def protocol_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(sent.withColumnRenamed("status", "transfer"), "protocol_id", "left").join(after.withColumnRenamed("status", "state"), "protocol_id", "left")
 
 
-@query(f"with {DECISIONS_SQL} select reason_code as reason, count(*) as n from allowed where kind = 'verdict' and decision = 'NEGATIVE_VERIFIED' group by 1")
+@query(f"with recursive {DECISIONS_SQL} select reason_code as reason, count(*) as n from allowed where kind = 'verdict' and decision = 'NEGATIVE_VERIFIED' group by 1")
 def rejection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks, protocols, events = _parts(spark, sf_dir)
     allowed = decisions.refusal(checks, events, protocols).where("refused is null")
