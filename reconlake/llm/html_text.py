@@ -13,11 +13,16 @@ stays in its text.
 Names of the outermost elements (html, body, main, article) never count against
 their content, nor does a header's inside an article. Other elements that hold
 at least half of the page's words, and its heading or article, are wrappers,
-whatever they are called: a form or a `search-page` around a whole page.
+whatever they are called: a form or a `search-page` around a whole page. Where
+that leaves nothing, or fewer than FEW words of a page without main or article,
+the page is judged once more with all elements as wrappers that hold at least
+half of its words, heading or not, and against which only parts of names speak:
+a `legal-notice-text` around the only text. Elements that are hidden by attribute
+or style are never seen.
 
 Blocks are joined in page order by one space; inline elements join without one;
 white space runs are one space; character references are decoded. Scripts,
-styles, comments and other unseen elements never count. Pages are judged one by
+styles, markup comments and other unseen elements never count. Pages are judged one by
 one, whole, in time and memory linear in their length, however deep they nest.
 
 Nulls and odd rows: null or empty html gives the empty text, as does a page
@@ -55,6 +60,7 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr"
 UNSEEN = frozenset("script style noscript template textarea svg iframe head title object canvas math xmp noembed noframes".split())
 #: Elements whose names never count against their content, and those of which a wrapper holds one.
 OUTER, HOLDS = frozenset("html body main article".split()), frozenset("h1 main article".split())
+TOLD = frozenset("main article".split())  # fixed value: elements by which a page tells its main text
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -66,7 +72,13 @@ TAG = re.compile(
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
+#: What hides an element: an attribute, looked for beside quoted values, or a style.
+HIDDEN = re.compile(r"(?:\s|^)hidden(?:[\s=/]|$)", re.IGNORECASE)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+NO_DISPLAY = re.compile(r"(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
+
 AGAINST = -1.5  # log-odds below which an element's names make its content boilerplate
+FEW = 20  # words of a text that may have lost its main part
 LARGEST = 4.0
 
 
@@ -82,6 +94,12 @@ def names(rest: str) -> list[str]:
     return [t for groups in NAMES.findall(rest) for t in next(filter(None, groups), "").split()] if "=" in rest else []
 
 
+def hidden(rest: str) -> bool:
+    """Do the attributes hide their element?"""
+    low = rest.lower()
+    return "hidden" in low and HIDDEN.search(QUOTED.sub("x", rest)) is not None or ("display" in low or "visibility" in low) and NO_DISPLAY.search(rest) is not None
+
+
 def parts(token: str) -> list[str]:
     """The parts of a compound name as features, lower-cased."""
     found = PART.findall(token)
@@ -185,21 +203,23 @@ def learn(pages: Iterable[str] = LABELLED_PAGES, mark: str = "data-main") -> Wei
     )
 
 
-def own_weight(w: Weights, opened: Open, name: str, rest: str) -> float:
-    """The least weight of an element's own names, at most 0; parts only count in names that are not known themselves."""
+def own_weight(w: Weights, opened: Open, name: str, rest: str, by_parts: bool = True) -> float:
+    """The least weight of an element's own names, at most 0; parts only count in names that are not known themselves, if `by_parts`."""
     if name in OUTER:
         return 0.0
+    if hidden(rest):
+        return -LARGEST
     least = 0.0
     if name not in INLINE and not (name == "header" and (opened.count["article"] or opened.count["main"])):
         least = min(least, w.names.get(f"<{name}>", 0.0))
     for token in names(rest):
         known = w.names.get(token.lower())
-        least = min(least, known) if known is not None else min([least, *[w.names[f] for f in parts(token) if f in w.names]])
+        least = min(least, known) if known is not None else min([least, *[w.names[f] for f in parts(token) if by_parts and f in w.names]])
     return least
 
 
-def wrappers(steps: list[tuple[str, str, str]], w: Weights) -> set[int]:
-    """Places of start tags whose names speak against main text and which yet hold half of the page's words with its heading or article."""
+def wrappers(steps: list[tuple[str, str, str]], w: Weights, headed: bool = True) -> set[int]:
+    """Places of start tags whose names speak against main text and which yet hold half of the page's words: with its heading or article if `headed`, else if only parts of names speak against them; none that are hidden."""
     opened = Open(-1)
     begun: list[list[int]] = []  # place, words and heads before, then inside
     words = heads = 0
@@ -214,7 +234,8 @@ def wrappers(steps: list[tuple[str, str, str]], w: Weights) -> set[int]:
             words += len(x.split())
         elif kind == "start":
             close(opened.before(x))
-            against = own_weight(w, opened, x, rest) < AGAINST
+            against = own_weight(w, opened, x, rest) < AGAINST and not hidden(rest)
+            against = against and (headed or own_weight(w, opened, x, rest, by_parts=False) >= AGAINST)
             opened.start(x, len(begun) if against else -1)
             if against and x not in VOID:
                 begun.append([at, words, heads])
@@ -222,13 +243,11 @@ def wrappers(steps: list[tuple[str, str, str]], w: Weights) -> set[int]:
         elif kind == "end":
             close(opened.end(x))
     close(opened.states)
-    return {at for at, n, found in begun if found and 2 * n >= words}
+    return {at for at, n, found in begun if (found or not headed) and 2 * n >= words}
 
 
-def scored(page: str, w: Weights) -> tuple[list[str], list[float]]:
-    """Pieces of text ("\\0" ends a block; nothing for what is left out) and the score of each."""
-    steps = list(events(page))
-    outer = wrappers(steps, w)
+def scored(steps: list[tuple[str, str, str]], w: Weights, outer: set[int]) -> tuple[list[str], list[float]]:
+    """Pieces of text ("\0" ends a block; nothing for what is left out) and the score of each; outer: the places of wrappers."""
     opened = Open(0.0)  # least weight of the elements around
     pieces, scores = [], []
     for at, (kind, x, rest) in enumerate(steps):
@@ -263,15 +282,26 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def main_text(page: str | None, w: Weights) -> str:
-    """The main text of one page."""
-    pieces, scores = scored(page or "", w)
+def _region(steps: list[tuple[str, str, str]], w: Weights, outer: set[int]) -> str:
+    pieces, scores = scored(steps, w, outer)
     first, end = best_run(scores)
     # A page's own NUL characters only end blocks too; html does not allow them.
     blocks = (" ".join(references.unescape(block).split()) for block in "".join(pieces[first:end]).split("\0"))
     return " ".join(filter(None, blocks))
 
 
+def main_text(page: str | None, w: Weights) -> str:
+    """The main text of one page."""
+    steps = list(events(page or ""))
+    outer = wrappers(steps, w)
+    text = _region(steps, w, outer)
+    told = any(kind == "start" and x in TOLD for kind, x, _ in steps)
+    if not text or len(text.split()) < FEW and not told:
+        wider = wrappers(steps, w, headed=False)
+        text = _region(steps, w, wider) if wider != outer else text
+    return text
+
+
 def _extract(weights: Weights):
     def extract(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: main_text(p, weights))

@@ -14,7 +14,11 @@ _OUTSIDE = (
     "nav navigation navbar menu topbar masthead header footer colophon sidebar aside rail widget related recommended "
     "ad ads advert advertisement adsense sponsored sponsor promo promotion banner popup modal overlay newsletter subscribe signup "
     "cookie cookies consent gdpr notice alert comments comment comment-list respond replies disqus share sharing social breadcrumb breadcrumbs "
-    "pagination pager toc login search form copyright legal hidden skip"
+    "pagination pager toc login search form copyright legal hidden skip "
+    # German, French and Spanish
+    "navigationsleiste seitenleiste menue kopfzeile fusszeile fussbereich impressum kommentar kommentare werbung anzeige anzeigen hinweis teilen suche suchformular anmelden verwandte "
+    "barre-laterale entete en-tete pied pied-de-page commentaire commentaires publicite pub partager partage recherche connexion abonnement avis mentions-legales articles-lies "
+    "barra-lateral cabecera encabezado pie pie-de-pagina comentario comentarios publicidad anuncio anuncios compartir buscar busqueda buscador aviso aviso-legal suscripcion relacionados"
 ).split()
 #: Names that mark the main text.
 _INSIDE = "article main content post entry story body text prose".split()

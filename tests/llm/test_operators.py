@@ -537,12 +537,109 @@ WORDS_OF = "The title of it all First paragraph with several words in it. Second
         f"<article class='post comments-open'>{ARTICLE}</article><section class=comments>{'<p>I liked it very much indeed and more so.</p>' * 9}</section>",
         f"<div><a href=1>One</a> <a href=2>Two</a></div><div>{ARTICLE}</div><div><a href=1>One</a><br><a href=2>Two</a></div>",
         f"<article>{ARTICLE.replace('<p>Second', '<div class=ad-slot>Buy this now, it is so very cheap and good</div><p>Second')}</article>",
+        f"<body><div class='search-results-article'>{ARTICLE.replace('h1', 'h4')}</div><div class=footer>words of the foot</div></body>",
+        f"<div class='legal-notice-text'>{ARTICLE.replace('h1', 'h4')}</div>",
+        f"<article>{ARTICLE}<div class=barra-lateral>otros articulos del dia</div></article><section id='kommentare'><p>Das war sehr gut und noch mehr</p></section>",
+        f"<article>{ARTICLE.replace('<p>Second', '<p hidden>secret words here</p><p style="color: red; display : none">more of them</p><p>Second')}</article>",
+        f"<main>{ARTICLE.replace('<p>Second', '<p title="hidden" data-hidden=1>Second')}</main><div style='visibility:hidden'><h1>{'secret ' * 90}</h1></div>",
     ],
 )
 def test_main_text_of_layouts(page):
     assert html_text.main_text(page, html_text.learn()) == WORDS_OF
 
 
+def brute_text(page, w):
+    """The whole extraction the long way: all elements around each piece anew, all runs of pieces, all wrappers by counting."""
+    steps = list(html_text.events(page))
+    around, spans = [], {}  # the start tags that are open at each step, and what each spans
+    stack = []
+
+    def close(until):
+        while stack and until(stack[-1]):
+            spans[stack.pop()][1] = at
+
+    for at, (kind, x, rest) in enumerate(steps):
+        before = list(stack)
+        if kind == "start":
+            while stack and steps[stack[-1]][1] in html_text.CLOSES.get(x, ()):
+                spans[stack.pop()][1] = at
+            if x not in html_text.VOID:
+                stack.append(at)
+                spans[at] = [before, len(steps)]
+                spans[at][0] = [steps[i][1] for i in stack[:-1]]
+        elif kind == "end" and any(steps[i][1] == x for i in stack):
+            while steps[stack[-1]][1] != x:
+                spans[stack.pop()][1] = at
+            spans[stack.pop()][1] = at
+        around.append((before, list(stack)))
+
+    def weight(i, by_parts=True):
+        _, x, rest = steps[i]
+        if x in html_text.OUTER:
+            return 0.0
+        if html_text.hidden(rest):
+            return -html_text.LARGEST
+        out = [0.0]
+        if x not in html_text.INLINE and not (x == "header" and {"article", "main"} & set(spans[i][0])):
+            out.append(w.names.get(f"<{x}>", 0.0))
+        for token in html_text.names(rest):
+            out += [w.names[token.lower()]] if token.lower() in w.names else [w.names[f] for f in html_text.parts(token) if by_parts and f in w.names]
+        return min(out)
+
+    words = [len(x.split()) if kind == "text" else 0 for kind, x, _ in steps]
+
+    def wraps(headed):
+        out = set()
+        for i, (_, end) in spans.items():
+            if weight(i) < html_text.AGAINST and not html_text.hidden(steps[i][2]) and 2 * sum(words[i:end]) >= sum(words):
+                if any(kind == "start" and x in html_text.HOLDS for kind, x, _ in steps[i + 1 : end]) if headed else weight(i, False) >= html_text.AGAINST:
+                    out.add(i)
+        return out
+
+    def region(outer):
+        least = lambda open_: min([0.0] + [weight(i) for i in open_ if i not in outer])
+        pieces, scores = [], []
+        for (kind, x, _), (before, after) in zip(steps, around):
+            a, b = least(before), least(after)
+            if kind == "text":
+                pieces.append("" if a < html_text.AGAINST else x)
+                scores.append(0.0 if a < html_text.AGAINST else len(x.split()) * max(0.2, w.word + a))
+            else:
+                pieces.append("" if x in html_text.INLINE else "\0")
+                scores.append(0.0 if kind == "gap" or min(a, b) < html_text.AGAINST else w.tags.get(x, w.tag))
+        best, at = 0.0, (0, 0)  # of equal sums the first that ends, and of these the shortest
+        for j in range(len(scores)):
+            for i in range(j, -1, -1):
+                total = sum(scores[i : j + 1])
+                if total > best + 1e-9:
+                    best, at = total, (i, j + 1)
+        return " ".join(filter(None, (" ".join(html_text.references.unescape(b).split()) for b in "".join(pieces[at[0] : at[1]]).split("\0"))))
+
+    first = region(wraps(True))
+    told = any(kind == "start" and x in html_text.TOLD for kind, x, _ in steps)
+    return region(wraps(False)) if (not first or len(first.split()) < html_text.FEW and not told) and wraps(False) != wraps(True) else first
+
+
+def test_whole_extraction_against_brute_force():
+    rng, w = random.Random(8), html_text.learn()
+    tags = "div p section article main nav footer header span b li ul h1 h2 form aside body".split()
+    said = ["", "", "", " class=content", " class='ad'", " id=sidebar", " class='legal-notice-text'", " class='has-sidebar x'", " hidden", " style='display:none'", " class=comments", " role=navigation"]
+    n_texts = 0
+    for _ in range(400):
+        page = ""
+        for _ in range(rng.randint(1, 14)):
+            t = rng.choice(tags)
+            page += rng.choice([f"<{t}{rng.choice(said)}>", f"<{t}{rng.choice(said)}>", f"</{t}>", "<br>", "<!-- x -->", "<script>y</script>", f"<{t}>"]) + " ".join(rng.choice(["word", "&amp;", "ünï", "more"]) for _ in range(rng.choice([0, 1, 4, 25])))
+        got = html_text.main_text(page, w)
+        assert got == brute_text(page, w), page
+        n_texts += bool(got)
+    assert n_texts > 200
+
+
+def test_no_pages(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
 def test_the_scan_finds_the_largest_sum():
     rng = random.Random(3)
     for _ in range(300):
@@ -555,7 +652,7 @@ def test_the_scan_leaves_out_unnamed_boilerplate():
     links = "".join(f"<div><a href=/{i}>Page {i}</a></div>" for i in range(9))
     page, w = f"<div>{links}</div><div>{ARTICLE}</div><div>{links}</div>", html_text.learn()
     assert html_text.main_text(page, w) == WORDS_OF
-    assert "Page 3" in "".join(html_text.scored(page, w)[0])  # without the scan it would stay
+    assert "Page 3" in "".join(html_text.scored(list(html_text.events(page)), w, set())[0])  # without the scan it would stay
 
 
 @pytest.mark.parametrize("step", ['<div class="a b">word ', "<iframe>word ", "<p>x<b>y", '<a "x> ', "</span><div>q ", "<!-- x ", "<script>", "<li class=ad>w "])
