@@ -592,7 +592,7 @@ def brute_text(page, w):
         out = set()
         for i, (_, end) in spans.items():
             if weight(i) < html_text.AGAINST and not html_text.hidden(steps[i][2]) and 2 * sum(words[i:end]) >= sum(words):
-                if any(kind == "start" and x in html_text.HOLDS for kind, x, _ in steps[i + 1 : end]) if headed else weight(i, False) >= html_text.AGAINST:
+                if any(kind == "start" and x in html_text.HOLDS for kind, x, _ in steps[i:end]) if headed else weight(i, False) >= html_text.AGAINST:
                     out.add(i)
         return out
 
