@@ -2,7 +2,10 @@
 
 Found and validated: e-mail addresses, payment card numbers (Luhn), IBANs
 (mod 97), US social security numbers, North American and other international
-telephone numbers, IPv4 addresses and dates from 1900 to 2099. Each valid
+telephone numbers, IPv4 addresses and dates from 1900 to 2099 in figures, with
+one or two digits for day and month. Not looked for: IPv6 addresses, telephone
+numbers without a country's code but for North American ones, dates whose month
+is a word. Each valid
 value is replaced by a value of the same format that is itself valid, through
 a keyed Feistel network over the value's own domain. A network is a bijection,
 so equal values become equal pseudonyms in every document, different values
@@ -11,9 +14,17 @@ stay different, and whoever holds the key can invert it (`undo=True`).
 Two networks: one adds round values modulo the sizes of two integer halves
 (dates, addresses, telephone and security numbers, whose domains are products
 of two ranges); the other shifts each character of half a string within its own
-class of digits or letters (cards, IBANs, mail names). Check digits are
+class of digits or letters (cards, IBANs, mail names; these also within Latin-1
+and Cyrillic letters, while letters of other scripts stay). Check digits are
 computed anew. Invalid look-alikes stay as they are.
 
+A date is one value in all its notations. It moves among the dates of all years
+whose day is, like its own, one of 1 to 9, 10 to 12 or over, and whose month is
+one of one digit or two (29 February: among leap years), so that figures are as
+many as before, a slashed date is read in the same order again, and all
+notations of a date get one pseudonym. Slashed dates are read month first, or
+day first where that is the only way.
+
 The text is cut at the matches of one pattern, the matches are replaced in
 place and the pieces joined again: no shuffle, no join, no Python, and every
 text is read whole.
@@ -32,9 +43,9 @@ from pyspark.sql import functions as F
 ROUNDS = 8  # even: after it both halves of a string are in their places again
 
 #: Fixed patterns, in order of preference where several could start at one place.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{M}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{M}\p{N}-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![0-9.,/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[.,/-][0-9])"
+DATE = r"(?<![0-9.,/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[.,/-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 PHONE_US = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
@@ -42,11 +53,13 @@ PHONE_INT = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9
 CARD = r"(?<![0-9.+-])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?:[ -]?[0-9]{1,3})?(?![0-9]|[.-][0-9])"
 PATTERNS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ssn": SSN, "ipv4": IPV4, "card": CARD, "phone_us": PHONE_US, "phone": PHONE_INT}
 KINDS = tuple(PATTERNS)
-FIRST_DAY, N_DAYS = "1900-01-01", 73049  # 17 * 4297 days, to 2099-12-31
+FIRST_YEAR, N_YEARS, N_LEAP = 1900, 200, 49
+MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 
-DIGITS = "0123456789"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Runs of code points whose characters are moved among themselves.
+DIGITS, LOWER, UPPER = ("0", "9"), ("a", "z"), ("A", "Z")
+ASCII = (DIGITS, LOWER, UPPER)
+LETTERS = (*ASCII, ("ß", "ö"), ("ø", "ÿ"), ("À", "Ö"), ("Ø", "Þ"), ("а", "я"), ("А", "Я"))
 
 
 def _text(*parts) -> Column:
@@ -82,16 +95,16 @@ def feistel_pair(a: Column, b: Column, size_a: int | Column, size_b: int | Colum
     return F.aggregate(_rounds(undo), start, step)
 
 
-def feistel_chars(s: Column, key: str, tag: str, undo: bool = False) -> Column:
-    """The string permuted over all strings with the same class of character (digit, lower, upper, other) at each place; up to 64 characters."""
+def feistel_chars(s: Column, key: str, tag: str, undo: bool = False, classes: tuple[tuple[str, str], ...] = ASCII) -> Column:
+    """The string permuted over all strings with the same class of character (one of `classes`, or itself) at each place; up to 64 characters."""
 
     def shifted(c: Column, by: Column) -> Column:
         by = -by if undo else by
         out = c
-        for letters in (DIGITS, LOWER, UPPER):
-            at = F.ascii(c) - ord(letters[0])
-            moved = F.substr(F.lit(letters), (F.pmod(at + by, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
-            out = F.when(c.between(letters[0], letters[-1]), moved).otherwise(out)
+        for first, last in classes:
+            letters = "".join(map(chr, range(ord(first), ord(last) + 1)))
+            moved = F.substr(F.lit(letters), (F.pmod(F.ascii(c) - ord(first) + by, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+            out = F.when(c.between(first, last), moved).otherwise(out)
         return out
 
     def mixed(half: Column, other: Column, r: Column) -> Column:
@@ -174,7 +187,7 @@ def _iban(m: Column, key: str, undo: bool) -> Column:
 
 def _email(m: Column, key: str, undo: bool) -> Column:
     # The domain stays, so that mail of one provider is still seen as such.
-    return F.concat(feistel_chars(F.substring_index(m, "@", 1), key, "email", undo), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(feistel_chars(F.substring_index(m, "@", 1), key, "email", undo, LETTERS), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _ssn(m: Column, key: str, undo: bool) -> Column:
@@ -223,47 +236,57 @@ def _phone(m: Column, key: str, undo: bool) -> Column:
 
 
 def _date(m: Column, key: str, undo: bool) -> Column:
-    """Three notations; slashed dates are read month first, or day first where that is the only way.
+    iso, dotted = m.rlike("^[0-9]{4}-"), F.contains(m, F.lit("."))
+
+    def read(f: Column) -> Column:
+        """struct<y,m,d,m_width,d_width,day_first>: the date's numbers, and how it is written."""
+        one, two, three = f[0], f[1], f[2]
+        day_first = dotted | (~iso & (_int(one) > 12))
+        month, day = F.when(iso | day_first, two).otherwise(one), F.when(iso, three).when(day_first, one).otherwise(two)
+        return F.struct(
+            F.when(iso, _int(one)).otherwise(_int(three)).alias("y"), _int(month).alias("m"), _int(day).alias("d"), F.length(month).alias("m_width"), F.length(day).alias("d_width"), day_first.alias("day_first"),
+        )
 
-    What is read day first keeps its month and a day over 12, and its year moves
-    among those in which the month is as long, so that neither kind turns into
-    the other and both can be undone.
-    """
-    first = F.lit(FIRST_DAY).cast("date")
-    iso, dotted = m.rlike("^[0-9]{4}-"), m.rlike("^[0-9]{2}[.]")
-    plain_day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).when(dotted, F.try_to_date(m, "dd.MM.yyyy")).otherwise(F.try_to_date(m, "MM/dd/yyyy"))
+    # Days over 12 before each month, among those of one digit and those of two; the leap day is apart.
+    before = [sum(n - 12 for n in MONTH_DAYS[start:i]) for start, end in ((0, 9), (9, 12)) for i in range(start, end)]
+    offset = F.array(*map(F.lit, before))
 
     def place(x: Column) -> Column:
-        """Where in which domain the date lies: struct<a,b,size_a,size_b,tag>, all null if it is none."""
-        n, when = F.date_diff(x["plain"], first), x["day_first"]
-        plain, year, over = n.isNotNull(), (F.year(when) - 1900).cast("bigint"), (F.dayofmonth(when) - 13).cast("bigint")
-        length = F.dayofmonth(F.last_day(when))
-        # February's years are those of its length: 49 leap years from 1904 on, 151 others.
-        common = year - F.greatest(F.lit(0), F.floor((year - 1) / 4))
-        by_length = lambda of_29, of_28, of_30, of_31: F.when(length == 29, of_29).when(length == 28, of_28).when(length == 30, of_30).otherwise(of_31)
-        valid = F.when(plain, n.between(0, N_DAYS - 1)).otherwise(year.between(0, 199) & (over >= 0))
-        found = F.struct(
-            F.when(plain, F.floor(n / 4297)).otherwise(by_length(F.floor((year - 4) / 4), common, year, year)).alias("a"), F.when(plain, n % 4297).otherwise(over).cast("bigint").alias("b"),
-            F.when(plain, 17).otherwise(by_length(49, 151, 200, 200)).alias("size_a"), F.when(plain, 4297).otherwise(by_length(17, 16, 18, 19)).alias("size_b"),
-            F.when(plain, "date").otherwise(F.concat(F.lit("date "), length.cast("string"))).alias("tag"),
-        )
+        """Where in which domain the date lies: struct<a,b,size_a,size_b,tag>, null if it is none."""
+        leap = (x["y"] % 4 == 0) & ((x["y"] % 100 != 0) | (x["y"] % 400 == 0))
+        days = F.get(F.array(*map(F.lit, MONTH_DAYS)), (x["m"] - 1).cast("int")) + F.when((x["m"] == 2) & leap, 1).otherwise(0)
+        valid = x["y"].between(FIRST_YEAR, FIRST_YEAR + N_YEARS - 1) & x["m"].between(1, 12) & x["d"].between(1, days)
+        leap_day, short, low, middle = (x["m"] == 2) & (x["d"] == 29), x["m"] < 10, x["d"] < 10, x["d"].between(10, 12)
+        month, n_months = x["m"] - F.when(short, 1).otherwise(10), F.when(short, 9).otherwise(3)
+        b = F.when(leap_day, 0).when(low, month * 9 + x["d"] - 1).when(middle, month * 3 + x["d"] - 10).otherwise(F.get(offset, (x["m"] - 1).cast("int")) + x["d"] - 13)
+        size_b = F.when(leap_day, 1).when(low, n_months * 9).when(middle, n_months * 3).when(short, sum(MONTH_DAYS[:9]) - 9 * 12).otherwise(sum(MONTH_DAYS[9:]) - 3 * 12)
+        kind = F.when(leap_day, "leap").when(low, "low").when(middle, "middle").otherwise("high")
+        a = F.when(leap_day, F.floor((x["y"] - FIRST_YEAR - 4) / 4)).otherwise(x["y"] - FIRST_YEAR)
+        tag = F.concat(F.lit("date "), kind, F.when(short, " short").otherwise(" long"))
+        found = F.struct(a.alias("a"), b.cast("bigint").alias("b"), F.when(leap_day, N_LEAP).otherwise(N_YEARS).alias("size_a"), size_b.alias("size_b"), tag.alias("tag"), kind.alias("kind"), short.alias("short"), x.alias("x"))
         return F.when(valid, found)
 
     def moved(x: Column) -> Column:
-        return F.struct(feistel_pair(x["a"], x["b"], x["size_a"], x["size_b"], key, x["tag"], undo).alias("p"), x["tag"].alias("tag"))
-
-    def shown(x: Column) -> Column:
-        n, over, tag = x["p"]["a"], x["p"]["b"], x["tag"]
-        day = F.date_add(first, (n * 4297 + over).cast("int"))
-        plain = F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(dotted, F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
-        uncommon = F.when(n < 4, n + 1900).otherwise(F.floor((n - 4) / 3) * 4 + (n - 4) % 3 + 1905)
-        year = F.when(tag == "date 29", n * 4 + 1904).when(tag == "date 28", uncommon).otherwise(n + 1900)
-        return F.when(tag == "date", plain).otherwise(F.concat_ws("/", _pad(over + 13, 2), F.substr(m, F.lit(4), F.lit(2)), _pad(year, 4)))
+        return F.struct(feistel_pair(x["a"], x["b"], x["size_a"], x["size_b"], key, x["tag"], undo).alias("p"), x["kind"].alias("kind"), x["short"].alias("short"), x["x"].alias("x"))
+
+    def numbers(x: Column) -> Column:
+        a, b, kind = x["p"]["a"], x["p"]["b"], x["kind"]
+        first = F.when(x["short"], 0).otherwise(9)  # of the months, from 0
+        within = F.slice(offset, first + 1, F.when(x["short"], 9).otherwise(3))
+        high = first + F.size(F.filter(within, lambda o: o <= b)) - 1
+        month = F.when(kind == "leap", 1).when(kind == "low", first + F.floor(b / 9)).when(kind == "middle", first + F.floor(b / 3)).otherwise(high)
+        day = F.when(kind == "leap", 29).when(kind == "low", b % 9 + 1).when(kind == "middle", b % 3 + 10).otherwise(b - F.get(offset, month.cast("int")) + 13)
+        year = F.when(kind == "leap", a * 4 + 4).otherwise(a) + FIRST_YEAR
+        return F.struct(year.alias("y"), (month + 1).alias("m"), day.alias("d"), x["x"].alias("x"))
+
+    def shown(n: Column) -> Column:
+        year, month, day = _pad(n["y"], 4), F.lpad(n["m"].cast("string"), n["x"]["m_width"], F.lit("0")), F.lpad(n["d"].cast("string"), n["x"]["d_width"], F.lit("0"))
+        slashed = F.when(n["x"]["day_first"], F.concat_ws("/", day, month, year)).otherwise(F.concat_ws("/", month, day, year))
+        return F.when(iso, F.concat_ws("-", year, month, day)).when(dotted, F.concat_ws(".", day, month, year)).otherwise(slashed)
 
     # Each step is bound once, so that one network serves all notations.
-    start = F.struct(plain_day.alias("plain"), F.when(~iso & ~dotted, F.try_to_date(m, "dd/MM/yyyy")).alias("day_first"))
-    placed = F.filter(F.transform(F.array(start), place), lambda x: x.isNotNull())
-    return F.get(F.transform(F.transform(placed, moved), shown), F.lit(0))
+    placed = F.filter(F.transform(F.transform(F.array(F.split(m, "[-./]")), read), place), lambda x: x.isNotNull())
+    return F.get(F.transform(F.transform(F.transform(placed, moved), numbers), shown), F.lit(0))
 
 
 MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "card": _card, "phone_us": _phone_us, "phone": _phone}

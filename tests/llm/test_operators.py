@@ -90,6 +90,63 @@ def test_pii_day_first_dates_and_other_columns(spark):
     assert back == {i: t for i, t, _ in rows if i >= 0}
 
 
+def brute_pair(a, b, size_a, size_b, key, tag):
+    for r in range(pii.ROUNDS):
+        f = int(hashlib.sha256(f"{key}:{tag}:{r}:{b if r % 2 == 0 else a}".encode()).hexdigest()[:12], 16)
+        a, b = ((a + f) % size_a, b) if r % 2 == 0 else (a, (b + f) % size_b)
+    return a, b
+
+
+def brute_chars(s, key, tag):
+    """Halves change places; each character of one is shifted among its like by the hash of the other."""
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+    for r in range(pii.ROUNDS):
+        stream, new = hashlib.sha512(f"{key}:{tag}:{r}:{right}".encode()).hexdigest(), ""
+        for i, c in enumerate(left):
+            run = next((x for x in pii.LETTERS if x[0] <= c <= x[1]), None)
+            n = ord(run[1]) - ord(run[0]) + 1 if run else 0
+            new += chr(ord(run[0]) + (ord(c) - ord(run[0]) + int(stream[4 * i : 4 * i + 4], 16)) % n) if run else c
+        left, right = right, new
+    return left + right
+
+
+def brute_date(d, key):
+    """The class of a date in order, by listing it, and the date that stands where its own place is moved to."""
+    kind = lambda x: "leap" if (x.month, x.day) == (2, 29) else "low" if x.day < 10 else "middle" if x.day < 13 else "high"
+    like = lambda x: (kind(x), x.month < 10)
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73049)]
+    by_year = {}
+    for x in days:
+        if like(x) == like(d):
+            by_year.setdefault(x.year, []).append(x)
+    years = sorted(by_year)
+    tag = f"date {kind(d)} {'short' if d.month < 10 else 'long'}"
+    a, b = brute_pair(years.index(d.year), by_year[d.year].index(d), len(years), len(by_year[d.year]), key, tag)
+    return by_year[years[a]][b]
+
+
+def test_pii_against_brute_force(spark):
+    rng = random.Random(2)
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049)) for _ in range(60)]
+    days += [datetime.date(*x) for x in ((1985, 7, 3), (1990, 1, 2), (2000, 2, 29), (1900, 1, 1), (2099, 12, 31), (1980, 12, 25), (1999, 10, 10), (2001, 11, 9), (1970, 3, 12), (1904, 2, 29))]
+    forms = ["{0:%Y-%m-%d}", "{0:%d.%m.%Y}", "{0.day}.{0.month}.{0.year}", "{0:%m/%d/%Y}", "{0.month}/{0.day}/{0.year}"]
+    rows = [(i, " and ".join(f.format(d) for f in forms) + (f" and {d:%d/%m/%Y} and {d.day}/{d.month}/{d.year}." if d.day > 12 else ".")) for i, d in enumerate(days)]
+    names = ["jürgen", "Zoë.Ñandú_1999", "иван.Петров", "łukasz", "a", "x+y%z", "e\u0301mile"]
+    rows += [(1000 + i, f"<{n}@müller.example.de>") for i, n in enumerate(names)]
+    docs = spark.createDataFrame([*rows, (2000, "v3.7.1985.1, 32.1.1990, 30/2/1999, 13/13/1990, 0.1.1990, 1.0.1990, 1.1.1899, 29.2.1900")], "doc_id long, text string")
+    out = pii.pseudonymise(docs, KEY)
+    got = {r.doc_id: r for r in out.collect()}
+    for i, d in enumerate(days):
+        new = brute_date(d, KEY)
+        assert [x for x in re.split(" and |[.]$", got[i].text) if x] == [f.format(new) for f in forms] + ([f"{new:%d/%m/%Y}", f"{new.day}/{new.month}/{new.year}"] if d.day > 12 else [])
+        assert got[i].n_date == (7 if d.day > 12 else 5)
+    for i, n in enumerate(names):
+        assert got[1000 + i].text == f"<{brute_chars(n, KEY, 'email')}@müller.example.de>" and got[1000 + i].n_email == 1
+    assert got[2000].text == docs.where("doc_id = 2000").first().text
+    back = {r.doc_id: r.text for r in pii.pseudonymise(out, KEY, undo=True).collect() if r.doc_id < 2000}
+    assert back == dict(rows)
+
+
 def test_pii_pairs_are_permutations(spark):
     pairs = spark.range(17 * 43).select(F.floor(F.col("id") / 43).alias("a"), (F.col("id") % 43).alias("b"))
     p = pii.feistel_pair(F.col("a"), F.col("b"), 17, 43, KEY, "t")
