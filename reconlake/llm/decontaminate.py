@@ -10,10 +10,15 @@ compare word by word. With ten words and three-word blocks most of a clean
 text is passed in steps of eight words.
 
 The test strings go to every task in parts of at most `max_block_bytes` of
-benchmark text, each searched in a pass of its own over the same rows, so what
-is sent has a bound that does not depend on the benchmark's size. Documents are
-judged row by row without a shuffle; a hot source or a group of copies is
-spread like any other rows, and a lost executor only repeats its partitions.
+benchmark text, so what is sent has a bound that does not depend on the
+benchmark's size. One part is searched as rows pass by, without a shuffle. More
+parts are searched in passes of their own, one after the other, so that a task
+never holds the tables of two: a pass writes what it finds by the text's SHA-256
+to the shared folder, which is little, and in the end texts are counted and meet
+their finds: by a broadcast of up to MAX_FOUND finds, by a join beyond. A hot
+source or a group of copies is spread like any other rows, but for that join,
+whose skew Spark's adaptive execution splits; a lost executor only repeats its
+partitions.
 
 Nulls and odd rows: a null or wordless text has no words, hits or items. Items
 without words hold no test string. An item without an id marks words as hit
@@ -33,9 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from reconlake.llm.text import alnum_words
+from reconlake.plans.lineage import written
 
 WINDOW = 10
-MAX_BLOCK_BYTES = 32 << 20
+MAX_BLOCK_BYTES = 8 << 20  # of four for each character; a part's tables take some 100 MB of each worker
+MAX_FOUND = 100_000  # texts with finds that are broadcast
 
 Words = tuple[bytes, ...]
 HITS = StructType(
@@ -161,22 +168,27 @@ def scan(
 ) -> DataFrame:
     """`docs` with n_words, hit_spans (array of [first, end)) and hit_items (sorted ids as strings)."""
     sc = docs.sparkSession.sparkContext
-    hits: list[Column] = []
-    for part in benchmark_parts(benchmark, item_id, item_text, max_block_bytes):
-        hits.append(_searcher(sc.broadcast((uuid.uuid4().hex, part)), window)(F.col(text)))
-    if not hits:
-
-        count = F.pandas_udf(_n_words, IntegerType())
-        none = F.array().cast("array<array<int>>")
-        return docs.withColumns({"n_words": count(F.col(text)), "hit_spans": none, "hit_items": F.array().cast("array<string>")})
-    out = docs.withColumns({f"__hit{i}": h for i, h in enumerate(hits)})
-    names = [f"__hit{i}" for i in range(len(hits))]
-    if len(names) == 1:
-        spans, items = F.col("__hit0.spans"), F.col("__hit0.items")
-    else:
-        spans = join_spans(F.flatten(F.array(*[F.col(f"{n}.spans") for n in names])))
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))
-    return out.withColumns({"n_words": F.col("__hit0.n_words"), "hit_spans": spans, "hit_items": items}).drop(*names)
+    parts = benchmark_parts(benchmark, item_id, item_text, max_block_bytes)
+    searcher = lambda part: _searcher(sc.broadcast((uuid.uuid4().hex, part)), window)(F.col(text))
+    none = F.array().cast("array<array<int>>"), F.array().cast("array<string>")
+    count = F.pandas_udf(_n_words, IntegerType())(F.col(text))
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return docs.withColumns({"n_words": count, "hit_spans": none[0], "hit_items": none[1]})
+    if second is None:
+        out = docs.withColumn("__hit", searcher(first))
+        return out.withColumns({"n_words": F.col("__hit.n_words"), "hit_spans": F.col("__hit.spans"), "hit_items": F.col("__hit.items")}).drop("__hit")
+    found = None
+    for part in (p for some in ((first, second), parts) for p in some):
+        hits = docs.select(F.sha2(text, 256).alias("__text_key"), searcher(part).alias("h")).where(F.size("h.spans") > 0)
+        own = written(hits.select("__text_key", "h.spans", "h.items").dropDuplicates(["__text_key"]), "finds")
+        found = own if found is None else found.union(own)
+    # A text has at most one find of each part.
+    spans, items = join_spans(F.flatten(F.collect_list("spans"))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    by_text = written(found.groupBy("__text_key").agg(spans.alias("__text_spans"), items.alias("__text_items")), "finds")
+    by_text = F.broadcast(by_text) if by_text.limit(MAX_FOUND + 1).count() <= MAX_FOUND else by_text
+    out = docs.withColumns({"n_words": count, "__text_key": F.sha2(text, 256)}).join(by_text, "__text_key", "left")
+    return out.withColumns({"hit_spans": F.coalesce("__text_spans", none[0]), "hit_items": F.coalesce("__text_items", none[1])}).drop("__text_key", "__text_spans", "__text_items")
 
 
 def join_spans(spans: Column) -> Column:

@@ -10,7 +10,8 @@ to make up for that bound. With `fill`, no weight is left over: cells that
 should hold more than they have are kept whole, what they hold is taken off
 the targets, and the others are raked for the rest until no cell exceeds what
 it has. A value whose target is beyond all its tokens gets all of them, the
-other values of its dimension share what it lacks, and a warning is logged.
+other values of its dimension share what it lacks, and a warning is logged. Up to MAX_CELLS cells are raked so on the
+driver; more by the same steps over the table of cells.
 
 Only cells are aggregated and joined, never documents: their number follows
 the number of sources, languages and topics. A round's sums are partial sums
@@ -39,11 +40,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconlake.plans.lineage import written
+from reconlake.plans.lineage import discard, new_folder, written, written_to
 
 ROUNDS = 12
 TOLERANCE = 1e-3  # of a share, beyond which a warning is logged
-MAX_CELLS = 200_000  # that come to the driver with `fill`; more are an error
+MAX_CELLS = 200_000  # that come to the driver with `fill`; more are raked as a table, in a job for each round
 LOG = logging.getLogger(__name__)
 OUTPUTS = ("topic", "tokens", "probability", "weight", "sampled")
 
@@ -127,11 +128,15 @@ def filled(tokens: np.ndarray, codes: Sequence[np.ndarray], wanted: Sequence[np.
         share[full] = tokens[full]
 
 
+def _warn_of_lack(dim: str, value: object, want: float, have: float) -> None:
+    LOG.warning("%s %r: the target is %.0f tokens, all that there are is %.0f", dim, value, want, have)
+
+
 def _filled_ratios(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float) -> DataFrame:
     """`cells` with `ratio`, the part of its tokens that a cell should hold, at most 1."""
     rows = cells.limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of {', '.join(targets)}; fill needs coarser values")
+        return _filled_table(cells, targets, budget)
     tokens = np.array([r["tokens"] for r in rows], float)
     codes, wanted = [], []
     for dim, t in targets.items():
@@ -141,13 +146,67 @@ def _filled_ratios(cells: DataFrame, targets: Mapping[str, DataFrame], budget: f
         want, have = np.array(list(share.values()), float) * budget * tokens.sum(), np.bincount(codes[-1], tokens, len(at))
         for v, w, h in zip(share, want, have):
             if w > h * (1 + 1e-9):
-                LOG.warning("%s %r: the target is %.0f tokens, all that there are is %.0f", dim, v, w, h)
+                _warn_of_lack(dim, v, w, h)
         wanted.append(reachable(want, have))
     ratios = (filled(tokens, codes, wanted) / tokens).tolist() if rows else []
     found = cells.sparkSession.createDataFrame([(*r, x) for r, x in zip(rows, ratios)], f"{_ddl(cells)}, ratio double")
     return written(found, "raked")
 
 
+def _reachable_table(values: DataFrame) -> DataFrame:
+    """`values` (want, have) with `w`, as reachable(); the steps are as many as there are sets of values that lack."""
+    now = written(values.withColumns({"w": F.col("want"), "full": F.lit(False)}), "wanted")
+    while now.where(F.col("w") > F.col("have") * (1 + 1e-12)).limit(1).count():
+        marked = now.withColumn("full", F.col("full") | (F.col("w") > F.col("have")))
+        total, held, rest = marked.agg(
+            F.sum("want"), F.coalesce(F.sum(F.when(F.col("full"), F.col("have"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~F.col("full"), F.col("want"))), F.lit(0.0))
+        ).first()
+        scale = (total - held) / rest if rest > 0 else 0.0
+        now = written(marked.withColumn("w", F.when(F.col("full"), F.col("have")).otherwise(F.col("want") * scale)), "wanted")
+    return now
+
+
+def _filled_table(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int = 500) -> DataFrame:
+    """As the ratios of filled(), over the cells as a table: sums by dimension are joined to them, a round at a time."""
+    spark, dims = cells.sparkSession, list(targets)
+    whole = cells.agg(F.sum("tokens").cast("double")).first()[0]
+    now = cells.withColumns({"share": F.col("tokens").cast("double"), "full": F.lit(False)})
+    for dim, t in targets.items():
+        have = cells.groupBy(F.col(dim).alias("__v")).agg(F.sum("tokens").cast("double").alias("have"))
+        values = have.join(t, F.col("__v").eqNullSafe(F.col(dim))).select("__v", (F.col("target") * budget * whole).alias("want"), "have")
+        values = _reachable_table(values)
+        for r in values.where(F.col("want") > F.col("have") * (1 + 1e-9)).limit(20).collect():
+            _warn_of_lack(dim, r["__v"], r["want"], r["have"])
+        now = now.join(values.select("__v", F.col("w").alias(f"w_{dim}")), F.col(dim).eqNullSafe(F.col("__v"))).drop("__v")
+    path = new_folder(spark, "raked")
+    now = written_to(now, path)
+    while True:
+        for _ in range(rounds):
+            step = now.withColumn("was", F.col("share"))
+            for dim in dims:
+                free, held = F.sum(F.when(~F.col("full"), F.col("share"))), F.sum(F.when(F.col("full"), F.col("tokens").cast("double")))
+                sums = step.groupBy(F.col(dim).alias("__v")).agg(F.coalesce(free, F.lit(0.0)).alias("__s"), F.coalesce(held, F.lit(0.0)).alias("__f"))
+                left = F.greatest(F.lit(0.0), F.col(f"w_{dim}") - F.col("__f"))
+                scaled = F.when(F.col("full"), F.col("share")).when(F.col("__s") > 0, F.col("share") * left / F.col("__s")).otherwise(0.0)
+                step = step.join(sums, F.col(dim).eqNullSafe(F.col("__v"))).withColumn("share", scaled).drop("__v", "__s", "__f")
+            after = new_folder(spark, "raked")
+            now = written_to(step, after)
+            discard(spark, path)
+            path = after
+            still = now.where(F.abs(F.col("share") - F.col("was")) > 1e-9 * F.col("was")).limit(1).count()
+            now = now.drop("was")
+            if not still:
+                break
+        over = ~F.col("full") & (F.col("share") > F.col("tokens") * (1 + 1e-9))
+        if not now.where(over).limit(1).count():
+            return now.select(*cells.columns, (F.least("share", "tokens") / F.col("tokens")).alias("ratio"))
+        after = new_folder(spark, "raked")
+        marked = now.withColumn("full", F.col("full") | over).withColumn("share", F.when(F.col("full"), F.col("tokens").cast("double")).otherwise(F.col("share")))
+        now = written_to(marked, after)
+        discard(spark, path)
+        path = after
+
+
 def _ddl(cells: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
 
@@ -187,7 +246,7 @@ def mix(
     if fill:
         raked, ratio = _filled_ratios(cells, targets, budget), F.col("ratio")
     else:
-        raked = rake(cells, targets)
+        raked = rake(cells, targets, rounds)
         whole = raked.agg(F.sum("share").alias("s"), F.sum("tokens").alias("n"))
         sum_share, sum_tokens = whole.select("s").scalar(), whole.select("n").scalar()
         ratio = F.col("share") / sum_share * F.lit(budget) * sum_tokens / F.col("tokens")

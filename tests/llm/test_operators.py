@@ -469,12 +469,14 @@ def test_raking_meets_the_targets(spark, odd_docs, no_docs):
         assert all(abs(got[k] - v) < 1e-6 for k, v in want.items())
     drawn = out.where("sampled").agg(F.sum("tokens")).first()[0]
     assert abs(drawn / total - 0.2) < 0.02
+    off = mixing.mix(docs, shares, budget=0.2, rounds=0).groupBy("topic").agg(F.sum(F.col("tokens") * F.col("probability") * F.col("weight")) / (0.2 * total)).collect()
+    assert any(abs(r[1] - shares["topic"][r[0]]) > 0.05 for r in off)  # not raked at all
     odd = mixing.mix(odd_docs, {"source": None, "lang": {"en": 1.0}, "topic": None}, budget=0.5)
     assert odd.count() == odd_docs.count() and odd.where("probability is null or probability > 1").count() == 0
     assert mixing.mix(no_docs, {"source": None}, budget=0.5).count() == 0
 
 
-def test_filled_cells_pass_on_what_they_cannot_hold(spark):
+def test_filled_cells_pass_on_what_they_cannot_hold(spark, monkeypatch):
     rows = [(i, "x " * 10, t, g) for i, (t, g) in enumerate([("a", "p")] * 50 + [("a", "q")] * 850 + [("b", "p")] * 700 + [("b", "q")] * 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"p": 0.5, "q": 0.5}}
@@ -485,6 +487,11 @@ def test_filled_cells_pass_on_what_they_cannot_hold(spark):
     for dim, of in shares.items():
         got = {r[0]: r[1] / 10_000 for r in out.groupBy(dim).agg(F.sum("e")).collect()}
         assert all(abs(got[v] - of[v]) < 1e-6 for v in of)
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)  # four cells are then raked as a table
+    table = {r.doc_id: r.probability for r in mixing.mix(docs, shares, 0.5, fill=True).collect()}
+    assert all(abs(table[r.doc_id] - r.probability) < 1e-9 for r in out.collect())
+    values = spark.createDataFrame([(50.0, 10.0), (30.0, 200.0), (20.0, 25.0)], "want double, have double")
+    assert sorted(r.w for r in mixing._reachable_table(values).collect()) == pytest.approx([10, 25, 65])
     least = mixing.reachable(np.array([50.0, 30.0, 20.0]), np.array([10.0, 200.0, 25.0]))
     assert np.allclose(least, [10, 65, 25])
     assert mixing.mix(docs.limit(0), shares, 0.5, fill=True).count() == 0
