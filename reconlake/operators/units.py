@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reconlake.functions import scalars
 
@@ -84,6 +85,59 @@ def plan(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+#: What people are told of decisions that a merge could not keep, and of findings that are no longer made.
+CHANGED_NOTE = ("Предыдущее решение (", ") было вынесено по прежним данным и не перенесено после дозагрузки — параметры изменились.")
+REMOVED_NOTE = "После дозагрузки система больше не формирует эту находку по текущим данным."
+SOMEONE = "инспектором"
+
+
+def _noted(rationale: Column, note: Column) -> Column:
+    return F.when(F.coalesce(rationale, F.lit("")) == "", note).otherwise(F.concat(rationale, F.lit("\n\n"), note))
+
+
+def _placed(checks: DataFrame) -> DataFrame:
+    """`checks` with top_group, the group of their unit's top."""
+    unit = Window.partitionBy("process_id", F.coalesce("parent_id", "check_id"))
+    return checks.withColumn("top_group", F.max(F.when(F.col("parent_id").isNull(), F.col("group_id"))).over(unit))
+
+
+def after_merge(old: DataFrame, new: DataFrame, planned: DataFrame, users: DataFrame) -> DataFrame:
+    """The checks after a merge (plan), in the columns of `old`.
+
+    Units that are kept stay as they are, decided ones that lost their source
+    with a note on each decided row; changed and fresh units come from the new
+    run, where a changed unit's top tells which decisions were not kept.
+    old, new: as for units, with rationale; new ids differ from old ones.
+    users: user_id, name.
+    """
+    columns = old.columns
+    plans = planned.select("process_id", F.col("group_id").alias("top_group"), "action", "noted")
+    by_person = F.col("verified_by").isNotNull() | F.col("split_at").isNotNull()
+    was = _placed(old).join(plans, ["process_id", "top_group"])
+    stays = was.where("action in ('kept', 'kept_without_source')")
+    told = F.when((F.col("action") == "kept_without_source") & by_person, _noted(F.col("rationale"), F.lit(REMOVED_NOTE))).otherwise(F.col("rationale"))
+    names = users.select(F.col("user_id").alias("verified_by"), "name")
+    decided = was.where(by_person & (F.col("action") == "changed")).join(names, "verified_by", "left")
+    label = F.concat_ws(", ", F.coalesce("status", F.lit("None")), F.coalesce("name", F.col("verified_by").cast("string"), F.lit(SOMEONE)))
+    order = F.struct(F.col("parent_id").isNotNull(), "check_id", label.alias("label"))
+    labels = decided.groupBy("process_id", "top_group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["label"]), "; ").alias("labels"))
+    fresh = _placed(new).join(plans.where("action in ('added', 'changed')"), ["process_id", "top_group"]).join(labels, ["process_id", "top_group"], "left")
+    note = F.concat(F.lit(CHANGED_NOTE[0]), F.col("labels"), F.lit(CHANGED_NOTE[1]))
+    new_told = F.when(F.col("labels").isNotNull() & F.col("parent_id").isNull(), _noted(F.col("rationale"), note)).otherwise(F.col("rationale"))
+    return stays.withColumn("rationale", told).select(*columns).union(fresh.withColumn("rationale", new_told).select(*columns))
+
+
+def reissued(protocols: DataFrame, planned: DataFrame) -> DataFrame:
+    """`protocols` (process_id, version, status) after merges: the last of each process that was merged is superseded, and a next one begins, under verification where a decision survived."""
+    merged = planned.groupBy("process_id").agg(F.bool_or("decision_survived").alias("survived"))
+    last = protocols.groupBy("process_id").agg(F.max("version").alias("last"))
+    known = protocols.join(last, "process_id").join(merged, "process_id", "left")
+    old = known.withColumn("status", F.when(F.col("survived").isNotNull() & (F.col("version") == F.col("last")), "SUPERSEDED").otherwise(F.col("status")))
+    status = F.when(F.col("survived"), "VERIFYING").otherwise("READY")
+    new = merged.join(last, "process_id", "left").select("process_id", (F.coalesce("last", F.lit(0)) + 1).cast(protocols.schema["version"].dataType).alias("version"), status.alias("status"))
+    return old.select("process_id", "version", "status").union(new)
+
+
 def matrix_rows(checks: DataFrame, hypotheses: str = "SEM-ROOM-FN") -> DataFrame:
     """Checks of the rule matrix only: hypotheses keep to their own run and never take part in a merge."""
     return checks.where(F.col("code") != hypotheses)

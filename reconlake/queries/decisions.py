@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from reconlake.functions import scalars
 from reconlake.operators import decisions, units
 from reconlake.plans import shapes
-from reconlake.plans.lineage import written
+from reconlake.plans.lineage import new_folder, written
 from reconlake.plans.shapes import CHECKS_SQL
 from reconlake.queries.registry import query
+from reconlake.sources import versions
 from reconlake.sources.tables import table
 
 UNITS_SQL = f"""{CHECKS_SQL},
@@ -29,7 +30,8 @@ UNITS_SQL = f"""{CHECKS_SQL},
       from (select * from u where not is_new) o full outer join (select * from u where is_new) n on o.process_id = n.process_id and o.group_id = n.group_id)"""
 
 
-def _run(checks: DataFrame, is_new: bool) -> DataFrame:
+def _rows_of(checks: DataFrame, is_new: bool) -> DataFrame:
+    """The checks of a run: the new one lacks some, has one under another group, and others that say something else."""
     k, p = F.col("check_id"), F.col("process_id")
     place = k % 10
     if is_new:
@@ -44,7 +46,11 @@ def _run(checks: DataFrame, is_new: bool) -> DataFrame:
         (F.col("amount") / 64 + F.when(F.lit(is_new) & (p % 17 == 0), 1e-3).otherwise(0.0)).alias("x0"),
     )
     at = lambda x: F.struct((p % 3).alias("file_id"), place.alias("page"), *[scalars.fixed(c, 4).alias(n) for n, c in (("x0", x), ("y0", F.lit(0.1)), ("x1", F.lit(0.2)), ("y1", F.lit(0.3)))])
-    return units.units(rows.withColumn("fragments", F.array(at(F.col("x0")), at(F.col("x0") + 1e-7))), decided=not is_new)
+    return rows.withColumn("fragments", F.array(at(F.col("x0")), at(F.col("x0") + 1e-7))).drop("x0")
+
+
+def _run(checks: DataFrame, is_new: bool) -> DataFrame:
+    return units.units(_rows_of(checks, is_new), decided=not is_new)
 
 
 @query(
@@ -56,6 +62,66 @@ def merge_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.plan(_run(checks, False), _run(checks, True)).withColumn("deleted", F.array_join(F.transform("deleted", lambda x: x.cast("string")), ","))
 
 
+MERGED_SQL = f"""{UNITS_SQL},
+    tops as (select is_new, process_id, top, group_id as top_group from rows where is_top),
+    said as (select r.*, t.top_group, p.action, c.status, c.verified_by, case when r.is_new then case when r.check_id % 2 > 0 then 'n' end when r.check_id % 4 > 0 then 'r' || r.check_id % 3 end as rationale
+      from rows r join tops t on t.is_new = r.is_new and t.process_id = r.process_id and t.top = r.top join checks c on c.check_id = r.check_id
+      join plan p on p.process_id = r.process_id and p.group_id = t.top_group),
+    labels as (select process_id, top_group, string_agg(coalesce(status, 'None') || ', ' || case when verified_by is null then 'инспектором' when verified_by % 2 = 0 then 'user ' || verified_by else verified_by::varchar end, '; ' order by not is_top, check_id) as labels
+      from said where by_person and action = 'changed' group by all),
+    merged as (
+      select process_id, check_id, group_id, case when action = 'kept_without_source' and by_person then coalesce(rationale || chr(10) || chr(10), '') || '{units.REMOVED_NOTE}' else rationale end as rationale
+      from said where not is_new and action in ('kept', 'kept_without_source')
+      union all
+      select process_id, check_id + 1000000000, group_id, case when is_top and labels is not null then coalesce(rationale || chr(10) || chr(10), '') || '{units.CHANGED_NOTE[0]}' || labels || '{units.CHANGED_NOTE[1]}' else rationale end
+      from said left join labels using (process_id, top_group) where is_new and action in ('added', 'changed'))"""
+
+
+def _merge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both runs with reasons, the new one with ids of its own, and the plan of merging them."""
+    checks = shapes.checks(spark, sf_dir)
+    k = F.col("check_id")
+    old = _rows_of(checks, False).withColumn("rationale", F.when(k % 4 > 0, F.concat(F.lit("r"), (k % 3).cast("string"))))
+    new = _rows_of(checks, True).withColumn("rationale", F.when(k % 2 > 0, "n"))
+    new = new.withColumns({c: F.col(c) + 1_000_000_000 for c in ("check_id", "parent_id")})
+    return old, new, units.plan(units.units(old, True), units.units(new, False))
+
+
+@query(f"with {MERGED_SQL} select process_id, check_id, group_id, rationale from merged")
+def merge_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new, planned = _merge(spark, sf_dir)
+    users = spark.createDataFrame([(i, f"user {i}") for i in range(0, 7, 2)], "user_id long, name string")
+    return units.after_merge(old, new, written(planned, "plan"), users).select("process_id", "check_id", "group_id", "rationale")
+
+
+@query(
+    f"""with {MERGED_SQL}, m as (select process_id, bool_or(d and action in ('kept', 'kept_without_source')) as survived from plan group by 1),
+    before as (select process_id, 1 as version, 'SUPERSEDED' as status from checks group by 1 having process_id % 3 = 0 union all
+      select process_id, 2 - (process_id % 3 > 0)::int, 'VERIFICATION_COMPLETED' from checks group by 1 having process_id % 11 > 0 or process_id % 3 = 0),
+    counted as (select process_id, count(*) as n from merged group by 1),
+    issued as (select b.process_id, version, case when version = max(version) over (partition by b.process_id) and survived is not null then 'SUPERSEDED' else status end as status from before b left join m using (process_id)
+      union all select process_id, coalesce(max(version), 0) + 1, case when any_value(survived) then 'VERIFYING' else 'READY' end from m left join before using (process_id) group by 1)
+    select process_id, version, status, case when status in ('VERIFYING', 'READY') then coalesce(n, 0) end as findings, 2 as read_from from issued left join counted using (process_id)"""
+)
+def merge_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge as a change of stored state: checks and protocols of the first version become the second's in one step, and are read back from it."""
+    old, new, planned = _merge(spark, sf_dir)
+    planned = written(planned, "plan")
+    p = F.col("process_id")
+    ids = old.select("process_id").distinct()
+    first = ids.where(p % 3 == 0).select("process_id", F.lit(1).alias("version"), F.lit("SUPERSEDED").alias("status"))
+    last = ids.where((p % 11 > 0) | (p % 3 == 0)).select("process_id", F.when(p % 3 > 0, 1).otherwise(2).alias("version"), F.lit("VERIFICATION_COMPLETED").alias("status"))
+    folder = new_folder(spark, "state")
+    versions.commit(spark, folder, {"checks": [old.where("parent_id is null"), old.where("parent_id is not null")], "protocols": [first, last]})
+    stored, issued = versions.read(spark, folder, "checks"), versions.read(spark, folder, "protocols")
+    users = spark.createDataFrame([(i, f"user {i}") for i in range(0, 7, 2)], "user_id long, name string")
+    after = units.after_merge(stored, new.select(*stored.columns), planned, users)
+    number = versions.commit(spark, folder, {"checks": [after.where("parent_id is null"), after.where("parent_id is not null")], "protocols": [units.reissued(issued, planned)]}, based_on=1)
+    counted = versions.read(spark, folder, "checks").groupBy("process_id").agg(F.count(F.lit(1)).alias("n"))
+    told = versions.read(spark, folder, "protocols").join(counted, "process_id", "left")
+    return told.select("process_id", "version", "status", F.when(F.col("status").isin("VERIFYING", "READY"), F.coalesce("n", F.lit(0))).alias("findings"), F.lit(number).alias("read_from"))
+
+
 @query(
     """with b as (select l_partkey as sheet, l_quantity / 64 as x0, l_tax as y0, l_quantity / 64 + l_discount as x1, l_tax + 5e-2::double as y1 from lineitem)
     select sheet, printf('%.6f', min(x0)) as x0, printf('%.6f', min(y0)) as y0, printf('%.6f', max(x1)) as x1, printf('%.6f', max(y1)) as y1 from b group by 1"""
