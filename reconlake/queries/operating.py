@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 from reconlake.functions import scalars
 from reconlake.operators import geometry, operations
-from reconlake.plans.lineage import shared_dir
+from reconlake.plans.lineage import new_folder, shared_dir
 from reconlake.queries.registry import query
 from reconlake.sources.tables import table
-from reconlake.streaming import tasks
+from reconlake.streaming import retries, tasks
 
 NOW = "2024-01-31 12:00:00"
 
@@ -249,6 +249,43 @@ def stream_task_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dead.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """with recursive e as (
+      select user_id as task_id, epoch_us(ts) as micros, case event_type when 'signup' then 'submitted' when 'click' then 'submitted' when 'view' then 'done' else 'failed' end as kind,
+        case when event_type = 'purchase' then [503, 429, 404][(event_id % 3 + 1)::int] end as code, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    s as (
+      select task_id, 0 as i, 'idle' as status, 0 as attempt, 0::bigint as due, false as fired, 0::bigint as fired_at, 0::bigint as micros, null::varchar as action, 0 as shown from e group by 1
+      union all
+      select task_id, i, case action when 'RUN' then 'running' when 'WAIT' then 'waiting' when 'DONE' then 'idle' when 'DEAD' then 'idle' else status end,
+        case action when 'RUN' then 1 when 'DONE' then 0 when 'DEAD' then 0 else attempt end, case when action = 'WAIT' then micros + [60, 300, 900][attempt] * 1000000 when action is null then due else 0 end,
+        fired, fired_at, micros, action, case when action = 'RUN' then 1 else attempt end
+      from (
+        select task_id, i, status, attempt, due, fired, fired_at, micros, case when kind = 'submitted' and status = 'idle' then 'RUN' when status = 'running' and kind = 'done' then 'DONE'
+          when status = 'running' and kind = 'failed' then case when (code is null or code >= 500 or code in (408, 429)) and attempt <= 3 then 'WAIT' else 'DEAD' end end as action
+        from (
+          select e.task_id, e.i, e.micros, e.kind, e.code, s.status = 'waiting' and s.due <= e.micros as fired, s.due as fired_at, s.due, case when s.status = 'waiting' and s.due <= e.micros then 'running' else s.status end as status,
+            case when s.status = 'waiting' and s.due <= e.micros then s.attempt + 1 else s.attempt end as attempt from s join e on e.task_id = s.task_id and e.i = s.i + 1))),
+    last as (select *, max(i) over (partition by task_id) as n from s),
+    told as (
+      select task_id, micros, action, shown as attempt, i from s where action is not null
+      union all select b.task_id, a.fired_at, 'RUN', b.attempt + 1, a.i from s a join s b on b.task_id = a.task_id and b.i = a.i - 1 where a.fired
+      union all select task_id, due, 'RUN', attempt + 1, i + 1 from last where i = n and status = 'waiting' and due // 1000 < (select max(micros) // 1000 from e) - 600000)
+    select task_id, micros as "at", action, attempt::int as attempt from told"""
+)
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of submissions, failures and ends does about its tasks, a user's events for each."""
+    base = new_folder(spark, "retries")
+    kind = F.when(F.col("event_type").isin("signup", "click"), "submitted").when(F.col("event_type") == "view", "done").otherwise("failed")
+    code = F.when(F.col("event_type") == "purchase", F.get(F.array(F.lit(503), F.lit(429), F.lit(404)), (F.col("event_id") % 3).cast("int")))
+    at = F.col("ts").cast("timestamp")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "event_id", at.alias("at"), kind.alias("kind"), code.alias("code"))
+    rows.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    sink = retries.attempts(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    sink.start().awaitTermination()
+    return spark.read.schema(retries.STEPS).parquet(f"{base}/out").select("task_id", F.unix_micros("at").alias("at"), "action", "attempt")
+
+
 def _keep(path: str):
     def keep(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")  # a repeated batch replaces its own rows only

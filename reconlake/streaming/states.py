@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,26 @@ def file_outcomes(files: DataFrame, parse: Column, text: str = "content") -> Dat
     return parsed.withColumns({"ok": ~bad, "error": error}).drop("__parsed")
 
 
+def tried(parse: Callable[[str], str], content: str = "content", retries: int = RETRIES) -> Column:
+    """struct<parsed,attempts,error> of each file by itself: `parse` is tried up to 1 + `retries` times; what it raises last is the file's error and stops no other. A file without content isn't tried."""
+
+    def one(text: str | None) -> tuple[str | None, int, str | None]:
+        if text is None:
+            return None, 0, "EMPTY"
+        error = None
+        for attempt in range(1, retries + 2):
+            try:
+                return parse(text), attempt, None
+            except Exception as e:  # a parser's faults are the file's
+                error = str(e) or type(e).__name__
+        return None, retries + 1, error
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["parsed", "attempts", "error"])
+
+    return F.pandas_udf(of, "parsed string, attempts int, error string").asNondeterministic()(F.col(content))
+
+
 def follow_ups(done: DataFrame) -> DataFrame:
     """Tasks (type, process_id) that finished ones publish: a start or an update that is done asks for hypotheses."""
     ready = (F.col("status") == "DONE") & F.col("type").isin("process.start", "process.update")

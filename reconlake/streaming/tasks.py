@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reconlake.functions.scalars import fixed
+from reconlake.streaming import states
 
 MESSAGE = "type string, process_id bigint, file_ids array<bigint>, value double, ts timestamp"
 KINDS = ("process.start", "process.update", "process.hypotheses")
@@ -44,6 +45,21 @@ def consume(stream: DataFrame, handlers: Mapping[str, Callable[[DataFrame, int],
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publishing(handle: Callable[[DataFrame, int], None], folder: str) -> Callable[[DataFrame, int], None]:
+    """The handler, which then lays the follow-ups of what it has done (states.follow_ups) into `folder`, one for each process of a batch.
+
+    Only a handler that returns publishes; a repeated batch overwrites its own
+    messages, so nothing is published twice.
+    """
+
+    def handled(rows: DataFrame, batch_id: int) -> None:
+        handle(rows, batch_id)
+        next_ones = states.follow_ups(rows.select("type", "process_id", F.lit("DONE").alias("status"))).distinct()
+        next_ones.select(F.to_json(F.struct("type", "process_id")).alias("value")).write.mode("overwrite").text(f"{folder}/batch_id={batch_id}")
+
+    return handled
+
+
 def rates(stream: DataFrame, late: str = "10 minutes", window: str = "15 minutes") -> DataFrame:
     """start, type, n, total: counts by window of a stream with ts, type and value; rows later than `late` are dropped by the watermark."""
     grouped = stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "type")
