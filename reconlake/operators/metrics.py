@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconlake.functions import scalars
+from reconlake.operators import digests
 
 THRESHOLDS = {"precision": (0.90, True), "recall": (0.80, True), "f1": (0.85, True), "fpr": (0.10, False)}
 
@@ -57,7 +58,7 @@ def grouped(labels: DataFrame, modality: str, param: str) -> DataFrame:
 
 def release(labels: DataFrame, *keys: str) -> DataFrame:
     """keys, n, manifest: how many labels a release freezes, and the fingerprint of their ids."""
-    return labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), scalars.ids_digest(F.collect_list(F.col("id").cast("string"))).alias("manifest"))
+    return digests.of_sets(labels, "id", *keys).withColumnRenamed("digest", "manifest")
 
 
 def top_reason(rejections: DataFrame) -> DataFrame:
