@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from reconlake.functions import texts
 from reconlake.operators import views
-
-MAX_PARAMS = 10_000  # that are sent to the findings; more are joined
-
-
-def _small(df: DataFrame, most: int = MAX_PARAMS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+from reconlake.plans.guards import small
 
 
 def finding_rows(checks: DataFrame, params: DataFrame, users: DataFrame) -> DataFrame:
@@ -23,7 +18,7 @@ def finding_rows(checks: DataFrame, params: DataFrame, users: DataFrame) -> Data
     atoms = checks.where("parent_id is not null").groupBy(F.col("parent_id").alias("check_id")).agg(F.array_sort(F.collect_list("check_id")).alias("atoms"))
     # Undecided checks have nobody to look up and never share a key.
     decided = checks.where("verified_by is not null").select("check_id", F.col("verified_by").alias("user_id")).join(users.select("user_id", "name"), "user_id")
-    joined = checks.join(_small(params), "code", "left").join(decided.select("check_id", F.col("name").alias("decided_by")), "check_id", "left").join(atoms, "check_id", "left")
+    joined = checks.join(small(params), "code", "left").join(decided.select("check_id", F.col("name").alias("decided_by")), "check_id", "left").join(atoms, "check_id", "left")
     return joined.select(
         "check_id", texts.finding_title(F.col("parameter_name"), F.col("code"), F.col("subject")).alias("title"), "unit",
         texts.norm_reference(F.col("sp_reference"), F.col("gost_reference")).alias("norm_reference"), "decided_by", "atoms",

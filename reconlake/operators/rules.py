@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from reconlake.operators import matrix
 from reconlake.functions import scalars
+from reconlake.plans.guards import small
 
 #: The rule with a comparison of its own, and statuses that are findings.
 OWN_COMPARISON = "M-003"
@@ -45,7 +46,7 @@ def compare_sides(specs: DataFrame, sides: DataFrame, left: str, right: str) ->
     def side(stage: str, name: str) -> DataFrame:
         return sides.where(F.col("stage") == stage).select("object_id", "code", F.struct("n_values", "value", "confidence", "shown").alias(name))
 
-    both = side(left, "l").join(side(right, "r"), ["object_id", "code"], "full_outer").join(F.broadcast(specs), "code")
+    both = side(left, "l").join(side(right, "r"), ["object_id", "code"], "full_outer").join(small(specs), "code")
     l, r = F.col("l.value"), F.col("r.value")
     count = lambda n: F.coalesce(F.col(f"{n}.n_values"), F.lit(0))
     sure = (F.coalesce("l.confidence", F.lit(0.0)) >= matrix.HIGH_CONFIDENCE) & (F.coalesce("r.confidence", F.lit(0.0)) >= matrix.HIGH_CONFIDENCE)
@@ -84,7 +85,7 @@ def evaluate_all(specs: DataFrame, objects: DataFrame, branches: Branches) -> Da
     wired = []
     for name, df in branches.items():
         own = specs.where((F.col("modality") == name) & (F.col("code") != OWN_COMPARISON)).select("code")
-        wired.append(df.join(F.broadcast(own), "code", "left_semi").select(*OUTCOME.split(", ")))
+        wired.append(df.join(small(own), "code", "left_semi").select(*OUTCOME.split(", ")))
     none = [F.lit(None).cast("string").alias(c) for c in ("status", "reason", "expected", "actual", "delta")]
     rules = specs.where(F.col("code") != OWN_COMPARISON).select("code", "modality")
     # Every rule of every object: rows of the answer, not a join of data. A matrix has hundreds of rules.
@@ -113,7 +114,7 @@ def check_rows(outcomes: DataFrame, specs: DataFrame, label: str = "matrix") ->
     """CHECK rows of outcomes: findings are complete, all else only states what is missing."""
     done = F.col("status").isin(*FINDINGS)
     none = F.lit(None).cast("string")
-    joined = outcomes.join(F.broadcast(specs.select("code", F.col("review_priority").alias("priority"))), "code", "left")
+    joined = outcomes.join(small(specs.select("code", F.col("review_priority").alias("priority"))), "code", "left")
     return joined.select(
         "object_id", F.concat_ws(":", "object_id", "code", F.lit(label)).alias("group_id"), "code", none.alias("subject"), "expected", "actual", "delta",
         F.when(done, "COMPLETE").otherwise(F.col("status")).alias("completeness"), F.when(done, F.col("status")).alias("finding_status"), "priority",
@@ -181,7 +182,7 @@ def findings_metric(checks: DataFrame) -> DataFrame:
 
 def with_param(checks: DataFrame, params: DataFrame) -> DataFrame:
     """`checks` with param_id of their code; null for codes that the table of params lacks."""
-    return checks.join(F.broadcast(params.select("code", F.col("id").alias("param_id"))), "code", "left")
+    return checks.join(small(params.select("code", F.col("id").alias("param_id"))), "code", "left")
 
 
 def hypothesis_batches(pairs: DataFrame, size: int, *keys: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,8 @@ def load_synonyms(spark: SparkSession, path: str) -> DataFrame:
     """code, synonyms: a mapping of codes to lists; no rows if there is no such file."""
     try:
         found = _parsed(spark, path, "synonyms") or {}
-    except Exception as e:  # the store says in its own words that nothing is there
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         found = {}
     return spark.createDataFrame([(str(k), [str(x) for x in v or []]) for k, v in found.items()], "code string, synonyms array<string>")

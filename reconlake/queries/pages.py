@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconlake.functions import scalars
-from reconlake.operators import textlayer
+from reconlake.operators import sheets, textlayer
 from reconlake.queries.registry import query
 from reconlake.sources.tables import table
 
@@ -63,31 +63,31 @@ def floor_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select p_partkey as page, '1.0.1' as number, '5.95' as area, 'Hall' as name, '1.0.1' as key from part union all
-    select p_partkey, '1.0.2', printf('%.2f', p_size + 5e-1), null, '1.0.2' from part"""
+    """select p_partkey as page, '1.0.1' as number, '5.95' as area, 'Hall' as name, '1.0.1' as key, 1 as place from part union all
+    select p_partkey, '1.0.2', printf('%.2f', p_size + 5e-1), null, '1.0.2', 2 from part union all select p_partkey, '1.0.3', '8.25', null, '1.0.3', 3 from part"""
 )
 def plan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    found = textlayer.top_down(textlayer.plan_labels(lines, textlayer.anchors(lines)))
-    keyed = textlayer.room_keys(found.withColumn("scope", F.lit(None).cast("string")))
-    return keyed.select("page", "number", scalars.fixed(F.col("area")).alias("area"), "name", "key")
+    lines = sheets.dealt(_lines(spark, sf_dir))
+    found = sheets.tags(lines, sheets.bands(lines)).select("page", "number", "area", "name", "scope", "box.x0", "box.y0", F.col("place").alias("block"))
+    keyed = textlayer.room_keys(textlayer.top_down(found))
+    return keyed.select("page", "number", scalars.fixed(F.col("area")).alias("area"), "name", "key", "place")
 
 
 @query(
     """with r as (select l_partkey as page, l_linenumber::varchar as number, case when l_suppkey % 3 > 0 then 's' || l_suppkey % 3 end as scope from lineitem group by all),
-    n as (select *, count(*) over (partition by page, number) as n, count(*) over (partition by page, scope) as m from r)
-    select page, number, scope, case when n = 1 then number else coalesce(scope, 'None') || '|' || number end as key, m from n"""
+    n as (select *, count(*) over (partition by page, number) as n, count(*) over (partition by page, scope) as m, dense_rank() over (partition by page order by scope nulls last) as place from r)
+    select page, number, scope, case when n = 1 then number else coalesce(scope, 'None') || '|' || number end as key, m, place from n"""
 )
 def room_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("l_suppkey") % 3
     rooms = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("page"), F.col("l_linenumber").cast("string").alias("number"), F.when(s > 0, F.concat(F.lit("s"), s.cast("string"))).alias("scope")).distinct()
-    sizes = textlayer.scopes(rooms).select(F.col("page").alias("p"), F.col("scope").alias("sc"), F.col("n").alias("m"))
+    sizes = textlayer.scopes(rooms).select(F.col("page").alias("p"), F.col("scope").alias("sc"), F.col("n").alias("m"), "place")
     keyed = textlayer.room_keys(rooms)
-    return keyed.join(sizes, (F.col("page") == F.col("p")) & F.col("scope").eqNullSafe(F.col("sc"))).select("page", "number", "scope", "key", "m")
+    return keyed.join(sizes, (F.col("page") == F.col("p")) & F.col("scope").eqNullSafe(F.col("sc"))).select("page", "number", "scope", "key", "m", "place")
 
 
-@query("""select p_partkey as page, block, text, line from part cross join (values (0, 'Экспликация помещений', 0), (8, '1.0.1' || chr(10) || '5,95' || chr(10) || 'Hall', 30)) v(block, text, line)""")
+@query("""select p_partkey as page, block, text, place from part cross join (values (0, 'Экспликация помещений', 1), (8, '1.0.1' || chr(10) || '5,95' || chr(10) || 'Hall', 21)) v(block, text, place)""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = textlayer.reading_order(_lines(spark, sf_dir))
-    first = lines.groupBy("page", "block").agg(F.min("line").alias("line"))
-    return textlayer.blocks(lines).where("block in (0, 8)").join(first, ["page", "block"]).select("page", "block", "text", "line")
+    first = lines.groupBy("page", "block").agg(F.min("place").alias("place"))
+    return textlayer.blocks(lines).where("block in (0, 8)").join(first, ["page", "block"]).select("page", "block", "text", "place")
