@@ -27,15 +27,24 @@ def reconcile(pd: DataFrame, rd: DataFrame, relative: float) -> DataFrame:
     pd, rd: sheet, scope, number, area; unique by the first three. The rooms of
     both sides are dealt once by (sheet, scope); meeting the other side,
     finding neighbours and later the composites all keep that partitioning.
+
+    With a column evidence (struct<file_id,page,x0,y0,x1,y1>) on both sides,
+    pd_evidence and rd_evidence say where each finding is seen: at the room
+    itself, or on the side that lacks it around both its neighbours.
     """
-    none = F.lit(None).cast("double")
-    sides = pd.select("sheet", "scope", "number", F.col("area").alias("pd_area"), none.alias("rd_area")).unionByName(
-        rd.select("sheet", "scope", "number", none.alias("pd_area"), F.col("area").alias("rd_area"))
-    )
-    both = sides.repartition("sheet", "scope").groupBy("sheet", "scope", "number").agg(F.max("pd_area").alias("pd_area"), F.max("rd_area").alias("rd_area"))
+    seen = "evidence" in pd.columns
+    kinds = {"area": "double"} | ({"evidence": pd.schema["evidence"].dataType} if seen else {})
+
+    def of(rooms: DataFrame, own: str, other: str) -> DataFrame:
+        known = [c for name, kind in kinds.items() for c in (F.col(name).alias(f"{own}_{name}"), F.lit(None).cast(kind).alias(f"{other}_{name}"))]
+        return rooms.select("sheet", "scope", "number", *known)
+
+    sides = of(pd, "pd", "rd").unionByName(of(rd, "rd", "pd"))
+    values = [f"{side}_{name}" for name in kinds for side in ("pd", "rd")]
+    both = sides.repartition("sheet", "scope").groupBy("sheet", "scope", "number").agg(*[F.max(c).alias(c) for c in values])
     prefix, place = scalars.numbered(F.col("number"))
     row = both.withColumns({"__prefix": prefix, "__at": place})
-    shown = F.struct("number", F.col("pd_area").isNotNull().alias("in_pd"), F.col("rd_area").isNotNull().alias("in_rd"))
+    shown = F.struct("number", F.col("pd_area").isNotNull().alias("in_pd"), F.col("rd_area").isNotNull().alias("in_rd"), *(["pd_evidence", "rd_evidence"] if seen else []))
 
     def near(step: int) -> Column:
         at = Window.partitionBy("sheet", "scope", "__prefix").orderBy("__at").rangeBetween(step, step)
@@ -47,14 +56,26 @@ def reconcile(pd: DataFrame, rd: DataFrame, relative: float) -> DataFrame:
         same = lambda name, step: F.exists(name, lambda x: (x["number"] == scalars.neighbour(F.col("number"), step)) & x[side])
         return F.coalesce(same("__lower", -1) & same("__upper", 1), F.lit(False))
 
+    def around(side: str) -> Column:
+        """The least box around both neighbours on the side that lacks the room."""
+        at = lambda name, step: F.get(F.filter(name, lambda x: (x["number"] == scalars.neighbour(F.col("number"), step)) & x[f"in_{side}"]), F.lit(0))[f"{side}_evidence"]
+        both_ends = F.filter(F.array(at("__lower", -1), at("__upper", 1)), lambda x: x.isNotNull())
+        return F.transform(F.array(both_ends), lambda e: F.when(F.size(e) == 2, F.struct(e[0]["file_id"].alias("file_id"), e[0]["page"].alias("page"), *_box(lambda c, f: f(e[0][c], e[1][c])))))[0]
+
     with_proof = found.withColumn("proved", F.when(F.col("pd_area").isNull(), proved("in_pd")).when(F.col("rd_area").isNull(), proved("in_rd")))
-    return stated(with_proof.select("sheet", "scope", "number", "pd_area", "rd_area", "proved"), relative)
+    evidence = [F.when(F.col(f"{side}_area").isNotNull(), F.col(f"{side}_evidence")).when(F.col("proved"), around(side)).alias(f"{side}_evidence") for side in ("pd", "rd")] if seen else []
+    return stated(with_proof.select("sheet", "scope", "number", "pd_area", "rd_area", "proved", *evidence), relative)
+
+
+def _box(corner) -> list[Column]:
+    """Corners of the least box around boxes; corner: (name, how the corners of the boxes are taken together)."""
+    return [corner(c, f).alias(c) for c, f in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))]
 
 
 def stated(both: DataFrame, relative: float) -> DataFrame:
     """Findings of rooms (pd_area, rd_area, proved: do both neighbours of a one-sided room stand on the other side) at a tolerance."""
     status = F.when(F.col("proved").isNull(), verdict(F.col("pd_area"), F.col("rd_area"), relative)).when(F.col("proved"), CANDIDATE)
-    with_status = both.select("sheet", "scope", "number", "pd_area", "rd_area", "proved", status.alias("status"))
+    with_status = both.withColumn("status", status)
     found = F.col("status").isNotNull()
     changed = F.col("status") == CANDIDATE
     return with_status.select(
@@ -66,7 +87,7 @@ def stated(both: DataFrame, relative: float) -> DataFrame:
 
 
 def islands(findings: DataFrame) -> DataFrame:
-    """sheet, scope, first_number, last_number, atoms, expected, actual, delta of every run of adjacent candidates, single ones included.
+    """sheet, scope, first_number, last_number, atoms, expected, actual, delta of every run of adjacent candidates, single ones included; with evidence, the least boxes around its rooms.
 
     Rooms without a finding stay in the order and break a run.
     """
@@ -76,13 +97,16 @@ def islands(findings: DataFrame) -> DataFrame:
     breaks = F.sum(F.when(changed, 0).otherwise(1)).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     place = F.row_number().over(by.orderBy(*order))
     runs = findings.select("*", breaks.alias("run"), place.alias("place")).where(changed)
+    corners = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    seen = [side for side in ("pd_evidence", "rd_evidence") if side in findings.columns]
+    around = [F.struct(F.min(f"{e}.file_id").alias("file_id"), F.min(f"{e}.page").alias("page"), *[f(F.col(f"{e}.{c}")).alias(c) for c, f in corners.items()]).alias(e) for e in seen]
     grouped = runs.groupBy("sheet", "scope", "run").agg(
-        F.min_by("number", "place").alias("first_number"), F.max_by("number", "place").alias("last_number"), F.count(F.lit(1)).alias("atoms"),
+        *around, F.min_by("number", "place").alias("first_number"), F.max_by("number", "place").alias("last_number"), F.count(F.lit(1)).alias("atoms"),
         F.sum("pd_area").alias("e"), F.sum("rd_area").alias("a"), F.sum(F.col("rd_area") - F.col("pd_area")).alias("d"),
     )
     return grouped.select(
         "sheet", "scope", "first_number", "last_number", "atoms",
-        scalars.fixed(F.col("e")).alias("expected"), scalars.fixed(F.col("a")).alias("actual"), scalars.signed(F.col("d")).alias("delta"),
+        scalars.fixed(F.col("e")).alias("expected"), scalars.fixed(F.col("a")).alias("actual"), scalars.signed(F.col("d")).alias("delta"), *seen,
     )
 
 

@@ -125,16 +125,26 @@ def check_rows(outcomes: DataFrame, specs: DataFrame, label: str = "matrix") ->
 def room_check_rows(findings: DataFrame, composites: DataFrame, priority: str = "HIGH") -> DataFrame:
     """CHECK rows of rooms.reconcile's findings and rooms.islands' runs: a run of two or more is a row of its own and the parent of its atoms.
 
-    findings, composites: as from there, with object_id and pair (which sheets were compared).
+    findings, composites: as from there, with object_id and pair (which sheets
+    were compared). Where they hold evidence, rows have fragments: an array of
+    struct<file_id,page,x0,y0,x1,y1,value,role>, what was expected first; an
+    empty place lacks its fragment.
     """
     none = F.lit(None).cast("string")
+    seen = "pd_evidence" in findings.columns
+
+    def fragment(side: str, value: str, role: str) -> Column:
+        e = F.col(f"{side}_evidence")
+        return F.when(e.isNotNull(), F.struct(*[e[c].alias(c) for c in ("file_id", "page", "x0", "y0", "x1", "y1")], F.col(value).alias("value"), F.lit(role).alias("role")))
+
+    fragments = [F.array_compact(F.array(fragment("pd", "expected", "expected"), fragment("rd", "actual", "actual"))).alias("fragments")] if seen else []
     runs = composites.where("atoms >= 2")
     run_subject = F.concat(F.lit("rooms "), F.col("first_number"), F.lit(".."), F.col("last_number"))
     group = lambda subject: F.concat_ws(":", "object_id", F.lit(OWN_COMPARISON), "pair", subject)
     tail = lambda status, parent: [
         F.lit("COMPLETE").alias("completeness"), status.alias("finding_status"), F.lit(priority).alias("priority"), none.alias("rationale"), parent.alias("parent_group_id"),
     ]
-    tops = runs.select("object_id", group(run_subject).alias("group_id"), F.lit(OWN_COMPARISON).alias("code"), run_subject.alias("subject"), "expected", "actual", "delta", *tail(F.lit("CANDIDATE"), none))
+    tops = runs.select("object_id", group(run_subject).alias("group_id"), F.lit(OWN_COMPARISON).alias("code"), run_subject.alias("subject"), "expected", "actual", "delta", *tail(F.lit("CANDIDATE"), none), *fragments)
     # An atom lies between its run's first and last room in table order; runs of a sheet don't overlap, so the one that starts last before it is its own.
     order = F.struct(*scalars.natural_key(F.col("number")))
     by = Window.partitionBy("object_id", "pair", "scope").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
@@ -147,7 +157,7 @@ def room_check_rows(findings: DataFrame, composites: DataFrame, priority: str =
     subject = F.concat(F.lit("room "), F.concat_ws("|", "scope", "number"))
     atoms = placed.select(
         "object_id", group(subject).alias("group_id"), F.lit(OWN_COMPARISON).alias("code"), subject.alias("subject"), "expected", "actual", "delta",
-        *tail(F.col("status"), F.when(inside, group(F.col("last_run.subject")))),
+        *tail(F.col("status"), F.when(inside, group(F.col("last_run.subject")))), *fragments,
     )
     return tops.union(atoms)
 

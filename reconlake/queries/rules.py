@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reconlake.functions import scalars
 from reconlake.operators import matrix, rooms, rules, sources, specs
 from reconlake.plans import shapes
 from reconlake.plans.shapes import FILES_SQL
@@ -164,6 +165,34 @@ def room_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("group_id", "finding_status", "expected", "actual", "delta", "parent_group_id")
 
 
+@query(
+    f"""with {found_sql(0.5)}, {ISLANDS_SQL},
+    boxes as (select sheet, num, side, sheet * 10 + case side when 'F' then 1 else 2 end as file, sheet % 7 as page, num / 16.0::double as x0, area / 4096 as y0, num / 16.0::double + 5e-2 as x1, area / 4096 + 1e-2 as y1 from rooms),
+    places as (
+      select o.sheet, o.number, o.status, o.expected, o.actual, s.side, case s.side when 'F' then o.expected else o.actual end as value, s.place, min(b.file) as file, min(b.page) as page, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1,
+        case when case s.side when 'F' then pa else ra end is null then 2 else 1 end as needed, count(b.num) as n
+      from o cross join (values ('F', 'expected'), ('O', 'actual')) s(side, place)
+      left join boxes b on b.sheet = o.sheet and b.side = s.side and (b.num = o.number::int or (case s.side when 'F' then pa else ra end is null and b.num in (o.number::int - 1, o.number::int + 1)))
+      where o.status is not null group by all),
+    numbered as (select *, 'rooms ' || first_number || '..' || last_number as subject from islands where atoms >= 2),
+    tops as (select n.sheet, n.subject, p.place, min(file) as file, min(page) as page, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, case p.place when 'expected' then n.expected else n.actual end as value
+      from numbered n join places p on p.sheet = n.sheet and p.status = 'CANDIDATE' and p.number::int between n.first_number::int and n.last_number::int group by all),
+    every as (select sheet, 'room ' || number as subject, place, file, page, x0, y0, x1, y1, value from places where n = needed union all select sheet, subject, place, file, page, x0, y0, x1, y1, value from tops)
+    select sheet || ':M-003:p' || sheet || ':' || subject as group_id, string_agg(place || ' ' || coalesce(value, '-') || ' ' || file || '/' || page || ' ' || printf('%.4f %.4f %.4f %.4f', x0, y0, x1, y1), '; ' order by place desc) as fragments from every group by 1"""
+)
+def room_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of rooms and of their composites, each with what it points at on either side."""
+    number, f = F.col("number").cast("double"), F.col("side") == "F"
+    x0, y0 = number / 16, F.col("area") / 4096
+    box = F.struct((F.col("sheet") * 10 + F.when(f, 1).otherwise(2)).alias("file_id"), (F.col("sheet") % 7).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 0.05).alias("x1"), (y0 + 0.01).alias("y1"))
+    seen = shapes.rooms(spark, sf_dir).withColumn("evidence", box)
+    found = rooms.reconcile(shapes.side(seen, shapes.DESIGN), shapes.side(seen, shapes.WORKING), 0.5)
+    named = lambda df: df.withColumns({"object_id": F.col("sheet"), "pair": F.concat(F.lit("p"), F.col("sheet").cast("string"))})
+    rows = rules.room_check_rows(named(found), named(rooms.islands(found)))
+    said = lambda x: F.concat_ws(" ", x["role"], F.coalesce(x["value"], F.lit("-")), F.concat(x["file_id"].cast("string"), F.lit("/"), x["page"].cast("string")), *[scalars.fixed(x[c], 4) for c in ("x0", "y0", "x1", "y1")])
+    return rows.select("group_id", F.array_join(F.transform("fragments", said), "; ").alias("fragments"))
+
+
 @query(
     f"""with {FILES_SQL},
     alive as (select * from files where status not in ('CANCELLED','SUPERSEDED') and stage <> 'ID'),
