@@ -298,7 +298,7 @@ def brute_hits(items, text, window):
     return len(words), len(hit), sorted(str(x) for x in ids if x is not None)
 
 
-@pytest.mark.parametrize("part_bytes", [100, 1 << 20])
+@pytest.mark.parametrize("part_bytes", [700, 1 << 20])
 def test_decontamination_equals_brute_force(spark, part_bytes):
     rng = random.Random(1)
     vocabulary = WORDS[:4]  # few words, so that occurrences overlap and nearly match
@@ -476,7 +476,7 @@ def test_raking_meets_the_targets(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs, {"source": None}, budget=0.5).count() == 0
 
 
-def test_filled_cells_pass_on_what_they_cannot_hold(spark, monkeypatch):
+def test_filled_cells_pass_on_what_they_cannot_hold(spark):
     rows = [(i, "x " * 10, t, g) for i, (t, g) in enumerate([("a", "p")] * 50 + [("a", "q")] * 850 + [("b", "p")] * 700 + [("b", "q")] * 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"p": 0.5, "q": 0.5}}
@@ -487,9 +487,14 @@ def test_filled_cells_pass_on_what_they_cannot_hold(spark, monkeypatch):
     for dim, of in shares.items():
         got = {r[0]: r[1] / 10_000 for r in out.groupBy(dim).agg(F.sum("e")).collect()}
         assert all(abs(got[v] - of[v]) < 1e-6 for v in of)
-    monkeypatch.setattr(mixing, "MAX_CELLS", 3)  # four cells are then raked as a table
-    table = {r.doc_id: r.probability for r in mixing.mix(docs, shares, 0.5, fill=True).collect()}
-    assert all(abs(table[r.doc_id] - r.probability) < 1e-9 for r in out.collect())
+    rows = [("a", "p", 500), ("a", "q", 8500), ("b", "p", 7000), ("b", "q", 4000)]
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    targets = {d: spark.createDataFrame([(v, 0.5) for v in of], f"{d} string, target double") for d, of in shares.items()}
+    table = mixing._filled_table(cells, targets, 0.5, rounds=2)  # beyond MAX_CELLS cells are raked so
+    tokens, codes = np.array([r[2] for r in rows], float), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    want = mixing.filled(tokens, codes, [np.array([5000.0, 5000.0])] * 2, rounds=2) / tokens
+    got = {(r.source, r.lang): r.ratio for r in table.collect()}
+    assert np.allclose([got[r[:2]] for r in rows], want) and want[0] == 1
     values = spark.createDataFrame([(50.0, 10.0), (30.0, 200.0), (20.0, 25.0)], "want double, have double")
     assert sorted(r.w for r in mixing._reachable_table(values).collect()) == pytest.approx([10, 25, 65])
     least = mixing.reachable(np.array([50.0, 30.0, 20.0]), np.array([10.0, 200.0, 25.0]))
