@@ -1,5 +1,6 @@
 """Labels in lines against looking for each by itself, and values that are texts."""
 
+import functools
 import random
 import re
 
@@ -11,12 +12,17 @@ from reconlake.operators import labels, matrix
 WORDS = "площадь застройки объём этаж в1/т3 % № класс eI общая высота пола мм² а б-в площади подвал ёмкость".split()
 
 
+@functools.cache
+def compiled(label):
+    body = r"[\s,;:()]*".join(re.escape(w).replace("е", "[её]") for w in label.split(" "))
+    return re.compile(rf"\b{body}\b", re.IGNORECASE)
+
+
 def brute(text, wanted):
     """By code: the first variant that stands in the text, and the rest behind it."""
     out = {}
     for code, _, label in sorted(wanted):
-        body = r"[\s,;:()]*".join(re.escape(w).replace("е", "[её]") for w in label.split(" "))
-        m = re.search(rf"\b{body}\b", text, re.IGNORECASE)
+        m = compiled(label).search(text)
         if m and code not in out:
             out[code] = (label, text[m.end() :])
     return out
