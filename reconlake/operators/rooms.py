@@ -75,7 +75,8 @@ def _box(corner) -> list[Column]:
 def stated(both: DataFrame, relative: float) -> DataFrame:
     """Findings of rooms (pd_area, rd_area, proved: do both neighbours of a one-sided room stand on the other side) at a tolerance."""
     status = F.when(F.col("proved").isNull(), verdict(F.col("pd_area"), F.col("rd_area"), relative)).when(F.col("proved"), CANDIDATE)
-    with_status = both.withColumn("status", status)
+    seen = [c for c in ("pd_evidence", "rd_evidence") if c in both.columns]
+    with_status = both.select("sheet", "scope", "number", "pd_area", "rd_area", "proved", *seen, status.alias("status"))
     found = F.col("status").isNotNull()
     changed = F.col("status") == CANDIDATE
     return with_status.select(
