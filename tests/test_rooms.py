@@ -107,15 +107,16 @@ def test_greedy_matching_of_misaligned_cells(spark):
             kind = rng.choice(["number", "area", "area"])
             x = 0.1 if kind == "number" else rng.choice([0.05, 0.5, 0.7])
             cells.append((page, 100 * page + i, kind, x, y, x + 0.05, y + 0.012))
-    want = set()
-    for page in range(12):
-        own = [c for c in cells if c[0] == page]
-        free = [c for c in own if c[2] == "area"]
-        for n in sorted((c for c in own if c[2] == "number"), key=lambda c: (c[4], c[3], c[1])):
-            fits = [a for a in free if a[4] <= n[6] + 0.008 and n[4] <= a[6] + 0.008 and a[3] > n[3]]
-            if fits:
-                best = min(fits, key=lambda a: (abs((a[4] + a[6]) - (n[4] + n[6])), a[3] - n[3], a[1]))
-                free.remove(best)
-                want.add((page, n[1], best[1]))
     df = spark.createDataFrame(cells, "page long, line long, kind string, x0 double, y0 double, x1 double, y1 double")
-    assert {tuple(r) for r in geometry.match_rows(df).collect()} == want and len(want) > 10
+    for to_right in (False, True):  # rows of tables take any area of their row, totals only those to their right
+        want = set()
+        for page in range(12):
+            own = [c for c in cells if c[0] == page]
+            free = [c for c in own if c[2] == "area"]
+            for n in sorted((c for c in own if c[2] == "number"), key=lambda c: (c[4], c[1])):
+                fits = [a for a in free if a[4] <= n[6] + 0.008 and n[4] <= a[6] + 0.008 and (a[3] > n[3] or not to_right)]
+                if fits:
+                    best = min(fits, key=lambda a: (abs((a[4] + a[6]) / 2 - (n[4] + n[6]) / 2), a[1]))
+                    free.remove(best)
+                    want.add((page, n[1], best[1]))
+        assert {tuple(r) for r in geometry.match_rows(df, to_right).collect()} == want and len(want) > 10
