@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from reconlake.functions import scalars
 from reconlake.operators import sheets, textlayer
+from reconlake.plans.dealing import dealt
 from reconlake.queries.registry import query
 from reconlake.sources.tables import table
 
+PARTS = 10_000  # of one task; each becomes some forty lines
+
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a table with caption, decoy headers, rows whose names are shifted, a total with a decoy, and tags; one page for each part."""
@@ -31,7 +34,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         line(8, 30, "1.0.1", 0.7, 0.5), line(8, 31, "5,95", 0.7, 0.51), line(8, 32, "Hall", 0.7, 0.52), line(9, 33, "1.0.2", 0.8, 0.5), line(9, 34, size, 0.8, 0.51),
         line(10, 35, "1.5", 0.9, 0.5), line(10, 36, "4,25", 0.9, 0.51), line(11, 37, "1.0.3", 0.15, 0.6), line(11, 38, "8,25", 0.15, 0.61), line(12, 39, "1.0.4", 0.6, 0.6),
     ]
-    return table(spark, sf_dir, "part").select(k.alias("page"), F.inline(F.array(*rows)))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", most=PARTS).select(k.alias("page"), F.inline(F.array(*rows)))
 
 
 @query(
