@@ -25,6 +25,13 @@ def test_floor_totals_meet_their_areas_without_a_join(spark):
     assert "Join" not in plan_of(spark, found)
 
 
+def test_names_meet_their_rows_without_a_join(spark):
+    cells = page_of([("number", "1", 0.1, 0.1), ("number", "2", 0.1, 0.116), ("name", "upper", 0.2, 0.108), ("name", "b", 0.3, 0.101), ("name", "a", 0.2, 0.101), ("name", "far", 0.2, 0.4)])
+    found = textlayer.names_of_rows(spark.createDataFrame(cells, LINES))
+    assert [tuple(r) for r in found.collect()] == [(1, 0, "a b upper")]
+    assert "Join" not in plan_of(spark, found)
+
+
 def test_rows_are_dealt_by_their_number(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))
