@@ -9,9 +9,12 @@ from reconlake.functions import scalars
 from reconlake.operators import labels as label_operators
 from reconlake.operators import matrix
 from reconlake.plans import shapes
+from reconlake.plans.dealing import dealt
 from reconlake.queries.registry import query
 from reconlake.sources.tables import table
 
+PARTS = 10_000  # of one task
+
 LABELS = ["total floor area", "building height", "parking spaces", "fire class"]
 
 
@@ -32,7 +35,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(kind == 1, 0.6).otherwise(0.2).alias("x1"), F.when(kind == 1, y + 0.01).otherwise(y + 0.03).alias("y1"), (k * 2 + 1).alias("line"),
         ),
     )
-    return table(spark, sf_dir, "part").select(page.alias("page"), F.inline(rows)).where("text is not null")
+    return dealt(table(spark, sf_dir, "part"), "p_partkey", most=PARTS).select(page.alias("page"), F.inline(rows)).where("text is not null")
 
 
 @query(
@@ -72,7 +75,7 @@ def label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(line(0, text, 0.1, top), line(1, value, 0.35, F.when(kind == 4, top).otherwise(top + 5.0)), line(2, value, 0.12, F.when(kind == 5, top + 0.03).otherwise(top + 5.0)))
     # Of a page's two places for the value only one is near; the other line is far below.
     near = F.when(kind == 4, 1).when(kind == 5, 2)
-    lines = part.select(k.alias("page"), kind.alias("kind"), F.inline(rows)).where((F.col("line") % 4 == 0) | (F.col("line") % 4 == near)).withColumn("line", F.when(F.col("line") % 4 == 2, F.col("line") - 1).otherwise(F.col("line")))
+    lines = dealt(part, "p_partkey", most=PARTS).select(k.alias("page"), kind.alias("kind"), F.inline(rows)).where((F.col("line") % 4 == 0) | (F.col("line") % 4 == near)).withColumn("line", F.when(F.col("line") % 4 == 2, F.col("line") - 1).otherwise(F.col("line")))
     wanted = each.withColumn("label", label_operators.normalized(F.col("label")))
     found = matrix.locate(lines, wanted)
     return found.select("page", "line", "code", "label", "method", "value_line", "raw", scalars.fixed(F.col("value")).alias("value"), scalars.fixed(F.col("box.y0")).alias("y0"))
