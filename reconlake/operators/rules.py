@@ -122,13 +122,13 @@ def check_rows(outcomes: DataFrame, specs: DataFrame, label: str = "matrix") ->
     )
 
 
-def room_check_rows(findings: DataFrame, composites: DataFrame, priority: str = "HIGH") -> DataFrame:
+def room_check_rows(findings: DataFrame, composites: DataFrame, priority: str = "HIGH", parts: int | None = None) -> DataFrame:
     """CHECK rows of rooms.reconcile's findings and rooms.islands' runs: a run of two or more is a row of its own and the parent of its atoms.
 
     findings, composites: as from there, with object_id and pair (which sheets
     were compared). Where they hold evidence, rows have fragments: an array of
     struct<file_id,page,x0,y0,x1,y1,value,role>, what was expected first; an
-    empty place lacks its fragment.
+    empty place lacks its fragment. parts: as of rooms.reconcile.
     """
     none = F.lit(None).cast("string")
     seen = "pd_evidence" in findings.columns
@@ -145,13 +145,15 @@ def room_check_rows(findings: DataFrame, composites: DataFrame, priority: str =
         F.lit("COMPLETE").alias("completeness"), status.alias("finding_status"), F.lit(priority).alias("priority"), none.alias("rationale"), parent.alias("parent_group_id"),
     ]
     tops = runs.select("object_id", group(run_subject).alias("group_id"), F.lit(OWN_COMPARISON).alias("code"), run_subject.alias("subject"), "expected", "actual", "delta", *tail(F.lit("CANDIDATE"), none), *fragments)
-    # An atom lies between its run's first and last room in table order; runs of a sheet don't overlap, so the one that starts last before it is its own.
+    # An atom lies between its run's first and last room in table order; runs of a sheet don't overlap, so the one that starts last before it, or at it, is its own.
+    # Starts stand among the rooms as rows of their own, ahead of the room they name, so that one window serves and nothing is joined.
     order = F.struct(*scalars.natural_key(F.col("number")))
-    by = Window.partitionBy("object_id", "pair", "scope").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    sheet = ["object_id", "pair", "scope"]
+    by = Window.partitionBy(*sheet).orderBy("o", F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     run = F.struct(run_subject.alias("subject"), F.col("last_number").alias("last")).alias("run")
-    starts = runs.select(F.col("object_id").alias("r_object"), F.col("pair").alias("r_pair"), F.col("scope").alias("r_scope"), F.col("first_number").alias("r_number"), run)
-    same = (F.col("object_id") == F.col("r_object")) & (F.col("pair") == F.col("r_pair")) & F.col("scope").eqNullSafe(F.col("r_scope")) & (F.col("number") == F.col("r_number"))
-    placed = findings.where("status is not null").join(starts, same, "left").withColumn("o", order).withColumn("last_run", F.last("run", ignorenulls=True).over(by))
+    starts = runs.select(*sheet, F.col("first_number").alias("number"), run)
+    both = findings.where("status is not null").unionByName(starts, allowMissingColumns=True).repartition(*([parts] if parts else []), *sheet)
+    placed = both.withColumn("o", order).withColumn("last_run", F.last("run", ignorenulls=True).over(by)).where("run is null")
     ends = F.struct(*scalars.natural_key(F.col("last_run.last")))
     inside = F.col("last_run").isNotNull() & (F.col("o") <= ends) & (F.col("status") == "CANDIDATE")
     subject = F.concat(F.lit("room "), F.concat_ws("|", "scope", "number"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-ROWS = 500_000  # of one task
+ROWS = 250_000  # of one task
 
 
 def parts(stored: DataFrame, most: int = ROWS) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reconlake.plans.dealing import dealt
 from reconlake.sources.tables import table
 
 DESIGN, WORKING = "F", "O"
@@ -13,7 +14,7 @@ DESIGN, WORKING = "F", "O"
 
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sheet, scope, number, side, area from order lines: a part is a sheet, a line number a room."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linenumber", "l_linestatus").agg(F.sum("l_quantity").alias("area"))
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_partkey").groupBy("l_partkey", "l_linenumber", "l_linestatus").agg(F.sum("l_quantity").alias("area"))
     return lines.select(
         F.col("l_partkey").alias("sheet"), F.lit(None).cast("string").alias("scope"), F.col("l_linenumber").cast("string").alias("number"),
         F.col("l_linestatus").alias("side"), "area",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reconlake.functions import scalars
 from reconlake.operators import rooms
 from reconlake.plans import shapes
+from reconlake.plans.dealing import dealt, parts
 from reconlake.plans.shapes import DESIGN, ROOMS_SQL, WORKING
 from reconlake.queries.registry import query
 from reconlake.sources.tables import table
@@ -39,7 +40,7 @@ ISLANDS_SQL = """
 
 def _found(spark: SparkSession, sf_dir: str, relative: float) -> DataFrame:
     all_rooms = shapes.rooms(spark, sf_dir)
-    return rooms.reconcile(shapes.side(all_rooms, DESIGN), shapes.side(all_rooms, WORKING), relative)
+    return rooms.reconcile(shapes.side(all_rooms, DESIGN), shapes.side(all_rooms, WORKING), relative, parts(table(spark, sf_dir, "lineitem")))
 
 
 @query(f"with {found_sql(0.5)}, {ISLANDS_SQL} select * from islands")
@@ -113,7 +114,7 @@ READINGS_SQL = """readings as (select l_partkey as sheet, l_linenumber::varchar
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = F.when(F.col("l_suppkey") % 9 > 0, F.when(F.col("l_quantity") <= 25, "a").otherwise("b"))
-    return table(spark, sf_dir, "lineitem").select(
+    return dealt(table(spark, sf_dir, "lineitem"), "l_partkey").select(
         F.col("l_partkey").alias("sheet"), F.col("l_linenumber").cast("string").alias("number"), (F.col("l_quantity") / 500).alias("area"),
         scope.alias("scope"),
     )

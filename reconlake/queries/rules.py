@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reconlake.functions import scalars
 from reconlake.operators import matrix, rooms, rules, sources, specs
 from reconlake.plans import shapes
+from reconlake.plans.dealing import parts
 from reconlake.plans.shapes import FILES_SQL
 from reconlake.queries.reconciliation import ISLANDS_SQL, _found, found_sql
 from reconlake.queries.registry import query
@@ -160,8 +161,9 @@ def findings_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def room_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda df: df.withColumns({"object_id": F.col("sheet"), "pair": F.concat(F.lit("p"), F.col("sheet").cast("string"))})
+    n = parts(table(spark, sf_dir, "lineitem"))
     found = _found(spark, sf_dir, 0.5)
-    rows = rules.room_check_rows(named(found), named(rooms.islands(found)))
+    rows = rules.room_check_rows(named(found), named(rooms.islands(found)), parts=n)
     return rows.select("group_id", "finding_status", "expected", "actual", "delta", "parent_group_id")
 
 
@@ -186,9 +188,10 @@ def room_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, y0 = number / 16, F.col("area") / 4096
     box = F.struct((F.col("sheet") * 10 + F.when(f, 1).otherwise(2)).alias("file_id"), (F.col("sheet") % 7).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 0.05).alias("x1"), (y0 + 0.01).alias("y1"))
     seen = shapes.rooms(spark, sf_dir).withColumn("evidence", box)
-    found = rooms.reconcile(shapes.side(seen, shapes.DESIGN), shapes.side(seen, shapes.WORKING), 0.5)
+    n = parts(table(spark, sf_dir, "lineitem"))
+    found = rooms.reconcile(shapes.side(seen, shapes.DESIGN), shapes.side(seen, shapes.WORKING), 0.5, n)
     named = lambda df: df.withColumns({"object_id": F.col("sheet"), "pair": F.concat(F.lit("p"), F.col("sheet").cast("string"))})
-    rows = rules.room_check_rows(named(found), named(rooms.islands(found)))
+    rows = rules.room_check_rows(named(found), named(rooms.islands(found)), parts=n)
     said = lambda x: F.concat_ws(" ", x["role"], F.coalesce(x["value"], F.lit("-")), F.concat(x["file_id"].cast("string"), F.lit("/"), x["page"].cast("string")), *[scalars.fixed(x[c], 4) for c in ("x0", "y0", "x1", "y1")])
     return rows.select("group_id", F.array_join(F.transform("fragments", said), "; ").alias("fragments"))
 
