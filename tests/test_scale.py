@@ -1,7 +1,10 @@
 """Plans that must not grow with the input beyond it: nothing large is broadcast, nothing is made in one task, no step runs twice."""
 
-from reconlake.operators import textlayer
+from pyspark.sql import functions as F
+
+from reconlake.operators import matrix, rooms, rules, textlayer
 from reconlake.plans import dealing
+from reconlake.queries import reconciliation
 
 LINES = "page long, block int, line long, kind string, text string, x0 double, y0 double, x1 double, y1 double"
 
@@ -37,3 +40,31 @@ def test_rows_are_dealt_by_their_number(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "t"))
     assert dealing.dealt(stored, "id", most=50).rdd.getNumPartitions() == 20
     assert dealing.parts(stored, 10_000) == spark.sparkContext.defaultParallelism
+
+
+def test_labels_are_searched_once(spark):
+    lines = spark.createDataFrame([(1, 1, "height: 5", 0.1, 0.1, 0.2, 0.11), (1, 2, "height", 0.1, 0.3, 0.2, 0.31), (1, 3, "7", 0.4, 0.3, 0.5, 0.31)], "page long, line long, text string, x0 double, y0 double, x1 double, y1 double")
+    found = matrix.locate(lines, spark.createDataFrame([("height", "m")], "label string, unit string"))
+    assert sorted((r.line, r.value) for r in found.collect()) == [(1, 5.0), (2, 7.0)]
+    assert "EvalPython" not in plan_of(spark, found)  # what was found is stored
+
+
+def test_sheets_and_their_checks_are_dealt_as_asked(spark):
+    sides = [spark.createDataFrame([(1, None, str(n), float(n + add)) for n in range(1, 6)], "sheet long, scope string, number string, area double") for add in (0, 3)]
+    found = rooms.reconcile(*sides, 0.01, 7)
+    named = lambda df: df.withColumns({"object_id": F.col("sheet"), "pair": F.lit("p")})
+    rows = rules.room_check_rows(named(found), named(rooms.islands(found)), parts=7)
+    plan = plan_of(spark, rows)
+    assert "Join" not in plan and "4)" not in [x[-2:] for x in plan.split(", ") if "hashpartitioning" in x]
+    assert found.rdd.getNumPartitions() == 7
+    got = {r.group_id: r.parent_group_id for r in rows.collect()}
+    assert got["1:M-003:p:rooms 1..5"] is None and all(got[f"1:M-003:p:room {n}"] == "1:M-003:p:rooms 1..5" for n in range(1, 6)) and len(got) == 6
+
+
+def test_readings_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setitem(dealing.dealt.__kwdefaults__, "most", 500)
+    n = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
+    for query in (reconciliation.cluster_by_area, reconciliation.dedupe_rooms):
+        plan = plan_of(spark, query(spark, "/root/testdata/sf0.001"))
+        dealt = [x for x in plan.splitlines() if "- Exchange hashpartitioning" in x]
+        assert len(dealt) == 1 and f", {n})" in dealt[0], plan
