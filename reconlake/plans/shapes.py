@@ -57,7 +57,7 @@ FILES_SQL = """files as (
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """check_id, object_id, process_id, parent_id, split_at, status, engine_status, verified_by, param, amount from order lines."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"), F.min("l_shipdate").alias("ship"), F.min("l_partkey").alias("part"),
         F.min("l_quantity").alias("amount"),
     )

@@ -115,7 +115,7 @@ def merge_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions.commit(spark, folder, {"checks": [old.where("parent_id is null"), old.where("parent_id is not null")], "protocols": [first, last]})
     stored, issued = versions.read(spark, folder, "checks"), versions.read(spark, folder, "protocols")
     users = spark.createDataFrame([(i, f"user {i}") for i in range(0, 7, 2)], "user_id long, name string")
-    after = units.after_merge(stored, new.select(*stored.columns), planned, users)
+    after = written(units.after_merge(stored, new.select(*stored.columns), planned, users), "merged")  # composites and atoms are parts of their own below
     number = versions.commit(spark, folder, {"checks": [after.where("parent_id is null"), after.where("parent_id is not null")], "protocols": [units.reissued(issued, planned)]}, based_on=1)
     counted = versions.read(spark, folder, "checks").groupBy("process_id").agg(F.count(F.lit(1)).alias("n"))
     told = versions.read(spark, folder, "protocols").join(counted, "process_id", "left")
@@ -184,9 +184,8 @@ DECISIONS_SQL = f"""{CHECKS_SQL},
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    checks = shapes.checks(spark, sf_dir)
-    atoms = checks.where("parent_id is not null").groupBy(F.col("parent_id").alias("check_id")).agg(F.count(F.lit(1)).alias("n_atoms"))
-    known = checks.join(atoms, "check_id", "left").withColumn("n_atoms", F.coalesce("n_atoms", F.lit(0))).withColumn("engine_status", F.lit(None).cast("string"))
+    checks = written(shapes.checks(spark, sf_dir), "checks")  # read many times below
+    known = checks.withColumn("engine_status", F.lit(None).cast("string"))
     p = F.col("process_id")
     versions = checks.where(p % 6 != 1).select("process_id").distinct().withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
     status = F.when((F.col("version") == 2) & (p % 6 == 0), "PROTOCOL_FINALIZED").when(F.col("version") == 1, "SUPERSEDED").otherwise("READY")
@@ -247,7 +246,7 @@ def protocol_log(spark: SparkSession, sf_dir: str) -> DataFrame:
       case when pending = 0 then 'COMPLETED' else 'VERIFYING' end as process_status from pending"""
 )
 def protocol_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.protocol_states(_state(spark, sf_dir)[0])
+    return decisions.protocol_states(written(_state(spark, sf_dir)[0], "decided"))  # read three times
 
 
 @query(
