@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reconlake.operators import decisions, matrix, rooms, rules, textlayer
+from reconlake.operators import decisions, matrix, rooms, rules, sheets, textlayer
 from reconlake.plans import dealing
 from reconlake.queries import reconciliation
 
@@ -84,3 +84,10 @@ def test_units_meet_their_decisions_once(spark):
     }
     # Checks meet protocols, events meet checks, a unit's rows meet: no event is dealt more than twice.
     assert plan_of(spark, found.select("*")).count("Join") == 2
+
+
+def test_pages_are_dealt_as_asked(spark):
+    lines = spark.createDataFrame(page_of([(None, "Итого:", 0.2, 0.3), (None, "5,25", 0.4, 0.3)]), LINES)
+    found = sheets.find(lines.withColumn("block", F.col("block").cast("long")), 7)[1]
+    assert [(r.label, r.area) for r in found.collect()] == [("Итого:", 5.25)]
+    assert "hashpartitioning(page" in plan_of(spark, found.select("*")) and ", 7)" in plan_of(spark, found.select("*"))
