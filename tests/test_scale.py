@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from reconlake.operators import decisions, matrix, rooms, rules, sheets, textlayer
 from reconlake.plans import dealing
 from reconlake.queries import reconciliation
+from reconlake.queries import sheets as query_sheets
 
 LINES = "page long, block int, line long, kind string, text string, x0 double, y0 double, x1 double, y1 double"
 
@@ -91,3 +92,19 @@ def test_pages_are_dealt_as_asked(spark):
     found = sheets.find(lines.withColumn("block", F.col("block").cast("long")), 7)[1]
     assert [(r.label, r.area) for r in found.collect()] == [("Итого:", 5.25)]
     assert "hashpartitioning(page" in plan_of(spark, found.select("*")) and ", 7)" in plan_of(spark, found.select("*"))
+
+
+def test_texts_are_read_and_pairs_matched_once(spark):
+    """Pairs are matched in one place of the plan of rooms, and each pattern is sought once, before lines are dealt."""
+    lines = spark.createDataFrame(page_of([(None, "1", 0.2, 0.3), (None, "5,25", 0.4, 0.3)]), LINES).withColumn("block", F.col("block").cast("long"))
+    plan = plan_of(spark, sheets.find(lines, 2)[0])
+    assert plan.count("aggregate(") == 1  # pairs
+    below = plan[plan.index("Exchange hashpartitioning(page") :]
+    texts = [x for x in plan.splitlines() if "RLIKE" in x]
+    assert texts and all(x in below for x in texts) and plan.count("RLIKE") == 5, plan
+
+
+def test_lines_of_pages_are_made_in_small_pieces(spark):
+    """Of all lines that an order line may have, what is the same for all is one constant, which is spread; no array of lines is put together for each."""
+    plan = plan_of(spark, query_sheets._lines(query_sheets._entries(spark, "/root/testdata/sf0.001")))
+    assert "Generate inline([[" in plan and "size(" not in plan, plan
